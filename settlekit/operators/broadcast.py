@@ -1,0 +1,29 @@
+"""Broadcast joins only behind a size check.
+
+Parameter tables (instalment plans, providers, gateway charges, the week calendar) are bounded
+by their domain: a few dozen plans, a handful of gateways, one row per calendar day. Catalogue
+tables (events, tickets, products) are small in practice but nothing in the schema bounds them,
+so they are counted first: at most ``max_rows`` rows gets a broadcast hint, anything larger is
+left to the planner (sort-merge join, or AQE's runtime broadcast when the shuffled side turns
+out small).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a dimension may have and still be shipped to every executor. At ~200 bytes per row of
+# the projected dimension columns this keeps a broadcast under ~100 MB.
+DIMENSION_MAX_ROWS = 500_000
+PARAMETER_MAX_ROWS = 100_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows; reads no more than ``max_rows + 1``."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
