@@ -1,15 +1,21 @@
 """Broadcast joins only behind a size check.
 
-Parameter tables (instalment plans, providers, gateway charges, the week calendar) are bounded
-by their domain: a few dozen plans, a handful of gateways, one row per calendar day. Catalogue
-tables (events, tickets, products) are small in practice but nothing in the schema bounds them,
-so they are counted first: at most ``max_rows`` rows gets a broadcast hint, anything larger is
-left to the planner (sort-merge join, or AQE's runtime broadcast when the shuffled side turns
+Parameter tables (instalment plans, providers, gateway charges, the week calendar) and the
+catalogue (events, tickets, products) are small in practice, but nothing in the schema bounds
+them, so each is counted first: at most ``max_rows`` rows gets a broadcast hint, anything larger
+is left to the planner (sort-merge join, or AQE's runtime broadcast when the shuffled side turns
 out small).
+
+:func:`small_dimension` also caches a checked-small dimension for the lifetime of the table set,
+so the ledger and every report built on the same tables fold the catalogue chain once instead
+of re-running its chain of small joins per query. The cache is bounded by the same row check,
+and a lost executor only means its blocks are recomputed from the source tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +33,20 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
     """``F.broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def small_dimension(tables, key: str, build: Callable[[], DataFrame], max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
+    """The dimension ``build()`` of a table set, built and checked once.
+
+    Small (at most ``max_rows`` rows): cached and returned with a broadcast hint. Large: returned
+    as a plain DataFrame, so joins against it shuffle.
+    """
+
+    def compute() -> tuple[DataFrame, bool]:
+        df = build()
+        if row_count_at_most(df, max_rows):
+            return df.cache(), True
+        return df, False
+
+    df, small = tables.memo(key, compute)
+    return F.broadcast(df) if small else df

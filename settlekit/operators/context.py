@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import order as R
 from ..sources import Tables
-from .broadcast import PARAMETER_MAX_ROWS, broadcast_if_small
+from .broadcast import PARAMETER_MAX_ROWS, small_dimension
 from .filters import Params, apply, created_between, isin
 
 PAID = "Paid"
@@ -121,12 +121,13 @@ def order_context(tables: Tables, params: Params | None = None) -> DataFrame:
     paypal = tables.checkoutpaypaldetails.select(
         F.col("sessionId").alias("paypal_session"), F.col("captureId").alias("capture_id")
     )
-    providers = broadcast_if_small(
-        tables.paymentprovider.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name")),
+    providers = small_dimension(
+        tables, "providers",
+        lambda: tables.paymentprovider.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name")),
         PARAMETER_MAX_ROWS,
     )
-    plans = broadcast_if_small(instalment_plans(tables.installmentsrange), PARAMETER_MAX_ROWS)
-    fixed = broadcast_if_small(fixed_gateway_charges(tables.gatecharges), PARAMETER_MAX_ROWS)
+    plans = small_dimension(tables, "plans", lambda: instalment_plans(tables.installmentsrange), PARAMETER_MAX_ROWS)
+    fixed = small_dimension(tables, "fixed_charges", lambda: fixed_gateway_charges(tables.gatecharges), PARAMETER_MAX_ROWS)
 
     c = F.col
     ctx = (

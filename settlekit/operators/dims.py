@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import fallback, fallback_percent, percent
 from ..sources import Tables
-from .broadcast import broadcast_if_small
+from .broadcast import small_dimension
 
 
 def _zero():
@@ -88,13 +88,14 @@ def price_dim(tables: Tables) -> DataFrame:
 def ticket_dim(tables: Tables) -> DataFrame:
     """J04 + the folded chain: keyed by ``batch_price_ref`` (the checkout's lot price id).
 
-    The checkout lot-price table may hold a row per checkout, so it is not hinted; the folded
-    catalogue part is broadcast when its row count allows it.
+    The checkout lot-price table may hold a row per checkout, so the whole dimension is only
+    broadcast behind a row count (callers use :func:`small_dimension`); the folded catalogue
+    part is joined into it under the same check.
     """
     refs = tables.checkouteventticketbatchprice.select(
         F.col("id").alias("batch_price_ref"), F.col("eventTicketBatchPriceId").alias("price_ref")
     )
-    prices = broadcast_if_small(price_dim(tables))
+    prices = small_dimension(tables, "price_dim", lambda: price_dim(tables))
     return refs.join(prices, refs.price_ref == prices.price_id, "left").drop("price_ref", "price_id")
 
 

@@ -1,12 +1,15 @@
 """Sold items: the ticket branch, the extras branch and their union (level 1, U01).
 
-Both branches produce the same columns (:data:`ITEM_COLUMNS`), one row per sold item (more when
-a fan-out join repeats it), carrying every item-level value the later levels need.
+Plan: each branch first gets what depends on the item alone (its cancel reason, trade links or
+form-answer count, and the catalogue dimension with the rates). The two item streams are then
+unioned and joined to the order context **once**, on ``order_id``: the session-level facts are
+scanned and shuffled a single time for both branches, and the branch-specific rules are picked
+per row with ``branch``. Rows of extras are finally repeated per buyer row and form answer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import order as R
@@ -20,10 +23,14 @@ from ..functions.status import (
 from ..functions.totals import Summary, extra_totals, ticket_totals
 from ..sources import Tables
 from . import dims, fanout
-from .broadcast import broadcast_if_small
+from .broadcast import small_dimension
+from .context import order_context
 from .filters import Params, apply, isin
 from .trades import attach_links
 
+TICKETS = "tickets"
+EXTRAS = "extras"
+
 ITEM_COLUMNS = [
     "branch", "item_id", "order_id", "purchase_date", "edition", "event_id", "event", "category",
     "race_name", "item_name", "item_type", "order_status", "payment_method", "instalments",
@@ -35,16 +42,8 @@ ITEM_COLUMNS = [
     "linked_item_id", "card_brand", "card_prefix",
 ]
 
-
-def _card_brand(no_brand: str):
-    c = F.col
-    return R.card_brand(
-        c("pay_option"), c("card_brand_stored"), c("pay_card_brand"), c("pay_digits"), c("card_digits"), no_brand
-    )
-
-
 def payable_tickets(tables: Tables, params: Params) -> DataFrame:
-    """Participants that count (F02, F07, F09), with their cancel reason."""
+    """Participants that count (F02, F05, F07, F09), with their cancel reason."""
     p = tables.checkoutparticipant.select(
         F.col("id").alias("item_id"),
         F.col("sessionid").alias("order_id"),
@@ -63,32 +62,24 @@ def payable_tickets(tables: Tables, params: Params) -> DataFrame:
     )
 
 
-def tickets(tables: Tables, context: DataFrame, params: Params) -> DataFrame:
-    """Ticket branch (J01-J19): one row per payable participant of a paid order."""
+def ticket_lines(tables: Tables, params: Params) -> DataFrame:
+    """Ticket stream before the order join: trade links (J17/J18) and catalogue."""
     p = attach_links(payable_tickets(tables, params), tables.tradecheckoutsession)
-    rows = p.join(context, "order_id").join(dims.ticket_dim(tables), "batch_price_ref", "left")
-    rows = apply(rows, isin(F.col("edition"), params.editions), isin(F.col("event_id"), params.event_ids))
-    c = F.col
-    s = Summary.from_context()
-    totals = ticket_totals(s, c("batch_price"), c("transfer_price"))
-    return rows.select(
-        F.lit("tickets").alias("branch"),
-        "item_id", "order_id", "purchase_date", "edition", "event_id", "event", "category",
-        "race_name", "item_name", "item_type", "order_status", "payment_method", "instalments",
-        "instalment_plan", "gateway", "gateway_order_ref", "convenience_rate", "issue_rate",
-        "issue_fixed", "refund_cover_rate", "transfer_rate", "rebate_rate", "tax_rate",
-        "fixed_gateway_cost",
-        *[totals[name].alias(name) for name in totals],
-        ticket_status(c("cancel_reason"), c("sum_transfer")).alias("item_status"),
-        ticket_status_detail(c("cancel_reason"), c("sum_transfer")).alias("item_status_detail"),
-        "linked_item_id",
-        _card_brand(R.NO_BRAND_TICKET).alias("card_brand"),
-        "card_prefix",
-    ).select(*ITEM_COLUMNS)
+    p = p.join(small_dimension(tables, "ticket_dim", lambda: dims.ticket_dim(tables)), "batch_price_ref", "left")
+    p = apply(p, isin(F.col("edition"), params.editions), isin(F.col("event_id"), params.event_ids))
+    return p.select(
+        F.lit(TICKETS).alias("branch"),
+        "item_id", "order_id", "edition", "event_id", "event", "category", "race_name", "item_name",
+        "item_type", "convenience_rate", "issue_rate", "issue_fixed", "refund_cover_rate",
+        "transfer_rate", "rebate_rate", "tax_rate",
+        F.col("batch_price").alias("unit_price"),
+        "transfer_price", "cancel_reason", "linked_item_id",
+        F.lit(1).cast("long").alias("answers"),
+    )
 
 
 def payable_extras(tables: Tables, params: Params) -> DataFrame:
-    """Product lines that count (F03, F08, F10), with their cancel reason."""
+    """Product lines that count (F03, F05, F08, F10), with their cancel reason."""
     e = tables.checkoutproductcomplement.select(
         F.col("id").alias("item_id"),
         F.col("sessionId").alias("order_id"),
@@ -109,56 +100,99 @@ def payable_extras(tables: Tables, params: Params) -> DataFrame:
     )
 
 
-def extra_copies(tables: Tables) -> tuple[DataFrame, DataFrame, int]:
-    """Per extra its form-answer count, per session its buyer count, and a bound of their
-    product (the most copies any extra row can get)."""
-    answers = fanout.counts(tables.checkoutproductcomplementanswer, "checkoutProductComplementId", "answer_item", "answers")
-    buyers = fanout.counts(tables.checkoutbuyer, "sessionId", "buyer_session", "buyers")
-    bound = fanout.max_count(answers, "answers") * fanout.max_count(buyers, "buyers")
-    return answers, buyers, bound
+def answer_counts(tables: Tables) -> DataFrame:
+    """J33 as a count per extra (no column of the answers is used)."""
+    return fanout.counts(tables.checkoutproductcomplementanswer, "checkoutProductComplementId", "answer_item", "answers")
 
 
-def extras(tables: Tables, context: DataFrame, params: Params) -> DataFrame:
-    """Extras branch (J20-J33): one row per payable product line of a paid order, repeated
-    once per buyer row and form answer as the source's joins do."""
+def buyer_counts(tables: Tables) -> DataFrame:
+    """J21 as a count per session (no column of the buyers is used)."""
+    return fanout.counts(tables.checkoutbuyer, "sessionId", "buyer_session", "buyers")
+
+
+def extra_lines(tables: Tables, params: Params) -> DataFrame:
+    """Extras stream before the order join: answers count and catalogue."""
     c = F.col
-    answers, buyers, bound = extra_copies(tables)
+    answers = answer_counts(tables)
     e = payable_extras(tables, params)
-    e = e.join(answers, c("item_id") == c("answer_item"), "left").drop("answer_item")
-    rows = (
-        e.join(context, "order_id")
-        .join(buyers, c("order_id") == c("buyer_session"), "left")
-        .join(broadcast_if_small(dims.product_dim(tables)), c("product_id") == c("product_key"), "left")
-        .join(broadcast_if_small(dims.product_manual(tables)), c("product_id") == c("manual_product"), "left")
-        .join(broadcast_if_small(dims.product_models(tables)), c("model_id") == c("model_key"), "left")
-        .join(broadcast_if_small(dims.product_sizes(tables)), c("size_id") == c("size_key"), "left")
+    e = (
+        e.join(answers, c("item_id") == c("answer_item"), "left")
+        .join(small_dimension(tables, "product_dim", lambda: dims.product_dim(tables)), c("product_id") == c("product_key"), "left")
+        .join(small_dimension(tables, "product_manual", lambda: dims.product_manual(tables)), c("product_id") == c("manual_product"), "left")
+        .join(small_dimension(tables, "product_models", lambda: dims.product_models(tables)), c("model_id") == c("model_key"), "left")
+        .join(small_dimension(tables, "product_sizes", lambda: dims.product_sizes(tables)), c("size_id") == c("size_key"), "left")
     )
-    rows = apply(rows, isin(c("edition"), params.editions), isin(c("event_id"), params.event_ids))
-    s = Summary.from_context()
-    totals = extra_totals(s, c("size_price"))
+    e = apply(e, isin(c("edition"), params.editions), isin(c("event_id"), params.event_ids))
     rates = dims.extra_rates()
-    out = rows.select(
-        F.lit("extras").alias("branch"),
-        "item_id", "order_id", "purchase_date", "edition", "event_id", "event", "category",
+    return e.select(
+        F.lit(EXTRAS).alias("branch"),
+        "item_id", "order_id", "edition", "event_id", "event", "category",
         F.lit("-").alias("race_name"),
-        "item_name", "item_type", "order_status", "payment_method", "instalments",
-        "instalment_plan", "gateway", "gateway_order_ref", "convenience_rate",
+        "item_name", "item_type", "convenience_rate",
         *[rates[name].alias(name) for name in rates],
-        "tax_rate", "fixed_gateway_cost",
-        *[totals[name].alias(name) for name in totals],
-        extra_status(c("cancel_reason")).alias("item_status"),
-        extra_status_detail(c("cancel_reason")).alias("item_status_detail"),
+        "tax_rate",
+        c("size_price").alias("unit_price"),
+        F.lit(None).cast("double").alias("transfer_price"),
+        "cancel_reason",
         F.lit(None).cast("long").alias("linked_item_id"),
-        _card_brand(R.NO_BRAND_EXTRA).alias("card_brand"),
-        "card_prefix",
-        (F.coalesce(c("answers"), F.lit(1)) * F.coalesce(c("buyers"), F.lit(1))).alias("copies"),
+        F.coalesce(c("answers"), F.lit(1).cast("long")).alias("answers"),
     )
-    return fanout.replicate(out, "copies", bound).select(*ITEM_COLUMNS)
 
 
-def items(tables: Tables, params: Params, context: DataFrame | None = None) -> DataFrame:
-    """Tickets and extras with the same columns."""
-    from .context import order_context
+def _pick(is_ticket: Column, ticket: Column, extra: Column) -> Column:
+    return F.when(is_ticket, ticket).otherwise(extra)
 
+
+def items(tables: Tables, params: Params | None = None, context: DataFrame | None = None) -> DataFrame:
+    """U01 and level 1: tickets and extras of paid orders with every item-level value."""
+    params = params or Params()
     context = context if context is not None else order_context(tables, params)
-    return tickets(tables, context, params).unionByName(extras(tables, context, params))
+    lines = ticket_lines(tables, params).unionByName(extra_lines(tables, params))
+    buyers = buyer_counts(tables)
+    rows = lines.join(context, "order_id").join(buyers, F.col("order_id") == F.col("buyer_session"), "left")
+
+    c = F.col
+    is_ticket = c("branch") == TICKETS
+    s = Summary.from_context()
+    t_tot = ticket_totals(s, c("unit_price"), c("transfer_price"))
+    e_tot = extra_totals(s, c("unit_price"))
+    reason, transfer = c("cancel_reason"), c("sum_transfer")
+    no_brand = _pick(is_ticket, F.lit(R.NO_BRAND_TICKET), F.lit(R.NO_BRAND_EXTRA))
+    out = rows.select(
+        "branch", "item_id", "order_id", "purchase_date", "edition", "event_id", "event", "category",
+        "race_name", "item_name", "item_type", "order_status", "payment_method", "instalments",
+        "instalment_plan", "gateway", "gateway_order_ref", "convenience_rate", "issue_rate",
+        "issue_fixed", "refund_cover_rate", "transfer_rate", "rebate_rate", "tax_rate",
+        "fixed_gateway_cost",
+        *[_pick(is_ticket, t_tot[name], e_tot[name]).alias(name) for name in t_tot],
+        _pick(is_ticket, ticket_status(reason, transfer), extra_status(reason)).alias("item_status"),
+        _pick(is_ticket, ticket_status_detail(reason, transfer), extra_status_detail(reason))
+        .alias("item_status_detail"),
+        "linked_item_id",
+        R.card_brand(
+            c("pay_option"), c("card_brand_stored"), c("pay_card_brand"), c("pay_digits"), c("card_digits"), no_brand
+        ).alias("card_brand"),
+        "card_prefix",
+        (c("answers") * _pick(is_ticket, F.lit(1).cast("long"), F.coalesce(c("buyers"), F.lit(1).cast("long"))))
+        .alias("copies"),
+    )
+    return fanout.replicate(out, "copies", copy_bound(tables)).select(*ITEM_COLUMNS)
+
+
+def copy_bound(tables: Tables) -> int:
+    """Most copies any extra row can get: max answers per extra x max buyer rows per session
+    (two scalar aggregates, computed once per table set)."""
+    return tables.memo(
+        "copy_bound",
+        lambda: fanout.max_count(answer_counts(tables), "answers") * fanout.max_count(buyer_counts(tables), "buyers"),
+    )
+
+
+def tickets(tables: Tables, params: Params | None = None) -> DataFrame:
+    """Ticket branch alone (the union is pruned to one side by Catalyst)."""
+    return items(tables, params).where(F.col("branch") == TICKETS)
+
+
+def extras(tables: Tables, params: Params | None = None) -> DataFrame:
+    """Extras branch alone."""
+    return items(tables, params).where(F.col("branch") == EXTRAS)

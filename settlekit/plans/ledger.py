@@ -37,10 +37,18 @@ def instalment_rows(tables: Tables, params: Params | None = None) -> DataFrame:
 
 
 def ledger_rows(tables: Tables, params: Params | None = None) -> DataFrame:
-    """Every computed column (the 47 output columns and the intermediate ones)."""
+    """Every computed column (the 47 output columns and the intermediate ones).
+
+    Built once per table set and parameters: the ledger and every report over it share one
+    DataFrame (an immutable plan, executed anew by each action).
+    """
     params = params or Params()
-    rows = attach_gateway_charge(instalment_rows(tables, params), tables.gatecharges)
-    rows = attach_week(rows, tables.weeksarrange)
+    return tables.memo(f"ledger_rows:{params!r}", lambda: _ledger_rows(tables, params))
+
+
+def _ledger_rows(tables: Tables, params: Params) -> DataFrame:
+    rows = attach_gateway_charge(instalment_rows(tables, params), tables)
+    rows = attach_week(rows, tables)
     rows = rows.select(
         "*",
         settlement_status(F.col("settlement_date"), params.as_of).alias("settlement_status"),

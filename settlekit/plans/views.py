@@ -126,8 +126,7 @@ TOTAL_COLUMNS = ["order_total", "tickets_value", "net_tickets", "products_value"
 
 def _branch(spark, sf_dir, which: str) -> DataFrame:
     t = _tables(spark, sf_dir)
-    ctx = order_context(t, BASE)
-    return tickets(t, ctx, BASE) if which == "tickets" else extras(t, ctx, BASE)
+    return tickets(t, BASE) if which == "tickets" else extras(t, BASE)
 
 
 def effective_rates_tickets(spark, sf_dir):

@@ -25,11 +25,20 @@ class Tables(Mapping):
             name: frames[name].select(*[f.name for f in SCHEMAS[name].fields])
             for name in TABLE_NAMES
         }
+        self._memo: dict = {}
+
+    def memo(self, key: str, compute):
+        """``compute()`` once per table set (derived catalogue frames, size checks, bounds)."""
+        if key not in self._memo:
+            self._memo[key] = compute()
+        return self._memo[key]
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
         try:
             return self._frames[name]
         except KeyError as exc:
