@@ -33,6 +33,18 @@ class Tables(Mapping):
             self._memo[key] = compute()
         return self._memo[key]
 
+    def with_frames(self, **frames: DataFrame) -> Tables:
+        """A table set with some tables replaced (e.g. sessions by a stream of new sessions).
+
+        Catalogue work memoised on this set (checked dimensions, copy bound) is shared; plans
+        built from the replaced tables are not.
+        """
+        merged = dict(self._frames)
+        merged.update(frames)
+        out = Tables(merged)
+        out._memo = {k: v for k, v in self._memo.items() if not k.startswith("ledger_rows:")}
+        return out
+
     def __getitem__(self, name: str) -> DataFrame:
         return self._frames[name]
 

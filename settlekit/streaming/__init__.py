@@ -1,0 +1,5 @@
+"""Streaming entry points (the ledger driven by a stream of newly paid sessions)."""
+
+from .incremental import session_stream, start, streaming_ledger
+
+__all__ = ["session_stream", "start", "streaming_ledger"]
