@@ -35,12 +35,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> Dat
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
-def small_dimension(tables, key: str, build: Callable[[], DataFrame], max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
-    """The dimension ``build()`` of a table set, built and checked once.
-
-    Small (at most ``max_rows`` rows): cached and returned with a broadcast hint. Large: returned
-    as a plain DataFrame, so joins against it shuffle.
-    """
+def checked_dimension(
+    tables, key: str, build: Callable[[], DataFrame], max_rows: int = DIMENSION_MAX_ROWS
+) -> tuple[DataFrame, bool]:
+    """The dimension ``build()`` of a table set, built and checked once; returns it and whether
+    it is small. Small (at most ``max_rows`` rows): cached and hinted for broadcast. Large: a
+    plain DataFrame, so joins against it shuffle."""
 
     def compute() -> tuple[DataFrame, bool]:
         df = build()
@@ -49,4 +49,9 @@ def small_dimension(tables, key: str, build: Callable[[], DataFrame], max_rows:
         return df, False
 
     df, small = tables.memo(key, compute)
-    return F.broadcast(df) if small else df
+    return (F.broadcast(df) if small else df), small
+
+
+def small_dimension(tables, key: str, build: Callable[[], DataFrame], max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
+    """:func:`checked_dimension` without the flag."""
+    return checked_dimension(tables, key, build, max_rows)[0]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import order as R
 from ..sources import Tables
-from .broadcast import PARAMETER_MAX_ROWS, small_dimension
+from .broadcast import PARAMETER_MAX_ROWS, checked_dimension, small_dimension
 from .filters import Params, apply, created_between, isin
 
 PAID = "Paid"
@@ -60,19 +60,24 @@ def card_per_id(cards: DataFrame) -> DataFrame:
     )
 
 
-def attach_card(sessions: DataFrame, cards: DataFrame) -> DataFrame:
+def attach_card(sessions: DataFrame, tables: Tables) -> DataFrame:
     """Add the session's stored card (nulls when it has none).
 
-    Sessions without a card id (every non-card payment) skip the join: a null key would send
-    all of them to a single shuffle partition.
+    One row per card id is computed once per table set. When it passes the size check it is
+    broadcast and joined in place. Otherwise both sides shuffle by card id, and sessions without
+    a card id (every non-card payment) skip that join: a null key would send all of them to a
+    single shuffle partition.
     """
-    picked = card_per_id(cards)
+    picked, small = checked_dimension(
+        tables, "card_per_id", lambda: card_per_id(tables.customerpaymentprovidercard)
+    )
+    joined_cols = ["card_digits", "card_brand_stored"]
+    if small:
+        return sessions.join(picked, sessions.provider_card_id == picked.card_id, "left").drop("card_id")
     with_id = sessions.where(F.col("provider_card_id").isNotNull())
     joined = with_id.join(picked, with_id.provider_card_id == picked.card_id, "left").drop("card_id")
     without = sessions.where(F.col("provider_card_id").isNull()).select(
-        "*",
-        F.lit(None).cast("string").alias("card_digits"),
-        F.lit(None).cast("string").alias("card_brand_stored"),
+        "*", *[F.lit(None).cast("string").alias(c) for c in joined_cols]
     )
     return joined.unionByName(without)
 
@@ -97,7 +102,7 @@ def instalment_plans(ranges: DataFrame) -> DataFrame:
 
 def order_context(tables: Tables, params: Params | None = None) -> DataFrame:
     """One row per paid session (more if a summary, payment or capture repeats)."""
-    sessions = attach_card(paid_sessions(tables, params), tables.customerpaymentprovidercard)
+    sessions = attach_card(paid_sessions(tables, params), tables)
     summary = tables.checkoutsummary.select(
         F.col("sessionid").alias("summary_session"),
         F.col("totalAmount").alias("sum_total"),
