@@ -41,8 +41,16 @@ ITEM_VALUE_COLUMNS = [c for c in ITEM_COLUMNS if c != "instalment_plan"]
 ROW_KEY = ["branch", "item_id", "order_id", "instalment_seq", "settlement_date"]
 
 
+_FIXTURES: dict[tuple[str, str], Tables] = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return adapter.build(spark, sf_dir)
+    """The fixture tables of ``sf_dir``, built once per Spark application, so the catalogue
+    checks and caches are shared by every view run in it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FIXTURES:
+        _FIXTURES[key] = adapter.build(spark, sf_dir)
+    return _FIXTURES[key]
 
 
 def source_counts(spark, sf_dir):
