@@ -71,4 +71,7 @@ def created_between(createdat: Column, bought: tuple[dt.date, dt.date] | None) -
     lo, hi = bought
     start = dt.datetime.combine(lo, dt.time(3))
     end = dt.datetime.combine(hi + dt.timedelta(days=1), dt.time(3))
-    return (createdat >= F.lit(start).cast("timestamp_ntz")) & (createdat < F.lit(end).cast("timestamp_ntz"))
+    # built from text: a Python datetime literal would pass through the session's time zone
+    start_ts = F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz")
+    end_ts = F.lit(end.isoformat(sep=" ")).cast("timestamp_ntz")
+    return (createdat >= start_ts) & (createdat < end_ts)

@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame
 
 from ..operators.filters import Params
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, write_stage
 from ..sources import Tables
 from . import reports
 from .ledger import ledger
@@ -23,10 +23,10 @@ def write_ledger(tables: Tables, params: Params, path: str | None = None) -> Dat
     """Write the 47-column ledger as parquet partitioned by ``settlement_week``; return a
     DataFrame reading it back."""
     df = ledger(tables, params)
-    spark = df.sparkSession
-    path = path or os.path.join(checkpoint_dir(spark), "ledger")
+    if path is None:
+        return write_stage(df, "ledger", ["settlement_week"]).select(*df.columns)
     df.write.mode("overwrite").partitionBy("settlement_week").parquet(path)
-    return spark.read.parquet(path).select(*df.columns)
+    return df.sparkSession.read.parquet(path).select(*df.columns)
 
 
 def report_all(written: DataFrame, tables: Tables, editions=None) -> dict[str, DataFrame]:
