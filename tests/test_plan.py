@@ -66,3 +66,11 @@ def test_small_dimensions_are_broadcast(spark, parquet_tables):
     plan = plan_of(ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1))))
     assert "BroadcastHashJoin" in plan
     assert re.search(r"BroadcastExchange", plan)
+
+
+def test_choosing_participants_prunes_the_extras_branch(spark, parquet_tables):
+    df = ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1), participant_ids=[101, 102]))
+    plan = plan_of(df)
+    assert scans(plan, "checkoutparticipant")
+    assert not scans(plan, "checkoutproductcomplement")
+    assert any("In(id" in s for s in scans(plan, "checkoutparticipant"))
