@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import order as R
 from ..sources import Tables
+from . import fanout
 from .broadcast import PARAMETER_MAX_ROWS, checked_dimension, small_dimension
 from .filters import Params, apply, created_between, isin
+from .skew import MAX_HOT_KEYS, hot_keys, salted_join
 
 PAID = "Paid"
 
@@ -60,7 +62,17 @@ def card_per_id(cards: DataFrame) -> DataFrame:
     )
 
 
-def attach_card(sessions: DataFrame, tables: Tables) -> DataFrame:
+def hot(tables: Tables, name: str, keys, key: str, hot_rows: int) -> DataFrame | None:
+    """Hot keys of a table set (memoised, cached); None when there are none."""
+
+    def compute():
+        found, _ = checked_dimension(tables, f"{name}:{hot_rows}", lambda: hot_keys(keys(), key, hot_rows), MAX_HOT_KEYS)
+        return found if found.limit(1).count() else None
+
+    return tables.memo(f"hot:{name}:{hot_rows}", compute)
+
+
+def attach_card(sessions: DataFrame, tables: Tables, hot_rows: int = Params.hot_key_rows) -> DataFrame:
     """Add the session's stored card (nulls when it has none).
 
     One row per card id is computed once per table set. When it passes the size check it is
@@ -75,7 +87,14 @@ def attach_card(sessions: DataFrame, tables: Tables) -> DataFrame:
     if small:
         return sessions.join(picked, sessions.provider_card_id == picked.card_id, "left").drop("card_id")
     with_id = sessions.where(F.col("provider_card_id").isNotNull())
-    joined = with_id.join(picked, with_id.provider_card_id == picked.card_id, "left").drop("card_id")
+    hot_cards = hot(
+        tables, "cards", lambda: tables.checkoutsession.select(F.col("providerCardId").alias("provider_card_id")),
+        "provider_card_id", hot_rows,
+    )
+    joined = salted_join(
+        with_id, picked.withColumnRenamed("card_id", "provider_card_id"), "provider_card_id", hot_cards,
+        F.col("order_id"), "left",
+    )
     without = sessions.where(F.col("provider_card_id").isNull()).select(
         "*", *[F.lit(None).cast("string").alias(c) for c in joined_cols]
     )
@@ -102,7 +121,8 @@ def instalment_plans(ranges: DataFrame) -> DataFrame:
 
 def order_context(tables: Tables, params: Params | None = None) -> DataFrame:
     """One row per paid session (more if a summary, payment or capture repeats)."""
-    sessions = attach_card(paid_sessions(tables, params), tables)
+    params = params or Params()
+    sessions = attach_card(paid_sessions(tables, params), tables, params.hot_key_rows)
     summary = tables.checkoutsummary.select(
         F.col("sessionid").alias("summary_session"),
         F.col("totalAmount").alias("sum_total"),
@@ -126,6 +146,9 @@ def order_context(tables: Tables, params: Params | None = None) -> DataFrame:
     paypal = tables.checkoutpaypaldetails.select(
         F.col("sessionId").alias("paypal_session"), F.col("captureId").alias("capture_id")
     )
+    # Buyer rows add no column, only multiply the extras; counted per session here so the
+    # item join that follows needs nothing partitioned by session after it
+    buyers = fanout.counts(tables.checkoutbuyer, "sessionId", "buyer_session", "buyers")
     providers = small_dimension(
         tables, "providers",
         lambda: tables.paymentprovider.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name")),
@@ -139,6 +162,7 @@ def order_context(tables: Tables, params: Params | None = None) -> DataFrame:
         sessions.join(summary, c("order_id") == c("summary_session"), "left")
         .join(payment, c("order_id") == c("payment_session"), "left")
         .join(paypal, c("order_id") == c("paypal_session"), "left")
+        .join(buyers, c("order_id") == c("buyer_session"), "left")
         .join(providers, c("pay_provider_id") == c("provider_id"), "left")
         .join(plans, c("pay_instalments") == c("plan_instalments"), "left")
         .withColumn("gateway_key", R.gateway_key(c("pay_option"), c("provider_name")))
@@ -160,5 +184,5 @@ def order_context(tables: Tables, params: Params | None = None) -> DataFrame:
         R.card_prefix(option, c("pay_digits"), c("card_digits")).alias("card_prefix"),
         "pay_option", "pay_card_brand", "pay_digits", "card_digits", "card_brand_stored",
         "sum_total", "sum_tickets", "sum_products", "sum_discount", "sum_interest",
-        "sum_freight", "sum_tax", "sum_insurance", "sum_transfer",
+        "sum_freight", "sum_tax", "sum_insurance", "sum_transfer", "buyers",
     )

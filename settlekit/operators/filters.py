@@ -38,6 +38,7 @@ class Params:
     payable_ticket_reasons: tuple[str, ...] = PAYABLE_TICKET_REASONS  # F02
     payable_extra_reasons: tuple[str, ...] = PAYABLE_EXTRA_REASONS  # F03
     settlement_days: Callable[[Column], Column] = square_days  # R24
+    hot_key_rows: int = 2_000_000  # rows above which an order or card is split over tasks
 
 
 def isin(c: Column, values: Sequence | None) -> Column | None:

@@ -24,7 +24,8 @@ from ..functions.totals import Summary, extra_totals, ticket_totals
 from ..sources import Tables
 from . import dims, fanout
 from .broadcast import small_dimension
-from .context import order_context
+from .context import hot, order_context
+from .skew import salted_join
 from .filters import Params, apply, isin
 from .trades import attach_links
 
@@ -148,8 +149,14 @@ def items(tables: Tables, params: Params | None = None, context: DataFrame | Non
     params = params or Params()
     context = context if context is not None else order_context(tables, params)
     lines = ticket_lines(tables, params).unionByName(extra_lines(tables, params))
-    buyers = buyer_counts(tables)
-    rows = lines.join(context, "order_id").join(buyers, F.col("order_id") == F.col("buyer_session"), "left")
+    hot_orders = hot(
+        tables, "orders",
+        lambda: tables.checkoutparticipant.select(F.col("sessionid").alias("order_id")).unionAll(
+            tables.checkoutproductcomplement.select(F.col("sessionId").alias("order_id"))
+        ),
+        "order_id", params.hot_key_rows,
+    )
+    rows = salted_join(lines, context, "order_id", hot_orders, F.col("item_id"))
 
     c = F.col
     is_ticket = c("branch") == TICKETS
