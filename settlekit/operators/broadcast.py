@@ -30,11 +30,6 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
-
 def checked_dimension(
     tables, key: str, build: Callable[[], DataFrame], max_rows: int = DIMENSION_MAX_ROWS
 ) -> tuple[DataFrame, bool]:

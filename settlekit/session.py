@@ -12,10 +12,9 @@ designed and tested with:
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -49,24 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is set by the deployment and read from here. Only when it is unset (a
     laptop or a test) a private folder is created and registered, so local runs work too.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or sc.getConf().get("spark.checkpoint.dir", None)
+        or sc.getCheckpointDir()
+    )
     if not current:
         current = tempfile.mkdtemp(prefix="settlekit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
-
-
-def write_stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back.
-
-    This cuts the lineage of a long job (a lost executor then recomputes from the written files,
-    not from the 28 source scans) and is how the ledger is shared by several reports.
-    """
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.parquet(path)

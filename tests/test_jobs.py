@@ -29,3 +29,10 @@ def test_display_names(spark, small_tables):
     df = display_names(ledger(small_tables, Params(as_of=dt.date(2001, 7, 1))).limit(1))
     assert df.columns == [display for _, display in OUTPUT_COLUMNS]
     assert len(df.columns) == 47
+
+
+def test_checkpoint_dir_is_read_from_the_session(spark):
+    from settlekit.session import checkpoint_dir
+
+    configured = spark.conf.get("spark.checkpoint.dir")
+    assert checkpoint_dir(spark) == configured
