@@ -17,7 +17,7 @@ from ..sources import Tables
 from . import fanout
 from .broadcast import PARAMETER_MAX_ROWS, checked_dimension, small_dimension
 from .filters import Params, apply, created_between, isin
-from .skew import MAX_HOT_KEYS, hot_keys, salted_join
+from .skew import hot_keys, salted_join
 
 PAID = "Paid"
 
@@ -63,10 +63,11 @@ def card_per_id(cards: DataFrame) -> DataFrame:
 
 
 def hot(tables: Tables, name: str, keys, key: str, hot_rows: int) -> DataFrame | None:
-    """Hot keys of a table set (memoised, cached); None when there are none."""
+    """Hot keys of a table set, computed once (one aggregate; bounded by its top-K limit, so it
+    is cached as is); None when there are none."""
 
     def compute():
-        found, _ = checked_dimension(tables, f"{name}:{hot_rows}", lambda: hot_keys(keys(), key, hot_rows), MAX_HOT_KEYS)
+        found = hot_keys(keys(), key, hot_rows).cache()
         return found if found.limit(1).count() else None
 
     return tables.memo(f"hot:{name}:{hot_rows}", compute)
