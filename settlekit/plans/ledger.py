@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.present import DISPLAY_NAMES, LEDGER_COLUMNS, presented, settlement_status
 from ..operators.calendar import attach_week
-from ..operators.context import order_context
 from ..operators.filters import Params, apply, between
 from ..operators.gateway import attach_gateway_charge
 from ..operators.instalments import add_splits, explode_instalments

@@ -50,7 +50,6 @@ def test_dates_and_status(spark):
 def test_cancel_reason_allow_list(spark):
     t = golden_tables(spark)
     # give participant 20 a cancel that is not payable, 10 one that is
-    from tables_builder import make_tables  # noqa: F401
     cancels = spark.createDataFrame([(20, "Desistência"), (10, "Cancelamento Reembolsável")],
                                     "participantId long, reason string")
     frames = {name: t[name] for name in t}

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from settlekit import Params, display_names, ledger, ordered
 from settlekit.functions.present import OUTPUT_COLUMNS
