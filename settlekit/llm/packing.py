@@ -26,7 +26,7 @@ spans several sequences; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -40,10 +40,20 @@ WINDOW = 4096
 END = 2
 MAX_OPEN = 512
 #: Words whose ids a worker keeps at a time.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 #: Sequence ids: so many for each partition.
 PER_TASK = 1 << 40
 
+def _byte_symbols() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a printable character: a printable Latin-1
+    byte as itself, the others, in order, as the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+_BYTE_SYMBOLS = _byte_symbols()
+_U4 = struct.Struct("<I").pack
 _LOADED: dict[str, "WordTokenizer"] = {}
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -54,29 +64,59 @@ class WordTokenizer:
     """A tokenizer file whose pre-tokenizer drops white space, applied word by word.
 
     No token of such a tokenizer crosses white space, so a text's ids are its words' ids in a
-    row, and a word's ids can be kept (`check` compares both ways on a text)."""
-
-    split = re.compile(r"[ \t\n]+").split
+    row, and a word's ids can be kept. Its pre-tokenizer also parts letters from marks, and its
+    normalizer lowers case: a word of Latin letters with full stops or the like behind it has the
+    ids of its letters in lower case and those of the marks, and the letters go to the
+    tokenizer's model as they are. All other words go through the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {"": b""}
 
+    def _whole(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """The ids of a word of lower-case Latin letters."""
+        found = self.cache.get(word)
+        if found is None:
+            symbols = word.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+            found = self.cache[word] = b"".join([_U4(t.id) for t in self.model.tokenize(symbols)])
+        return found
+
+    def _new(self, word: str) -> bytes:
+        core = word.rstrip(".,;:!?")
+        letters = core.lower()  # may add marks, as for a capital dotted i
+        if not letters.isalpha() or max(letters) >= "\u0250":
+            return self._whole(word)
+        marks = word[len(core) :]
+        ids = self._letters(letters)
+        if marks:
+            if marks not in self.cache:
+                self.cache[marks] = self._whole(marks)
+            ids += self.cache[marks]
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split_up = [self.split(x) for x in texts]
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
             cache[""] = b""
-        new = list({w for words in split_up for w in words if w not in cache})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[word] = np.asarray(got.ids, dtype="<u4").tobytes()
-        return [b"".join([cache[w] for w in words]) for words in split_up]
+        found = []
+        for text in texts:
+            words = text.replace("\n", " ").replace("\t", " ").split(" ")
+            try:
+                found.append(b"".join([cache[w] for w in words]))
+            except KeyError:
+                for w in words:
+                    if w not in cache:
+                        cache[w] = self._new(w)
+                found.append(b"".join([cache[w] for w in words]))
+        return found
 
     @classmethod
     def load(cls, path: str) -> "WordTokenizer":
