@@ -283,7 +283,8 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and node (the digest of the set)."""
+    """doc_id, n_shingles, component_id, kept, text_key (md5 of the text) and node (the digest of
+    the set) of every row of `docs`."""
     sets = saved(sketches(docs))
     full = sets.filter("node is not null")
     groups = saved(
@@ -303,7 +304,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rooted.withColumnRenamed("n", "_n"), roots.withColumnRenamed("_nodes", "n"), "root", rooted.count()
     ).select("node", "component_id", F.col("_n").alias("n"))
     labels = saved(labels)
-    placed = lookup(full.select("node", "doc_id", "n_shingles"), labels, "node", sets.count())
-    empty = sets.filter("node is null").select("node", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    result = placed.select("node", "doc_id", "n_shingles", "component_id").unionByName(empty)
-    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node")
+    placed = lookup(full.select("node", "doc_id", "text_key", "n_shingles"), labels, "node", sets.count())
+    empty = sets.filter("node is null").select("node", "doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    result = placed.select("node", "doc_id", "text_key", "n_shingles", "component_id").unionByName(empty)
+    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "node")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, of which one of each group stays; of rows that
+    repeat an id and a text of that document, one."""
+    found = saved(near_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept", "node"))
+    gone = found.filter("not kept").select("_id", "_key").distinct()
+    repeated = found.filter("kept and node is not null").groupBy("_id", "_key").count().filter("count > 1").select("_id", "_key")
+
+    def bounded(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.md5(F.col("text").cast("string")).eqNullSafe(F.col("_key"))
+    kept = docs.join(bounded(saved(gone)), same, "left_anti")
+    repeated = saved(repeated)
+    if repeated.isEmpty():
+        return kept
+    repeated = bounded(repeated)
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

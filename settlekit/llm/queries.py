@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm import ann, htmltext, mixing, neardup, packing, sharding, topk, warc
+from settlekit.llm import ann, htmltext, langid, mixing, neardup, packing, sharding, topk, toxicity, warc
+from settlekit.llm.common import crc_of_id
 
 
 def word_tokenizer() -> str:
@@ -20,6 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(folds: int, fold: int) -> Column:
+    """Whether the remainder of the id's crc32 is `fold`; a null id is not."""
+    return F.coalesce(crc_of_id("doc_id") % folds == fold, F.lit(False))
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, (crc_of_id("doc_id") % 4) != 2)
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), (crc_of_id("doc_id") % 5) != 0)
+    found = toxicity.assess(docs, model)
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted", "hits", "quoted")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.inner_products(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -32,7 +52,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "node")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +80,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_toxicity": op2_toxicity,
     "op3_topk": op3_topk,
     "op4_warc": op4_warc,
     "op5_neardup": op5_neardup,
