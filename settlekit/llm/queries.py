@@ -1,4 +1,5 @@
-"""The registered queries of this subpackage, and the SQL of those that SQL can express."""
+"""The registered queries of this subpackage (`QUERIES`); `SQL` is that of those which SQL can
+express."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from settlekit.llm import ann, htmltext, langid, mixing, neardup, packing, sharding, topk, toxicity, warc
 from settlekit.llm.common import crc_of_id
+from settlekit.llm.sql import SQL
 
 
 def word_tokenizer() -> str:
@@ -79,6 +81,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_toxicity": op2_toxicity,
@@ -91,5 +95,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
-
-SQL: dict[str, str] = {}
