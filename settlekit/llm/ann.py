@@ -104,7 +104,8 @@ def search_leaves(ids, rows, query_ids, queries, bounds, k, confidence=CONFIDENC
             chosen = order[active, turn]
             reach = gap[active, chosen] * (1 - 1e-9)
             # at distance 0 nothing is ruled out: equal rows are all verified
-            going = ~(reach >= np.where(np.isinf(least[block[active]]), np.inf, stop_at * least[block[active]] ** 2)) | (reach == 0)
+            limit = np.minimum(stop_at, 1e300) * np.minimum(least[block[active]], 1e150) ** 2
+            going = (reach < limit) | (reach == 0) | np.isinf(stop_at)
             active, chosen = active[going], chosen[going]
             if not len(active):
                 break

@@ -267,7 +267,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
         owner = np.repeat(np.arange(len(texts)), lengths)
         letters = np.fromiter((len(w) for ws in found for w in ws), dtype=np.float64, count=len(number))
         size = len(languages)
-        by = np.bincount(owner * size + path, weights=letters, minlength=len(texts) * size).reshape(-1, size)
+        by = np.bincount(owner * size + path, weights=letters, minlength=len(texts) * size).reshape(-1, size).astype(float)
         total = by.sum(axis=1)
         ends = np.cumsum(lengths)
         some = np.flatnonzero(lengths)

@@ -44,7 +44,7 @@ SCHEDULES: tuple[tuple[tuple[float, float], ...], ...] = (
     ((0.0, 0.25), (0.6, 1.0), (1.0, 2.0)),
 )
 #: Rows of one hash range of a source, as aimed at.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def words(text: Column) -> Column:
