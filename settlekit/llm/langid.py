@@ -102,7 +102,7 @@ class Model:
             rows.setdefault(key, np.zeros(size))[at[language]] += n
         self.index = {g: i for i, g in enumerate(table)}
         self.unknown = len(self.index)
-        count = np.array([*table.values(), np.zeros(size)]).reshape(-1, size)
+        count = np.array([*table.values(), np.zeros(size)]).reshape(len(table) + 1, size)
         total = count.sum(axis=0) + SMOOTHING * len(count)
         self.logs = np.log((count + SMOOTHING) / total).astype(np.float32)
         # a trigram that was never seen says nothing for or against a language
