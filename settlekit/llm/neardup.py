@@ -8,13 +8,17 @@
    least value. An empty bin borrows the value of a full bin that is found by hashing
    (bin, attempt) until a full one is hit (optimal densification), the same way for every set.
 3. *Candidates.* Bands of rows of the signature are hashed to buckets. In a bucket each node is
-   paired with the bucket's least node only, a star, so pairs number at most nodes x bands.
-4. *Confirmation.* Each node's first star edge is checked on the full sets of both texts; edges
-   whose ends are not yet in one component are checked after that.
+   paired with one centre only, a star, so pairs number at most nodes x bands. The centre is the
+   bucket's node that shares buckets with the most others: of copies with edits of one text it is
+   one with few edits, and near to whatever is near to any of them.
+4. *Confirmation.* Each node's best star edge (most bands in common) is checked on the full sets
+   of both texts; edges whose ends are not yet in one component are checked after that.
 5. *Rest.* A star can miss two nodes that are similar to each other and not to the centre. The
    buckets that still span several components are searched in full: their members are dealt into
-   blocks, and each pair of blocks compares signatures in one vectorised step and passes on
-   pairs of different components whose signatures agree well enough. They are checked as before.
+   blocks, and each pair of blocks is compared in one task, pairs of different components only, each
+   in the first bucket that it shares: by signatures, then by the `SKETCH` smallest hashes of
+   both sets (all of them, for most texts). Only pairs that are similar by these leave the task,
+   to be confirmed as before.
 
 With 128 bins in 32 bands of 4, two sets of similarity 0.75 miss every bucket with probability
 5e-6, and less above. The threshold itself is exact: 100 * |A and B| >= 75 * |A or B|.
@@ -44,9 +48,10 @@ SHINGLE, BINS, BANDS = 5, 128, 32
 PERCENT = 75
 #: Nodes in a block of the exhaustive search of a bucket.
 BLOCK = 256
-#: Standard deviations below similarity 0.75 at which the agreement of two signatures rules a
-#: pair out of the exhaustive search.
-DEVIATIONS = 6.0
+#: Hashes of a set that the exhaustive search compares.
+SKETCH = 1024
+#: Standard deviations below similarity 0.75 at which an estimate rules a pair out there.
+DEVIATIONS = 5.0
 #: Texts of compared documents are found by a broadcast of their ids up to this many; beyond it
 #: by a shuffled join. The result is the same.
 BROADCAST_ROWS = 200_000
@@ -157,7 +162,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(key, node): a row for each node (node, sig) and band."""
+    """(key, band, node): a row for each node (node, sig) and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +170,15 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
                 node, sig = batch.column(0).slice(at, 2048), batch.column(1).slice(at, 2048).to_pylist()
                 keys = [k for s in sig for k in band_keys(np.frombuffer(s, dtype=np.uint32))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), node.take(pa.array(np.repeat(np.arange(len(node)), BANDS)))],
-                    names=["key", "node"],
+                    [
+                        pa.array(keys, pa.int64()),
+                        pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(node))),
+                        node.take(pa.array(np.repeat(np.arange(len(node)), BANDS))),
+                    ],
+                    names=["key", "band", "node"],
                 )
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node binary")
+    return nodes.select("node", "sig").mapInArrow(run, "key long, band int, node binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,82 +213,126 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _plausible_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of nodes of one bucket, of different components, whose signatures agree; `members`
-    is (key, blocks, block, node, root, n_shingles, sig)."""
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The smallest 32-bit hashes of a set, sorted; all of them if there are at most `SKETCH`."""
+    mixed = _mix(found ^ np.uint64(0x9E3779B97F4A7C15))
+    return np.unique((mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32))[:SKETCH]
+
+
+def sketched_as_similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets may be similar enough, by their sketches."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    share, union = PERCENT / 100, len(a) + len(b) - both
+    if len(a) < SKETCH and len(b) < SKETCH:
+        return both >= (share - 0.01) * union  # equal 32-bit hashes of different shingles
+    least = np.union1d(a, b)[:SKETCH]
+    both = len(np.intersect1d(np.intersect1d(least, a, assume_unique=True), b, assume_unique=True))
+    return both >= (share - DEVIATIONS * np.sqrt(share * (1 - share) / len(least))) * len(least)
+
+
+def _similar_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of nodes of one bucket, of different components, that look similar; `members` is
+    (key, band, blocks, block, node, root, n_shingles, sig, sketch)."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = members.select("*", other).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n_shingles", "sig"
-    )
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "band", "block", "node", "root", "n_shingles", "sig", "sketch",
+    )
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
         block = table["block"].to_numpy()
-        node = table["node"].to_pylist()
+        node, sketches_ = table["node"].to_pylist(), table["sketch"].to_pylist()
         root = np.unique(np.array([x.hex() for x in table["root"].to_pylist()]), return_inverse=True)[1]
-        least = least_agreement(table["n_shingles"].to_numpy())
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint32).reshape(len(block), -1)
         a, b = [], []
-        for x in np.flatnonzero(block == i):
-            y = np.flatnonzero((block == j) & (root != root[x]))
-            y = y[y > x] if i == j else y
-            agree = (sig[y] == sig[x]).sum(axis=1)
-            y = y[agree >= np.minimum(least[y], least[x])]
-            a.extend([node[x]] * len(y))
-            b.extend(node[k] for k in y)
+        if root.max() > 0:
+            least = least_agreement(table["n_shingles"].to_numpy())
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint32).reshape(len(block), -1)
+            values = [np.frombuffer(x, dtype=np.uint32) for x in sketches_]
+            for x in np.flatnonzero(block == i):
+                y = np.flatnonzero((block == j) & (root != root[x]))
+                y = y[y > x] if i == j else y
+                if not len(y):
+                    continue
+                same = sig[y] == sig[x]
+                # a bucket before this one has the pair already
+                earlier = same.reshape(len(y), BANDS, -1)[:, :band].all(axis=2).any(axis=1)
+                y = y[~earlier & (same.sum(axis=1) >= np.minimum(least[y], least[x]))]
+                near = [k for k in y if sketched_as_similar(values[x], values[k])]
+                a.extend([node[x]] * len(near))
+                b.extend(node[k] for k in near)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def _unsettled(members: DataFrame, groups: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that span several components, ready for `_plausible_pairs`."""
-    rooted = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+def _sketched(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, sketch) of the given nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [sketch(shingles(x)).tobytes() for x in part.column(1).cast(pa.large_binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "sketch"])
+
+    return texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node binary, sketch binary")
+
+
+def _unsettled(members: DataFrame, groups: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that span several components, ready for `_similar_pairs`."""
+    rooted = members.join(found, "node", "left").select("key", "band", "node", "n", F.coalesce("root", "node").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    held = rooted.join(open_keys.select("key"), "key", "left_semi")
+    held = saved(rooted.join(open_keys.select("key"), "key", "left_semi"))
+    nodes = held.select("node").distinct()
+    values = groups.select("node", "n_shingles", "sig").join(_sketched(nodes, texts), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    return held.join(groups.select("node", "n_shingles", "sig"), "node").select(
-        "key", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("block"), "node", "root", "n_shingles", "sig"
-    )
+    return held.join(values, "node").select(
+        "key", "band", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "key"), blocks).cast("int").alias("block"),
+        "node", "root", "n_shingles", "sig", "sketch",
+    )
 
 
-def links(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """(node, root) for every node that is linked with another."""
     rows = bucket_rows(groups)
-    buckets = rows.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = saved(rows.join(buckets, "key").select("key", "node", "centre", "n"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = saved(rows.join(buckets, "key").select("key", "band", "node", "n"))
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    centres = (
+        members.join(company, "node")
+        .groupBy("key")
+        .agg(F.max_by("node", F.struct("company", "node")).alias("centre"), F.count(F.lit(1)).alias("n"))
+    )
+    pairs = lookup(members.select("key", "node"), saved(centres), "key", members.count())
     stars = saved(
-        members.filter("node <> centre")
+        pairs.filter("node <> centre")
         .groupBy(F.col("node").alias("a"), F.col("centre").alias("b"))
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    owners = members.select("node").distinct().join(groups, "node").select("node", "first_id", "text_key")
-    owners = saved(owners)
+    owners = saved(members.select("node").distinct().join(groups, "node").select("node", "first_id", F.col("text_key").alias("_key")))
     if owners.count() <= BROADCAST_ROWS:
         owners = F.broadcast(owners)
-    texts = saved(
-        _keyed(docs)
-        .join(owners.withColumnRenamed("text_key", "_key"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("_key")))
-        .select("node", "text")
-    )
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("_key"))
+    texts = saved(_keyed(docs).join(owners, same).select("node", "text"))
     best = saved(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
     linked = saved(confirmed(best, texts).distinct())
-    found = saved(components(linked))
+    found = components(linked)
     checked = best
     more = saved(_across(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found))
     if not more.isEmpty():
         checked = checked.unionByName(more)
         linked = saved(linked.unionByName(confirmed(more, texts)).distinct())
-        found = saved(components(linked))
-    rest = _plausible_pairs(_unsettled(members, groups, found))
+        found = components(linked)
+    rest = _similar_pairs(_unsettled(members, groups, texts, found))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     seen = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = saved(rest.join(seen, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         last = saved(confirmed(rest, texts))
         if not last.isEmpty():
-            found = saved(components(linked.unionByName(last)))
-    return found
+            found = components(linked.unionByName(last))
+    return saved(found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -295,7 +348,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.first("sig").alias("sig"),
         ).select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "n", "n_shingles", "sig")
     )
-    found = links(docs, sets, groups)
+    found = links(docs, groups)
     rooted = saved(
         groups.join(found, "node", "left").select("node", "first_id", "n", F.coalesce("root", "node").alias("root"))
     )
