@@ -1,7 +1,7 @@
 """DuckDB SQL for every named view (``settlekit/plans/views.py``), same names, same columns.
 
-Each string is self-contained: the adapter CTEs, the ledger CTEs, then one SELECT. Sums of
-money are taken as whole micro-units, exactly like :func:`settlekit.functions.money.exact_sum`.
+Each string is self-contained: the adapter CTEs, the ledger CTEs, then one SELECT. Money is summed
+as decimals and the total rounded once.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ AS_OF = "2001-07-01"
 EDITIONS = "'AMERICA', 'ASIA'"
 EVENT_IDS = "1, 2, 3, 5, 8, 13, 21"
 ORDER_IDS = "1, 3, 5, 7, 32, 37, 70, 100, 1000, 2000, 4000, 10000, 20000"
-PARTICIPANT_IDS = "101, 102, 301, 501, 3201, 3202, 3701"
-EXTRA_IDS = "104, 304, 504, 704, 3204, 3704, 7004"
+PARTICIPANT_IDS = ", ".join(str(order * 100 + place) for order in range(1, 3001, 7) for place in (1, 2))
+EXTRA_IDS = ", ".join(str(order * 100 + place) for order in range(1, 3001, 3) for place in (4, 5))
 SETTLED = ("2000-01-01", "2000-12-31")
 BOUGHT = ("1998-01-01", "1998-06-30")
 STATUS = "futuro"
@@ -38,8 +38,19 @@ TOTALS = ("order_total, tickets_value, net_tickets, products_value, discount, in
           " insurance, transfer, item_price")
 
 
-def micro_sum(col: str) -> str:
-    return f"CAST(sum(CAST(floor({col} * 1.0E6 + 0.5E0) AS BIGINT)) AS DOUBLE) / 1.0E6"
+def money(col: str) -> str:
+    """A total to six places, summed exactly as decimals of twelve."""
+    return f"round(sum({col}::DECIMAL(38, 12)), 6)::DOUBLE"
+
+
+def counted(keys: str, items: str, where: str, **sums: str) -> str:
+    """Items per key: rows are counted per instalment count, and n rows of n instalments are one."""
+    totals = ", ".join(f"{money(name)} AS {name}" for name in sums)
+    parts = ", ".join(f"sum({col}::DECIMAL(38, 12)) AS {name}" for name, col in sums.items())
+    return (
+        f"SELECT {keys}, {money('row_count / n')} AS {items}, {totals} FROM ("
+        f"SELECT {keys}, n1 AS n, count(*)::DOUBLE AS row_count, {parts} FROM ledger_rows {where} GROUP BY {keys}, n1) GROUP BY {keys}"
+    )
 
 
 def _with(select: str) -> str:
@@ -64,7 +75,7 @@ FAN_KEYS = [
     ("event", "id", None), ("eventcomplement", "eventid", None), ("product", "id", None),
     ("productmodel", "id", None), ("productsize", "id", None), ("productcomplementmanual", "productId", None),
     ("installmentsrange", "installments", None), ("paymentprovider", "id", None),
-    ("gatecharges", "gateway,negotiationNumber,chargeOn,cardBrand,installments", None),
+    ("gatecharges", "gateway,chargeOn,cardBrand,installments", "negotiationNumber = 1"),
     ("weeksarrange", "data", None),
 ]
 
@@ -72,11 +83,13 @@ FAN_KEYS = [
 def _duplicate_keys() -> str:
     parts = []
     for table, keys, where in FAN_KEYS:
-        cond = f"WHERE {where}" if where else ""
+        cond = " AND ".join([*([where] if where else []), *(f"{k} IS NOT NULL" for k in keys.split(","))])
+        text = table == "gatecharges"  # its texts are compared without case
+        by = ", ".join(f"lower({k})" if text and k != "installments" else k for k in keys.split(","))
         parts.append(
             f"SELECT '{table}' AS table_name, '{keys}' AS key_columns, CAST(count(*) AS BIGINT) AS duplicated_keys,"
             f" CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra_rows"
-            f" FROM (SELECT count(*) AS n FROM {table} {cond} GROUP BY {keys} HAVING count(*) > 1) d"
+            f" FROM (SELECT count(*) AS n FROM {table} WHERE {cond} GROUP BY {by} HAVING count(*) > 1) d"
         )
     return _with("\nUNION ALL\n".join(parts))
 
@@ -174,10 +187,12 @@ def queries() -> dict[str, str]:
         "filter_orders": _ledger_where(f"order_id IN ({ORDER_IDS})"),
         "filter_participants": _ledger_where(f"branch = 'tickets' AND item_id IN ({PARTICIPANT_IDS})"),
         "filter_extras": _ledger_where(f"branch = 'extras' AND item_id IN ({EXTRA_IDS})"),
-        "filter_both_empty": _with(
-            f"SELECT CAST(count(*) AS BIGINT) AS row_count FROM ledger_rows"
-            f" WHERE (branch = 'tickets' AND item_id IN ({PARTICIPANT_IDS}) AND false)"
-            f" OR (branch = 'extras' AND item_id IN ({EXTRA_IDS}) AND false)"
+        "filter_branches": _with(
+            "SELECT chosen, count(*) FILTER (branch = 'tickets') AS tickets_rows,"
+            " count(*) FILTER (branch = 'extras') AS extras_rows FROM (VALUES ('participants'), ('extras'), ('both')) c(chosen)"
+            " LEFT JOIN ledger_rows ON"
+            f" (chosen = 'participants' AND branch = 'tickets' AND item_id IN ({PARTICIPANT_IDS}))"
+            f" OR (chosen = 'extras' AND branch = 'extras' AND item_id IN ({EXTRA_IDS})) GROUP BY chosen"
         ),
         "filter_settled": _ledger_where(f"settlement_date BETWEEN DATE '{SETTLED[0]}' AND DATE '{SETTLED[1]}'"),
         "filter_bought": _ledger_where(f"purchase_date BETWEEN DATE '{BOUGHT[0]}' AND DATE '{BOUGHT[1]}'"),
@@ -185,30 +200,25 @@ def queries() -> dict[str, str]:
         "ledger": _with(f"SELECT {LEDGER} FROM ledger_rows"),
         "ledger_ordered": _with(f"SELECT {LEDGER} FROM ledger_rows ORDER BY order_id DESC"),
         "lots": _with(
-            f"SELECT edition, event, item_name, item_type, list_price, {micro_sum('item_fraction')} AS items_sold,"
-            f" {micro_sum('producer_total')} AS producer_total FROM ledger_rows"
-            " GROUP BY edition, event, item_name, item_type, list_price"
+            counted("edition, event, item_name, item_type, list_price", "items_sold", "", producer_total="producer_total")
         ),
         "producer_totals": _with(
-            f"SELECT edition, event, settlement_status, {micro_sum('producer_total')} AS producer_total,"
-            " CAST(count(*) AS BIGINT) AS rows FROM ledger_rows GROUP BY edition, event, settlement_status"
+            f"SELECT edition, event, settlement_status, {money('producer_total')} AS producer_total,"
+            " CAST(count(*) AS BIGINT) AS rows FROM ledger_rows GROUP BY ALL"
         ),
         "courtesies": _with(
-            f"SELECT edition, event, {micro_sum('item_fraction')} AS courtesies,"
-            f" {micro_sum('platform_issue_fixed')} AS issue_cost FROM ledger_rows"
-            " WHERE payment_method = 'Cortesia' GROUP BY edition, event"
+            counted("edition, event", "courtesies", "WHERE courtesy", issue_cost="platform_issue_fixed")
         ),
         "weekly": _with(
-            f"SELECT settlement_week, settlement_status, {micro_sum('instalment_amount')} AS instalment_amount,"
-            f" {micro_sum('producer_total')} AS producer_total, {micro_sum('gateway_cost')} AS gateway_cost"
-            " FROM ledger_rows GROUP BY settlement_week, settlement_status"
+            f"SELECT settlement_week, settlement_status, {money('instalment_amount')} AS instalment_amount,"
+            f" {money('producer_total')} AS producer_total, {money('gateway_cost')} AS gateway_cost"
+            " FROM ledger_rows GROUP BY ALL"
         ),
         "reconcile": _with(
-            f"SELECT l.order_id, l.ledger_amount, s.totalAmount AS order_total,"
-            " CAST(CAST(floor(l.ledger_amount * 1.0E6 + 0.5E0) AS BIGINT)"
-            " - CAST(floor(s.totalAmount * 1.0E6 + 0.5E0) AS BIGINT) AS DOUBLE) / 1.0E6 AS difference"
-            f" FROM (SELECT order_id, {micro_sum('instalment_amount')} AS ledger_amount FROM ledger_rows"
-            " GROUP BY order_id) l LEFT JOIN checkoutsummary s ON s.sessionid = l.order_id"
+            "SELECT order_id, amount::DOUBLE AS ledger_amount, totalAmount AS order_total,"
+            " (amount - round(totalAmount::DECIMAL(38, 12), 6))::DOUBLE AS difference FROM"
+            " (SELECT order_id, round(sum(instalment_amount::DECIMAL(38, 12)), 6) AS amount FROM ledger_rows GROUP BY ALL)"
+            " LEFT JOIN checkoutsummary ON sessionid = order_id"
         ),
         "duplicate_keys": _duplicate_keys(),
         "anomalies": _anomalies(),

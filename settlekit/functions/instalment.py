@@ -37,8 +37,10 @@ def instalment_seq(method: Column, k: Column) -> Column:
 def settlement_date(
     purchase: Column, method: Column, k: Column, days: Callable[[Column], Column] = square_days
 ) -> Column:
-    """Card instalments settle ``days(k)`` after the purchase, everything else at once."""
-    return F.date_add(purchase, F.when(method != CREDIT_CARD, F.lit(0)).otherwise(days(k)))
+    """Card instalments settle ``days(k)`` after the purchase, everything else at once; an
+    instalment whose number is null has no date."""
+    delay = F.when(method != CREDIT_CARD, F.lit(0)).otherwise(days(k))
+    return F.date_add(purchase, F.when(k.isNotNull(), delay))
 
 
 def instalment_amounts(n: Column) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MICROS = 1_000_000.0
+UNITS = 1_000_000_000_000.0
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -30,10 +30,20 @@ def per_instalment(amount: Column, share: Column, n: Column) -> Column:
     return (amount * share) / non_zero_count(n)
 
 
-def exact_sum(c: Column) -> Column:
-    """Sum of doubles that does not depend on the order rows arrive in.
+def units(c: Column) -> Column:
+    """A double as a whole number of 1e-12 units."""
+    return (c * F.lit(UNITS)).cast("decimal(38,0)")
+
+
+def total(whole_units: Column) -> Column:
+    """The sum of :func:`units` as a double, rounded once, to six places.
 
-    Each value is taken as whole micro-units (``floor(x * 1e6 + 0.5)``) and those integers are
-    summed, so any partitioning and any engine give the same total.
+    Integers are summed, so neither the partitioning nor the order of rows matters, and the
+    rounding of a row (half a unit) is far below the sixth place of any total.
     """
-    return F.sum(F.floor(c * F.lit(MICROS) + F.lit(0.5))).cast("double") / F.lit(MICROS)
+    return F.round(F.sum(whole_units) / F.lit(UNITS).cast("decimal(13,0)"), 6).cast("double")
+
+
+def exact_sum(c: Column) -> Column:
+    """Sum of doubles that does not depend on the order rows arrive in, to six places."""
+    return total(units(c))

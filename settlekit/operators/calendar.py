@@ -6,15 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import Tables
-from .broadcast import PARAMETER_MAX_ROWS, small_dimension
 
 
 def attach_week(rows: DataFrame, tables: Tables) -> DataFrame:
-    """Add ``settlement_week``; the calendar has a row per day, so it is broadcast (a date
-    listed twice repeats the row, as in the source)."""
-    weeks = small_dimension(
-        tables, "weeks",
-        lambda: tables.weeksarrange.select(F.col("data").alias("week_day"), F.col("semana").alias("settlement_week")),
-        PARAMETER_MAX_ROWS,
-    )
+    """Add ``settlement_week``; a date listed twice repeats the row, as in the source."""
+    weeks = tables.weeksarrange.select(F.col("data").alias("week_day"), F.col("semana").alias("settlement_week"))
     return rows.join(weeks, rows.settlement_date == weeks.week_day, "left").drop("week_day")

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import order as R
 from ..sources import Tables
 from . import fanout
-from .broadcast import PARAMETER_MAX_ROWS, checked_dimension, small_dimension
 from .filters import Params, apply, created_between, isin
 from .skew import hot_keys, salted_join
 
@@ -62,51 +61,28 @@ def card_per_id(cards: DataFrame) -> DataFrame:
     )
 
 
-def hot(tables: Tables, name: str, keys, key: str, hot_rows: int) -> DataFrame | None:
-    """Hot keys of a table set, computed once (one aggregate; bounded by its top-K limit, so it
-    is cached as is); None when there are none."""
-
-    def compute():
-        found = hot_keys(keys(), key, hot_rows).cache()
-        return found if found.limit(1).count() else None
-
-    return tables.memo(f"hot:{name}:{hot_rows}", compute)
-
-
 def attach_card(sessions: DataFrame, tables: Tables, hot_rows: int = Params.hot_key_rows) -> DataFrame:
     """Add the session's stored card (nulls when it has none).
 
-    One row per card id is computed once per table set. When it passes the size check it is
-    broadcast and joined in place. Otherwise both sides shuffle by card id, and sessions without
-    a card id (every non-card payment) skip that join: a null key would send all of them to a
-    single shuffle partition.
+    Sessions without a card id (every non-card payment) skip the join: a null key would send all
+    of them to a single shuffle partition. A card that pays very many sessions is salted.
     """
-    picked, small = checked_dimension(
-        tables, "card_per_id", lambda: card_per_id(tables.customerpaymentprovidercard)
-    )
-    joined_cols = ["card_digits", "card_brand_stored"]
-    if small:
-        return sessions.join(picked, sessions.provider_card_id == picked.card_id, "left").drop("card_id")
-    with_id = sessions.where(F.col("provider_card_id").isNotNull())
-    hot_cards = hot(
-        tables, "cards", lambda: tables.checkoutsession.select(F.col("providerCardId").alias("provider_card_id")),
-        "provider_card_id", hot_rows,
-    )
-    joined = salted_join(
-        with_id, picked.withColumnRenamed("card_id", "provider_card_id"), "provider_card_id", hot_cards,
-        F.col("order_id"), "left",
-    )
-    without = sessions.where(F.col("provider_card_id").isNull()).select(
-        "*", *[F.lit(None).cast("string").alias(c) for c in joined_cols]
+    key = "provider_card_id"
+    picked = card_per_id(tables.customerpaymentprovidercard).withColumnRenamed("card_id", key)
+    with_id = sessions.where(F.col(key).isNotNull())
+    joined = salted_join(with_id, picked, key, hot_keys(with_id.select(key), key, hot_rows), F.col("order_id"), "left")
+    without = sessions.where(F.col(key).isNull()).select(
+        "*", *[F.lit(None).cast("string").alias(c) for c in ("card_digits", "card_brand_stored")]
     )
     return joined.unionByName(without)
 
 
 def fixed_gateway_charges(gatecharges: DataFrame) -> DataFrame:
-    """A02 + F15: per gateway, the sum of its fixed charges other than boleto's."""
+    """A02 + F15: per gateway, the sum of its fixed charges other than boleto's. Texts of the
+    charge table are compared without regard to case, here as in the charge lookup (J34)."""
     return (
-        gatecharges.where((F.col("chargeType") == "fixed") & (F.col("chargeOn") != "boleto"))
-        .groupBy(F.col("gateway").alias("fixed_gateway"))
+        gatecharges.where((F.lower("chargeType") == "fixed") & (F.lower("chargeOn") != "boleto"))
+        .groupBy(F.lower("gateway").alias("fixed_gateway"))
         .agg(F.sum("chargeAmount").alias("fixed_charge"))
     )
 
@@ -120,11 +96,23 @@ def instalment_plans(ranges: DataFrame) -> DataFrame:
     )
 
 
-def order_context(tables: Tables, params: Params | None = None) -> DataFrame:
-    """One row per paid session (more if a summary, payment or capture repeats)."""
+def order_context(tables: Tables, params: Params | None = None, orders: DataFrame | None = None) -> DataFrame:
+    """One row per paid session (more if a summary, payment or capture repeats).
+
+    ``orders`` (one column, ``order_id``, distinct) restricts the context to those orders: the
+    sessions and every table of session facts are semi-joined with it before anything else.
+    """
     params = params or Params()
-    sessions = attach_card(paid_sessions(tables, params), tables, params.hot_key_rows)
-    summary = tables.checkoutsummary.select(
+
+    def wanted(df: DataFrame, key: str) -> DataFrame:
+        if orders is None:
+            return df
+        keys = orders.select(F.col("order_id").alias("_wanted"))
+        return df.join(keys, F.col(key) == F.col("_wanted"), "left_semi")
+
+    sessions = wanted(paid_sessions(tables, params), "order_id")
+    sessions = attach_card(sessions, tables, params.hot_key_rows)
+    summary = wanted(tables.checkoutsummary, "sessionid").select(
         F.col("sessionid").alias("summary_session"),
         F.col("totalAmount").alias("sum_total"),
         F.col("ticketsValue").alias("sum_tickets"),
@@ -136,7 +124,7 @@ def order_context(tables: Tables, params: Params | None = None) -> DataFrame:
         F.col("ticketInsurance").alias("sum_insurance"),
         F.col("ticketTransfer").alias("sum_transfer"),
     )
-    payment = tables.checkoutpayment.select(
+    payment = wanted(tables.checkoutpayment, "sessionid").select(
         F.col("sessionid").alias("payment_session"),
         F.col("paymentOption").alias("pay_option"),
         F.col("installments").alias("pay_instalments"),
@@ -144,19 +132,15 @@ def order_context(tables: Tables, params: Params | None = None) -> DataFrame:
         F.col("cardBrand").alias("pay_card_brand"),
         F.col("cardFirstSixDigits").alias("pay_digits"),
     )
-    paypal = tables.checkoutpaypaldetails.select(
+    paypal = wanted(tables.checkoutpaypaldetails, "sessionId").select(
         F.col("sessionId").alias("paypal_session"), F.col("captureId").alias("capture_id")
     )
     # Buyer rows add no column, only multiply the extras; counted per session here so the
     # item join that follows needs nothing partitioned by session after it
-    buyers = fanout.counts(tables.checkoutbuyer, "sessionId", "buyer_session", "buyers")
-    providers = small_dimension(
-        tables, "providers",
-        lambda: tables.paymentprovider.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name")),
-        PARAMETER_MAX_ROWS,
-    )
-    plans = small_dimension(tables, "plans", lambda: instalment_plans(tables.installmentsrange), PARAMETER_MAX_ROWS)
-    fixed = small_dimension(tables, "fixed_charges", lambda: fixed_gateway_charges(tables.gatecharges), PARAMETER_MAX_ROWS)
+    buyers = fanout.counts(wanted(tables.checkoutbuyer, "sessionId"), "sessionId", "buyer_session", "buyers")
+    providers = tables.paymentprovider.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"))
+    plans = instalment_plans(tables.installmentsrange)
+    fixed = fixed_gateway_charges(tables.gatecharges)
 
     c = F.col
     ctx = (
@@ -167,7 +151,7 @@ def order_context(tables: Tables, params: Params | None = None) -> DataFrame:
         .join(providers, c("pay_provider_id") == c("provider_id"), "left")
         .join(plans, c("pay_instalments") == c("plan_instalments"), "left")
         .withColumn("gateway_key", R.gateway_key(c("pay_option"), c("provider_name")))
-        .join(fixed, c("gateway_key") == c("fixed_gateway"), "left")
+        .join(fixed, F.lower("gateway_key") == c("fixed_gateway"), "left")
     )
     option = c("pay_option")
     return ctx.select(

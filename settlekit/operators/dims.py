@@ -1,9 +1,10 @@
-"""Catalogue dimensions of tickets and products, with their rates.
+"""Catalogue of tickets and products, with their rates.
 
 The ticket chain (lot price -> price type, lot -> ticket -> event -> complements) is a chain of
-left joins on catalogue tables, so it is folded once into a dimension keyed by the lot price id
-and joined to participants with a single join. The rates only depend on the catalogue, so they
-are evaluated here, on the small side, instead of once per sold item.
+left joins. Each catalogue table is joined by itself, narrow, so that the planner sees each
+table's own size: the small ones are broadcast and stay in the stage, a large one (the checkout's
+lot prices may hold a row per checkout) is joined by a shuffle of its two columns, where AQE
+splits a best-selling lot.
 """
 
 from __future__ import annotations
@@ -13,14 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import fallback, fallback_percent, percent
 from ..sources import Tables
-from .broadcast import small_dimension
 
 
 def _zero():
     return F.lit(0.0)
 
 
-def _events(tables: Tables) -> DataFrame:
+def _attach_events(df: DataFrame, tables: Tables, event_ref: str) -> DataFrame:
     """Events with their event complement."""
     ev = tables.event.select(
         F.col("id").alias("event_id"),
@@ -40,12 +40,17 @@ def _events(tables: Tables) -> DataFrame:
         F.col("productChargePercent").alias("ec_product_pct"),
         F.col("productChargeFixed").alias("ec_product_fixed"),
     )
-    return ev.join(ec, ev.event_id == ec.ec_event, "left").drop("ec_event")
+    return df.join(ev, F.col(event_ref) == F.col("event_id"), "left").join(
+        ec, F.col("event_id") == F.col("ec_event"), "left"
+    )
 
 
-def price_dim(tables: Tables) -> DataFrame:
-    """J05-J11 folded: one row per lot price (more if a complement repeats), with rates."""
+def attach_tickets(df: DataFrame, tables: Tables) -> DataFrame:
+    """``df`` (with ``batch_price_ref``) and the ticket's names, prices and rates."""
     c = F.col
+    refs = tables.checkouteventticketbatchprice.select(
+        c("id").alias("ref_key"), c("eventTicketBatchPriceId").alias("price_ref")
+    )
     price = tables.eventticketbatchprice.select(
         c("id").alias("price_id"), c("price").alias("batch_price"),
         c("typeid").alias("type_id"), c("ticketBatchId").alias("batch_id"),
@@ -64,16 +69,16 @@ def price_dim(tables: Tables) -> DataFrame:
         c("comissionSecurityPerc").alias("tc_cover_pct"),
         c("transferPercent").alias("tc_transfer_pct"),
     )
-    events = _events(tables)
-    dim = (
-        price.join(types, c("type_id") == c("type_key"), "left")
+    joined = (
+        df.join(refs, c("batch_price_ref") == c("ref_key"), "left")
+        .join(price, c("price_ref") == c("price_id"), "left")
+        .join(types, c("type_id") == c("type_key"), "left")
         .join(batches, c("batch_id") == c("batch_key"), "left")
         .join(tickets, c("ticket_id") == c("ticket_key"), "left")
-        .join(events, c("ticket_event") == c("event_id"), "left")
-        .join(complement, c("ticket_key") == c("tc_ticket"), "left")
     )
-    return dim.select(
-        "price_id", "batch_price", "transfer_price", "item_type", "item_name", "event_id", "event",
+    joined = _attach_events(joined, tables, "ticket_event").join(complement, c("ticket_key") == c("tc_ticket"), "left")
+    return joined.select(
+        *df.columns, "batch_price", "transfer_price", "item_type", "item_name", "event_id", "event",
         "edition", "category", "race_name",
         percent(c("event_fee_pct")).alias("convenience_rate"),
         fallback_percent(c("tc_issue_pct"), c("ec_issue_pct")).alias("issue_rate"),
@@ -86,34 +91,32 @@ def price_dim(tables: Tables) -> DataFrame:
 
 
 def ticket_dim(tables: Tables) -> DataFrame:
-    """J04 + the folded chain: keyed by ``batch_price_ref`` (the checkout's lot price id).
-
-    The checkout lot-price table may hold a row per checkout, so the whole dimension is only
-    broadcast behind a row count (callers use :func:`small_dimension`); the folded catalogue
-    part is joined into it under the same check.
-    """
-    refs = tables.checkouteventticketbatchprice.select(
-        F.col("id").alias("batch_price_ref"), F.col("eventTicketBatchPriceId").alias("price_ref")
-    )
-    prices = small_dimension(tables, "price_dim", lambda: price_dim(tables))
-    return refs.join(prices, refs.price_ref == prices.price_id, "left").drop("price_ref", "price_id")
+    """The whole ticket catalogue, keyed by ``batch_price_ref`` (the checkout's lot price id)."""
+    refs = tables.checkouteventticketbatchprice.select(F.col("id").alias("batch_price_ref"))
+    return attach_tickets(refs, tables)
 
 
-def product_dim(tables: Tables) -> DataFrame:
-    """J23 + J29: products with their event and event complement, keyed by ``product_key``."""
+def attach_products(df: DataFrame, tables: Tables) -> DataFrame:
+    """J23 + J29: ``df`` (with ``product_id``) and the product's event and event complement."""
     c = F.col
     product = tables.product.select(
         c("id").alias("product_key"), c("title").alias("item_name"), c("eventId").alias("product_event")
     )
-    events = _events(tables)
-    return product.join(events, c("product_event") == c("event_id"), "left").select(
-        "product_key", "item_name", "event_id", "event", "edition",
+    joined = _attach_events(df.join(product, c("product_id") == c("product_key"), "left"), tables, "product_event")
+    return joined.select(
+        *df.columns, "item_name", "event_id", "event", "edition",
         percent(c("event_fee_pct")).alias("convenience_rate"),
         "ec_product_pct", "ec_product_fixed",
         percent(c("ec_tax_pct")).alias("tax_rate"),
     )
 
 
+def product_dim(tables: Tables) -> DataFrame:
+    """The products with their event and event complement, keyed by ``product_key``."""
+    products = tables.product.select(F.col("id").alias("product_id"))
+    return attach_products(products, tables).withColumnRenamed("product_id", "product_key")
+
+
 def product_manual(tables: Tables) -> DataFrame:
     """The product's own category and charges, keyed by product id."""
     return tables.productcomplementmanual.select(

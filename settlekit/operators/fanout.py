@@ -5,9 +5,10 @@ even though neither table adds a column (J21, J33). Instead of joining the raw r
 is counted per key (an aggregate, combined map-side, so a key with a third of all answers costs
 one row after the first stage) and the item is repeated ``copies`` times at the end.
 
-Repeating is done in chunks of at most ``CHUNK`` copies so that no task builds an array bigger
-than that; when some row has more copies than that, the chunk rows are spread round-robin over
-the cluster first, so one hot item is expanded by many tasks.
+Repeating is always done in two steps: a row becomes one row per chunk of at most ``CHUNK``
+copies, the chunk rows are rebalanced (AQE splits what is large and merges what is small), and
+each chunk is expanded. A small chunk bounds how much larger than its input a task's output
+gets, so the sizes that AQE balances by tell the work, and one hot item is expanded by many tasks.
 """
 
 from __future__ import annotations
@@ -15,36 +16,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 4096
+CHUNK = 64
 
 
 def counts(df: DataFrame, key: str, out_key: str, out_count: str) -> DataFrame:
     return df.groupBy(F.col(key).alias(out_key)).agg(F.count(F.lit(1)).alias(out_count))
 
 
-def max_count(df: DataFrame, count_col: str) -> int:
-    """Largest per-key count (one scalar to the driver); 1 for an empty table."""
-    row = df.agg(F.max(count_col).alias("m")).first()
-    return int(row["m"]) if row and row["m"] is not None else 1
-
-
-def replicate(df: DataFrame, copies: str, max_copies: int, spread: int | None = None) -> DataFrame:
-    """Each row of ``df`` ``copies`` times (null or < 1 counts as 1); drops ``copies``.
-
-    ``max_copies`` is an upper bound of the column, measured by the caller; it decides whether
-    the spreading step is needed.
-    """
+def replicate(df: DataFrame, copies: str) -> DataFrame:
+    """Each row of ``df`` ``copies`` times (null or < 1 counts as 1); drops ``copies``."""
     one = F.lit(1).cast("long")
     n = F.greatest(F.coalesce(F.col(copies).cast("long"), one), one)
     cols = [c for c in df.columns if c != copies]
-    if max_copies <= 1:
-        return df.select(*cols)
-    if max_copies <= CHUNK:
-        return df.select(*cols, F.explode(F.sequence(one, n)).alias("_copy")).drop("_copy")
     last_chunk = F.floor((n - 1) / F.lit(CHUNK)).cast("long")
     chunks = df.select(*cols, n.alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("_chunk"))
-    spread = spread or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunks.repartition(spread)
     first = F.col("_chunk") * CHUNK + 1
     last = F.least(F.col("_n"), (F.col("_chunk") + 1) * CHUNK)
-    return chunks.select(*cols, F.explode(F.sequence(first, last)).alias("_copy")).drop("_copy")
+    return chunks.hint("rebalance").select(*cols, F.explode(F.sequence(first, last)).alias("_copy")).drop("_copy")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import instalment as I
 from ..functions.order import NO_BRAND_TICKET
 from ..sources import Tables
-from .broadcast import PARAMETER_MAX_ROWS, small_dimension
 
 NEGOTIATION = 1
 NO_BRAND_CHARGED_AS = "Master"
@@ -36,7 +35,7 @@ def attach_gateway_charge(rows: DataFrame, tables: Tables) -> DataFrame:
     """Add ``gateway_charge_type``, ``gateway_charge_rate`` and ``gateway_cost``; a key that
     repeats in the charge table repeats the row, as in the source."""
     c = F.col
-    charges = small_dimension(tables, "charge_table", lambda: charge_table(tables.gatecharges), PARAMETER_MAX_ROWS)
+    charges = charge_table(tables.gatecharges)
     brand = F.when(c("card_brand") == NO_BRAND_TICKET, F.lit(NO_BRAND_CHARGED_AS)).otherwise(c("card_brand"))
     keyed = rows.select(
         "*",

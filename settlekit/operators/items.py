@@ -23,10 +23,9 @@ from ..functions.status import (
 from ..functions.totals import Summary, extra_totals, ticket_totals
 from ..sources import Tables
 from . import dims, fanout
-from .broadcast import small_dimension
-from .context import hot, order_context
-from .skew import salted_join
+from .context import order_context
 from .filters import Params, apply, isin
+from .skew import hot_keys, salted_join
 from .trades import attach_links
 
 TICKETS = "tickets"
@@ -66,7 +65,7 @@ def payable_tickets(tables: Tables, params: Params) -> DataFrame:
 def ticket_lines(tables: Tables, params: Params) -> DataFrame:
     """Ticket stream before the order join: trade links (J17/J18) and catalogue."""
     p = attach_links(payable_tickets(tables, params), tables.tradecheckoutsession)
-    p = p.join(small_dimension(tables, "ticket_dim", lambda: dims.ticket_dim(tables)), "batch_price_ref", "left")
+    p = dims.attach_tickets(p, tables)
     p = apply(p, isin(F.col("edition"), params.editions), isin(F.col("event_id"), params.event_ids))
     return p.select(
         F.lit(TICKETS).alias("branch"),
@@ -115,13 +114,12 @@ def extra_lines(tables: Tables, params: Params) -> DataFrame:
     """Extras stream before the order join: answers count and catalogue."""
     c = F.col
     answers = answer_counts(tables)
-    e = payable_extras(tables, params)
+    e = payable_extras(tables, params).join(answers, c("item_id") == c("answer_item"), "left").drop("answer_item")
     e = (
-        e.join(answers, c("item_id") == c("answer_item"), "left")
-        .join(small_dimension(tables, "product_dim", lambda: dims.product_dim(tables)), c("product_id") == c("product_key"), "left")
-        .join(small_dimension(tables, "product_manual", lambda: dims.product_manual(tables)), c("product_id") == c("manual_product"), "left")
-        .join(small_dimension(tables, "product_models", lambda: dims.product_models(tables)), c("model_id") == c("model_key"), "left")
-        .join(small_dimension(tables, "product_sizes", lambda: dims.product_sizes(tables)), c("size_id") == c("size_key"), "left")
+        dims.attach_products(e, tables)
+        .join(dims.product_manual(tables), c("product_id") == c("manual_product"), "left")
+        .join(dims.product_models(tables), c("model_id") == c("model_key"), "left")
+        .join(dims.product_sizes(tables), c("size_id") == c("size_key"), "left")
     )
     e = apply(e, isin(c("edition"), params.editions), isin(c("event_id"), params.event_ids))
     rates = dims.extra_rates()
@@ -147,16 +145,12 @@ def _pick(is_ticket: Column, ticket: Column, extra: Column) -> Column:
 def items(tables: Tables, params: Params | None = None, context: DataFrame | None = None) -> DataFrame:
     """U01 and level 1: tickets and extras of paid orders with every item-level value."""
     params = params or Params()
-    context = context if context is not None else order_context(tables, params)
     lines = ticket_lines(tables, params).unionByName(extra_lines(tables, params))
-    hot_orders = hot(
-        tables, "orders",
-        lambda: tables.checkoutparticipant.select(F.col("sessionid").alias("order_id")).unionAll(
-            tables.checkoutproductcomplement.select(F.col("sessionId").alias("order_id"))
-        ),
-        "order_id", params.hot_key_rows,
-    )
-    rows = salted_join(lines, context, "order_id", hot_orders, F.col("item_id"))
+    if context is None:
+        context = order_context(tables, params, lines.select("order_id").distinct() if _narrow(params) else None)
+    # counted on the item tables themselves: at least as many rows as the lines have
+    keys = payable_tickets(tables, params).select("order_id").unionAll(payable_extras(tables, params).select("order_id"))
+    rows = salted_join(lines, context, "order_id", hot_keys(keys, "order_id", params.hot_key_rows), F.col("item_id"))
 
     c = F.col
     is_ticket = c("branch") == TICKETS
@@ -183,16 +177,14 @@ def items(tables: Tables, params: Params | None = None, context: DataFrame | Non
         (c("answers") * _pick(is_ticket, F.lit(1).cast("long"), F.coalesce(c("buyers"), F.lit(1).cast("long"))))
         .alias("copies"),
     )
-    return fanout.replicate(out, "copies", copy_bound(tables)).select(*ITEM_COLUMNS)
+    return fanout.replicate(out, "copies").select(*ITEM_COLUMNS)
 
 
-def copy_bound(tables: Tables) -> int:
-    """Most copies any extra row can get: max answers per extra x max buyer rows per session
-    (two scalar aggregates, computed once per table set)."""
-    return tables.memo(
-        "copy_bound",
-        lambda: fanout.max_count(answer_counts(tables), "answers") * fanout.max_count(buyer_counts(tables), "buyers"),
-    )
+def _narrow(params: Params) -> bool:
+    """Whether filters on items (F04, F06-F08) leave few orders, so that the session facts are
+    worth restricting to the orders of the items that are left."""
+    chosen = (params.editions, params.event_ids, params.participant_ids, params.extra_ids)
+    return any(x is not None for x in chosen)
 
 
 def tickets(tables: Tables, params: Params | None = None) -> DataFrame:

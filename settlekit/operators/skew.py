@@ -5,15 +5,17 @@ downstream depends on the join's partitioning. The ledger's big join (items x or
 sits on a chain of joins on the same key, so an order holding a third of all items would be
 joined by one task. Hot keys are therefore handled explicitly:
 
-1. rows per key are counted with a partial (map-side) aggregate and the keys above
-   ``hot_rows`` are kept, at most ``MAX_HOT_KEYS`` of them (top-K, so a bounded broadcast);
+1. rows per key are counted with a partial (map-side) aggregate, inside the plan of the join; the
+   keys above ``hot_rows`` are hot. They number at most rows / ``hot_rows`` (5,000 in 10 billion
+   rows at the default), which bounds their broadcast;
 2. a row of the large side with a hot key gets a salt in ``[0, salts)`` from a hash of a
    column that varies within the key, and the small side's rows for that key are repeated once
    per salt; every other key has salt 0 and is not repeated;
 3. the join runs on ``(key, salt)``, so a hot key is spread over ``salts`` tasks.
 
 Salting never changes the result: each large-side row meets exactly the rows it met before.
-When no key is hot the join is left as it is.
+A key gets as many salts as it has multiples of ``hot_rows``. Nothing is measured before the
+plan runs.
 """
 
 from __future__ import annotations
@@ -21,28 +23,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 10_000
-MAX_SALTS = 1_024
-
-
 def hot_keys(keys: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """``(key, salts)`` for the keys of ``keys`` with more than ``hot_rows`` rows (top-K)."""
+    """``(hot_key, salts)`` for the keys of ``keys`` with more than ``hot_rows`` rows."""
     counts = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    hot = counts.where(F.col("rows") > hot_rows).orderBy(F.col("rows").desc()).limit(MAX_HOT_KEYS)
-    salts = F.least(F.ceil(F.col("rows") / F.lit(hot_rows)), F.lit(MAX_SALTS)).cast("int")
-    return hot.select(F.col(key).alias("hot_key"), salts.alias("salts"))
+    hot = counts.where(F.col("rows") > hot_rows)
+    return hot.select(F.col(key).alias("hot_key"), F.ceil(F.col("rows") / F.lit(hot_rows)).cast("int").alias("salts"))
 
 
 def salted_join(
-    large: DataFrame, small: DataFrame, key: str, hot: DataFrame | None, spread_by: Column, how: str = "inner"
+    large: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread_by: Column, how: str = "inner"
 ) -> DataFrame:
     """``large.join(small, key, how)`` with the keys in ``hot`` split over several tasks.
 
-    ``hot`` is a (cached, bounded) ``(hot_key, salts)`` frame or None; ``spread_by`` is a column
-    of ``large`` that varies within a key (e.g. the item id).
+    ``hot`` comes from :func:`hot_keys`; ``spread_by`` is a column of ``large`` that varies
+    within a key (e.g. the item id).
     """
-    if hot is None:
-        return large.join(small, key, how)
     h = F.broadcast(hot)
     n = F.coalesce(F.col("salts"), F.lit(1))
     big = (

@@ -38,7 +38,7 @@ FAN_KEYS: list[tuple[str, list[str], str | None]] = [
     ("productcomplementmanual", ["productId"], None),
     ("installmentsrange", ["installments"], None),
     ("paymentprovider", ["id"], None),
-    ("gatecharges", ["gateway", "negotiationNumber", "chargeOn", "cardBrand", "installments"], None),
+    ("gatecharges", ["gateway", "chargeOn", "cardBrand", "installments"], "negotiationNumber = 1"),
     ("weeksarrange", ["data"], None),
 ]
 
@@ -50,6 +50,10 @@ def duplicate_keys(tables: Tables) -> DataFrame:
         df = tables[table]
         if where:
             df = df.where(where)
+        # a null never equals a key, and the charge table's texts are compared without case
+        df = df.dropna(subset=keys)
+        if table == "gatecharges":
+            df = df.withColumns({k: F.lower(k) for k in keys if k != "installments"})
         per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         parts.append(per_key.agg(
             F.count(F.lit(1)).alias("duplicated_keys"),

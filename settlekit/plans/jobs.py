@@ -1,54 +1,34 @@
 """The ledger job as a deployment runs it: build the ledger once, write it, report from it.
 
-Writing the ledger to the shared folder the cluster names in ``spark.checkpoint.dir`` cuts the
-lineage: the five reports then read parquet files instead of re-running the 28-table plan five
-times, and a lost executor during a report recomputes from those files, not from the sources.
-
-Layout. By default the ledger is written in one directory per settlement week. Rows are hash
-partitioned on (week, salt) first, so each week is spread over ``files_per_week`` files written
-by different tasks: a week holding a third of all rows is still written by many tasks, and no
-task writes a file for every week (the small-files problem of a plain ``partitionBy``). For small
-ledgers (week directories of a few thousand rows) ``by_week=False`` writes flat files sorted by
-week instead; their row-group statistics still skip weeks a query filters out.
+The five reports read the written ledger instead of re-running the 28-table plan five times, and
+a lost executor during a report recomputes from those files, not from the sources.
+
+Layout. By default the ledger is written in one directory per settlement week. Rows are rebalanced
+by week first: AQE cuts a week that holds more than the advisory partition size (or a third of all
+rows) into several partitions and merges small weeks, so a hot week is written by many tasks and
+no task writes a file for every week. For small ledgers ``by_week=False`` writes flat files sorted
+by week instead; their row-group statistics still skip weeks a query filters out.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.filters import Params
-from ..session import checkpoint_dir
 from ..sources import Tables
 from . import reports
 from .ledger import ledger
 
 
-def files_per_week(tables: Tables) -> int:
-    """Salts per week: the shuffle width spread over the weeks of the calendar."""
-    spark = tables.weeksarrange.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    weeks = tables.memo("calendar_weeks", lambda: tables.weeksarrange.select("semana").distinct().count())
-    return max(1, width // max(1, weeks))
-
-
-def write_ledger(
-    tables: Tables, params: Params, path: str | None = None, by_week: bool = True, salts: int | None = None
-) -> DataFrame:
-    """Write the 47-column ledger as parquet; return a DataFrame reading it back."""
+def write_ledger(tables: Tables, params: Params, path: str, by_week: bool = True) -> DataFrame:
+    """Write the 47-column ledger to ``path`` as parquet; return a DataFrame reading it back."""
     df = ledger(tables, params)
-    spark = df.sparkSession
-    path = path or os.path.join(checkpoint_dir(spark), "ledger")
     if by_week:
-        salts = salts or files_per_week(tables)
-        salt = F.pmod(F.xxhash64("order_id", "item_id"), F.lit(salts))
-        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.repartition(width, "settlement_week", salt).write.mode("overwrite").partitionBy("settlement_week").parquet(path)
+        df.hint("rebalance", "settlement_week").write.mode("overwrite").partitionBy("settlement_week").parquet(path)
     else:
         df.sortWithinPartitions("settlement_week").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).select(*df.columns)
+    # the schema is given: a week in a directory name would be read as a date or a number
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def report_all(written: DataFrame, tables: Tables, editions=None) -> dict[str, DataFrame]:
@@ -62,13 +42,13 @@ def report_all(written: DataFrame, tables: Tables, editions=None) -> dict[str, D
     }
 
 
-def run(tables: Tables, params: Params, out_dir: str | None = None, by_week: bool = True) -> dict[str, DataFrame]:
-    """Write the ledger, then write each report next to it; return the reports read back."""
-    written = write_ledger(tables, params, os.path.join(out_dir, "ledger") if out_dir else None, by_week)
-    root = out_dir or checkpoint_dir(written.sparkSession)
+def run(tables: Tables, params: Params, out_dir: str, by_week: bool = True) -> dict[str, DataFrame]:
+    """Write the ledger to ``out_dir``, a folder that all executors share, and each report next
+    to it; return the reports read back."""
+    root = out_dir.rstrip("/")
+    written = write_ledger(tables, params, f"{root}/ledger", by_week)
     out = {}
     for name, df in report_all(written, tables).items():
-        path = os.path.join(root, name)
-        df.coalesce(1).write.mode("overwrite").parquet(path)
-        out[name] = written.sparkSession.read.parquet(path)
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        out[name] = written.sparkSession.read.parquet(f"{root}/{name}")
     return out

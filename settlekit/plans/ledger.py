@@ -3,7 +3,7 @@
 Plan shape (see README "Physical plan"):
 
 1. order context, one row per paid session (joins on the session id, one shuffle key);
-2. tickets and extras joined to it and to their broadcast catalogue dimensions;
+2. tickets and extras joined to their catalogue tables and to the context;
 3. union, then the instalment explode and all per-instalment arithmetic (narrow, one
    whole-stage-codegen block);
 4. gateway charge and week calendar lookups (broadcast);
@@ -12,10 +12,12 @@ Plan shape (see README "Physical plan"):
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.present import DISPLAY_NAMES, LEDGER_COLUMNS, presented, settlement_status
+from ..functions.present import LEDGER_COLUMNS, presented, settlement_status
 from ..operators.calendar import attach_week
 from ..operators.filters import Params, apply, between
 from ..operators.gateway import attach_gateway_charge
@@ -36,16 +38,9 @@ def instalment_rows(tables: Tables, params: Params | None = None) -> DataFrame:
 
 
 def ledger_rows(tables: Tables, params: Params | None = None) -> DataFrame:
-    """Every computed column (the 47 output columns and the intermediate ones).
-
-    Built once per table set and parameters: the ledger and every report over it share one
-    DataFrame (an immutable plan, executed anew by each action).
-    """
+    """Every computed column (the 47 output columns and the intermediate ones). Building the
+    plan starts no Spark job."""
     params = params or Params()
-    return tables.memo(f"ledger_rows:{params!r}", lambda: _ledger_rows(tables, params))
-
-
-def _ledger_rows(tables: Tables, params: Params) -> DataFrame:
     rows = attach_gateway_charge(instalment_rows(tables, params), tables)
     rows = attach_week(rows, tables)
     rows = rows.select(
@@ -67,10 +62,11 @@ def ledger(tables: Tables, params: Params | None = None) -> DataFrame:
 
 
 def ordered(ledger_df: DataFrame) -> DataFrame:
-    """Newest orders first (a total order only at the very end of a job)."""
-    return ledger_df.orderBy(F.col("order_id").desc())
+    """Newest orders first, at the very end of a job. Ties are broken by item and instalment,
+    so the rows of one hot order span several range partitions."""
+    return ledger_df.orderBy(F.col("order_id").desc(), "item_id", "instalment_no", "settlement_date")
 
 
-def display_names(ledger_df: DataFrame) -> DataFrame:
-    """The ledger with the source report's column names."""
-    return ledger_df.select(*[F.col(c).alias(DISPLAY_NAMES.get(c, c)) for c in ledger_df.columns])
+def display_names(ledger_df: DataFrame, headings: Mapping[str, str]) -> DataFrame:
+    """The ledger under the caller's headings (column -> heading); others keep their names."""
+    return ledger_df.select(*[F.col(c).alias(headings.get(c, c)) for c in ledger_df.columns])

@@ -2,30 +2,42 @@
 
 Each is a single hash aggregate (partial aggregation before the shuffle, so a hot group costs
 one row per map task) over a handful of ledger columns; Catalyst prunes the rest of the ledger.
-Money is summed as whole micro-units (:func:`exact_sum`), so totals do not depend on the order
-rows arrive in.
+Money is summed in whole units of 1e-12 and the total rounded once (:func:`exact_sum`), so totals
+do not depend on the order rows arrive in. Items are counted, not summed: rows per instalment
+count first, then each count over its instalments.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import exact_sum
+from ..functions.money import exact_sum, total, units
 from ..functions.order import COURTESY
 from ..sources import Tables
 
 
+def _per_fraction(ledger: DataFrame, keys: Sequence[str], **sums: str) -> DataFrame:
+    """Rows and sums of columns (in units) per key and instalment count of the rows."""
+    return ledger.groupBy(*keys, F.round(1 / F.col("item_fraction")).alias("_n")).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(units(F.col(c))).alias(name) for name, c in sums.items()]
+    )
+
+
+def _items() -> Column:
+    """Items of :func:`_per_fraction` groups: n rows of n instalments are one item."""
+    return total(units(F.col("_rows") / F.col("_n")))
+
+
 def lots(ledger: DataFrame, editions: Sequence[str] | None = None) -> DataFrame:
     """Per lot (event, item, type, list price) the items sold and the producer total."""
     if editions is not None:
         ledger = ledger.where(F.col("edition").isin(list(editions)))
-    return ledger.groupBy("edition", "event", "item_name", "item_type", "list_price").agg(
-        exact_sum(F.col("item_fraction")).alias("items_sold"),
-        exact_sum(F.col("producer_total")).alias("producer_total"),
-    )
+    keys = ["edition", "event", "item_name", "item_type", "list_price"]
+    counted = _per_fraction(ledger, keys, producer="producer_total")
+    return counted.groupBy(*keys).agg(_items().alias("items_sold"), total(F.col("producer")).alias("producer_total"))
 
 
 def producer_totals(ledger: DataFrame) -> DataFrame:
@@ -38,14 +50,9 @@ def producer_totals(ledger: DataFrame) -> DataFrame:
 
 def courtesies(ledger: DataFrame) -> DataFrame:
     """Courtesies per event and what their issue costs the producer."""
-    return (
-        ledger.where(F.col("payment_method") == COURTESY)
-        .groupBy("edition", "event")
-        .agg(
-            exact_sum(F.col("item_fraction")).alias("courtesies"),
-            exact_sum(F.col("platform_issue_fixed")).alias("issue_cost"),
-        )
-    )
+    keys = ["edition", "event"]
+    counted = _per_fraction(ledger.where(F.col("payment_method") == COURTESY), keys, cost="platform_issue_fixed")
+    return counted.groupBy(*keys).agg(_items().alias("courtesies"), total(F.col("cost")).alias("issue_cost"))
 
 
 def weekly(ledger: DataFrame) -> DataFrame:
@@ -69,10 +76,10 @@ def reconcile(ledger: DataFrame, tables: Tables) -> DataFrame:
         F.col("sessionid").alias("order_id"), F.col("totalAmount").alias("order_total")
     )
     joined = paid.join(summary, "order_id", "left")
+    six = lambda c: F.round(F.col(c).cast("decimal(30,12)"), 6)
     return joined.select(
         "order_id",
         "ledger_amount",
         "order_total",
-        ((F.floor(F.col("ledger_amount") * 1e6 + 0.5) - F.floor(F.col("order_total") * 1e6 + 0.5)) / 1e6)
-        .alias("difference"),
+        (six("ledger_amount") - six("order_total")).cast("double").alias("difference"),
     )

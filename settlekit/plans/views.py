@@ -30,8 +30,8 @@ BASE = Params(as_of=AS_OF)
 EDITIONS = ["AMERICA", "ASIA"]
 EVENT_IDS = [1, 2, 3, 5, 8, 13, 21]
 ORDER_IDS = [1, 3, 5, 7, 32, 37, 70, 100, 1000, 2000, 4000, 10000, 20000]
-PARTICIPANT_IDS = [101, 102, 301, 501, 3201, 3202, 3701]
-EXTRA_IDS = [104, 304, 504, 704, 3204, 3704, 7004]
+PARTICIPANT_IDS = [order * 100 + place for order in range(1, 3001, 7) for place in (1, 2)]
+EXTRA_IDS = [order * 100 + place for order in range(1, 3001, 3) for place in (4, 5)]
 SETTLED = (dt.date(2000, 1, 1), dt.date(2000, 12, 31))
 BOUGHT = (dt.date(1998, 1, 1), dt.date(1998, 6, 30))
 STATUS = "futuro"
@@ -41,16 +41,8 @@ ITEM_VALUE_COLUMNS = [c for c in ITEM_COLUMNS if c != "instalment_plan"]
 ROW_KEY = ["branch", "item_id", "order_id", "instalment_seq", "settlement_date"]
 
 
-_FIXTURES: dict[tuple[str, str], Tables] = {}
-
-
 def _tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The fixture tables of ``sf_dir``, built once per Spark application, so the catalogue
-    checks and caches are shared by every view run in it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FIXTURES:
-        _FIXTURES[key] = adapter.build(spark, sf_dir)
-    return _FIXTURES[key]
+    return adapter.build(spark, sf_dir)
 
 
 def source_counts(spark, sf_dir):
@@ -260,9 +252,21 @@ def filter_extras(spark, sf_dir):
     return _ledger(spark, sf_dir, extra_ids=EXTRA_IDS)
 
 
-def filter_both_empty(spark, sf_dir):
-    df = _ledger(spark, sf_dir, participant_ids=PARTICIPANT_IDS, extra_ids=EXTRA_IDS)
-    return df.agg(F.count(F.lit(1)).alias("row_count"))
+def filter_branches(spark, sf_dir):
+    """rows per branch with participants chosen, extras chosen, and both (none)."""
+    settings = {
+        "participants": {"participant_ids": PARTICIPANT_IDS},
+        "extras": {"extra_ids": EXTRA_IDS},
+        "both": {"participant_ids": PARTICIPANT_IDS, "extra_ids": EXTRA_IDS},
+    }
+    t = _tables(spark, sf_dir)
+    count = lambda branch: F.coalesce(F.sum((F.col("branch") == branch).cast("long")), F.lit(0)).alias(f"{branch}_rows")
+    out = None
+    for name, kw in settings.items():
+        rows = ledger_rows(t, Params(as_of=AS_OF, **kw)).agg(count("tickets"), count("extras"))
+        part = rows.select(F.lit(name).alias("chosen"), "tickets_rows", "extras_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def filter_settled(spark, sf_dir):
@@ -350,7 +354,7 @@ VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_orders": filter_orders,
     "filter_participants": filter_participants,
     "filter_extras": filter_extras,
-    "filter_both_empty": filter_both_empty,
+    "filter_branches": filter_branches,
     "filter_settled": filter_settled,
     "filter_bought": filter_bought,
     "filter_status": filter_status,

@@ -45,8 +45,9 @@ def build_session(master: str | None = None, app: str = "settlekit", **conf: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and read from here. Only when it is unset (a
-    laptop or a test) a private folder is created and registered, so local runs work too.
+    On a cluster this is set by the deployment and read from here; it is an error if it is not,
+    for no other folder is shared by all executors. Only in a local session (a laptop or a
+    test), whose one process is driver and executor, a private folder takes its place.
     """
     sc = spark.sparkContext
     current = (
@@ -55,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         or sc.getCheckpointDir()
     )
     if not current:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="settlekit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():

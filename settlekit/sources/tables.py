@@ -25,25 +25,10 @@ class Tables(Mapping):
             name: frames[name].select(*[f.name for f in SCHEMAS[name].fields])
             for name in TABLE_NAMES
         }
-        self._memo: dict = {}
-
-    def memo(self, key: str, compute):
-        """``compute()`` once per table set (derived catalogue frames, size checks, bounds)."""
-        if key not in self._memo:
-            self._memo[key] = compute()
-        return self._memo[key]
 
     def with_frames(self, **frames: DataFrame) -> Tables:
-        """A table set with some tables replaced (e.g. sessions by a stream of new sessions).
-
-        Catalogue work memoised on this set (checked dimensions, copy bound) is shared; plans
-        built from the replaced tables are not.
-        """
-        merged = dict(self._frames)
-        merged.update(frames)
-        out = Tables(merged)
-        out._memo = {k: v for k, v in self._memo.items() if not k.startswith("ledger_rows:")}
-        return out
+        """A table set with some tables replaced."""
+        return Tables({**self._frames, **frames})
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._frames[name]
@@ -90,6 +75,7 @@ CLUSTER_KEYS: dict[str, str] = {
     "checkoutproductcomplementanswer": "checkoutProductComplementId",
     "tradecheckoutsession": "originalParticipantId",
     "customerpaymentprovidercard": "cardId",
+    "checkouteventticketbatchprice": "id",
 }
 
 
@@ -97,7 +83,7 @@ def write_tables(tables: Tables, root: str, fmt: str = "parquet", files: int | N
     """Write each table to ``<root>/<table>``; used to materialise fixtures once.
 
     Fact tables are clustered on their join key into ``files`` files (default: the session's
-    default parallelism); the small catalogue and parameter tables are written as one file.
+    default parallelism); the others are written as they come.
     """
     spark = next(iter(tables.values())).sparkSession
     files = files or spark.sparkContext.defaultParallelism
@@ -106,6 +92,4 @@ def write_tables(tables: Tables, root: str, fmt: str = "parquet", files: int | N
         key = CLUSTER_KEYS.get(name)
         if key:
             df = df.repartitionByRange(files, key).sortWithinPartitions(key)
-        else:
-            df = df.coalesce(1)
         df.write.mode("overwrite").format(fmt).save(os.path.join(root, name))

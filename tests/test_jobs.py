@@ -1,33 +1,107 @@
 """The written-ledger job, the ordered ledger and the display names."""
 
 import datetime as dt
+from fractions import Fraction
 
+import pytest
+from pyspark.sql import functions as F
 
 from settlekit import Params, display_names, ledger, ordered
-from settlekit.functions.present import OUTPUT_COLUMNS
+from settlekit.functions.present import LEDGER_COLUMNS
 from settlekit.plans import jobs, reports
+from settlekit.sources import TABLE_NAMES, Tables
+
+from tables_builder import golden_tables
+
+
+PARAMS = Params(as_of=dt.date(2001, 7, 1))
 
 
 def test_reports_from_written_ledger_match_direct(spark, small_tables, tmp_path):
-    params = Params(as_of=dt.date(2001, 7, 1))
-    out = jobs.run(small_tables, params, str(tmp_path))
-    direct = reports.weekly(ledger(small_tables, params))
+    out = jobs.run(small_tables, PARAMS, str(tmp_path))
+    direct = reports.weekly(ledger(small_tables, PARAMS))
     cols = sorted(direct.columns)
     assert out["weekly"].select(cols).exceptAll(direct.select(cols)).count() == 0
-    assert out["lots"].count() == reports.lots(ledger(small_tables, params)).count()
-    written = jobs.write_ledger(small_tables, params, str(tmp_path / "again"), by_week=False)
-    assert written.count() == ledger(small_tables, params).count()
+    assert out["lots"].count() == reports.lots(ledger(small_tables, PARAMS)).count()
+    written = jobs.write_ledger(small_tables, PARAMS, str(tmp_path / "again"), by_week=False)
+    assert written.count() == ledger(small_tables, PARAMS).count()
+
+
+def test_written_ledger_keeps_types(spark, small_tables, tmp_path):
+    df = ledger(small_tables, PARAMS)
+    for by_week in (True, False):
+        assert jobs.write_ledger(small_tables, PARAMS, str(tmp_path / str(by_week)), by_week).dtypes == df.dtypes
+
+
+def test_a_hot_week_is_written_by_many_tasks(spark, small_tables, tmp_path):
+    one_week = small_tables.with_frames(weeksarrange=small_tables.weeksarrange.withColumn("semana", F.lit("hot")))
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "200"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        jobs.write_ledger(one_week, PARAMS, str(tmp_path / "hot"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    files = list((tmp_path / "hot").glob("settlement_week=hot/*.parquet"))
+    assert len(files) > 1
 
 
 def test_ordered_is_newest_first(spark, small_tables):
-    ids = [r[0] for r in ordered(ledger(small_tables, Params(as_of=dt.date(2001, 7, 1)))).select("order_id").collect()]
+    ids = [r[0] for r in ordered(ledger(small_tables, PARAMS)).select("order_id").collect()]
     assert ids == sorted(ids, reverse=True)
 
 
 def test_display_names(spark, small_tables):
-    df = display_names(ledger(small_tables, Params(as_of=dt.date(2001, 7, 1))).limit(1))
-    assert df.columns == [display for _, display in OUTPUT_COLUMNS]
-    assert len(df.columns) == 47
+    headings = {"item_id": "item", "order_id": "order no."}
+    df = display_names(ledger(small_tables, PARAMS).limit(1), headings)
+    assert df.columns == ["item", "order no.", *LEDGER_COLUMNS[2:]] and len(df.columns) == 47
+
+
+def test_no_job_runs_before_an_action(spark, small_tables):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan only", "ledger and reports without an action")
+    df = ledger(small_tables, Params(as_of=dt.date(2001, 7, 1), order_ids=[1]))
+    ordered(ledger(small_tables, PARAMS))
+    for report in jobs.report_all(df, small_tables).values():
+        assert report.columns
+    assert not tracker.getJobIdsForGroup("plan only")
+    spark.sparkContext.setJobGroup("other", "")
+
+
+def test_replaced_tables_are_used(spark):
+    """No table set keeps anything of the tables that it replaces, for each of the 28."""
+    tables = golden_tables(spark)
+    ledger(tables, PARAMS).collect()
+    for name in TABLE_NAMES:
+        empty = {name: tables[name].limit(0)}
+        replaced = ledger(tables.with_frames(**empty), PARAMS).collect()
+        fresh = ledger(Tables({**dict(tables), **empty}), PARAMS).collect()
+        assert sorted(map(str, replaced)) == sorted(map(str, fresh)), name
+    answers = spark.createDataFrame([(40,)] * 3, tables.checkoutproductcomplementanswer.schema)
+    more = ledger(tables.with_frames(checkoutproductcomplementanswer=answers), PARAMS)
+    assert more.where("item_id = 40").count() == 3
+    dear = tables.gatecharges.withColumn("chargeAmount", F.when(F.col("chargeType") == "percent", 0.5).otherwise(F.col("chargeAmount")))
+    low = ledger(tables, PARAMS).where("item_id = 10").agg(F.sum("gateway_cost")).first()[0]
+    high = ledger(tables.with_frames(gatecharges=dear), PARAMS).where("item_id = 10").agg(F.sum("gateway_cost")).first()[0]
+    assert high > 10 * low
+
+
+def test_reports_count_whole_items_and_show_no_false_gap(spark, small_tables):
+    rows = ledger(small_tables, PARAMS).cache()
+    whole = {}
+    for r in rows.collect():
+        key = (r.edition, r.event, r.item_name, r.item_type, r.list_price)
+        whole[key] = whole.get(key, 0) + Fraction(1, round(1 / r.item_fraction))
+    for r in reports.lots(rows).collect():
+        exact = whole[(r.edition, r.event, r.item_name, r.item_type, r.list_price)]
+        assert abs(r.items_sold - float(exact)) < 1e-6
+        assert exact.denominator > 1 or r.items_sold == exact
+    sums = {r.order_id: r.s for r in rows.groupBy("order_id").agg(F.sum("instalment_amount").alias("s")).collect()}
+    gaps = reports.reconcile(rows, small_tables).collect()
+    equal = [r for r in gaps if r.order_total is not None and sums[r.order_id] is not None and abs(sums[r.order_id] - r.order_total) < 1e-8]
+    assert equal and all(r.difference == 0 for r in equal)
+    rows.unpersist()
 
 
 def test_checkpoint_dir_is_read_from_the_session(spark):
@@ -35,3 +109,22 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
 
     configured = spark.conf.get("spark.checkpoint.dir")
     assert checkpoint_dir(spark) == configured
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from settlekit import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: Conf()
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())

@@ -1,20 +1,18 @@
-"""The plan for large catalogues (nothing broadcast) gives the same ledger as the small one."""
+"""The plan for large catalogues (no table broadcast) gives the same ledger as the small one."""
 
 import datetime as dt
 
 from settlekit import Params, ledger
-from settlekit.operators import broadcast
 from settlekit.sources import adapter
 
 from conftest import SF001
 
 
-def test_ledger_without_broadcasts_matches(spark, monkeypatch):
+def test_ledger_without_broadcasts_matches(spark):
     params = Params(as_of=dt.date(2001, 7, 1))
     small = ledger(adapter.build(spark, SF001), params)
     expected = small.collect()
 
-    monkeypatch.setattr(broadcast, "row_count_at_most", lambda df, n: False)
     keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     old = {k: spark.conf.get(k, None) for k in keys}
     for k in keys:
@@ -29,7 +27,6 @@ def test_ledger_without_broadcasts_matches(spark, monkeypatch):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    # the size-checked joins are all shuffled now (Spark may still broadcast a side at run time)
     assert plan.count("SortMergeJoin") >= 10
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     assert sorted(got, key=key) == sorted(expected, key=key)

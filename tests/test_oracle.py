@@ -11,11 +11,9 @@ import compare  # noqa: E402
 
 from conftest import SF001  # noqa: E402
 
-NAMES = [
-    "source_counts", "order_context", "session_card", "linked_items", "items_union",
-    "extras_answer_fanout", "gateway_cost", "ledger", "filter_bought", "filter_both_empty",
-    "lots", "producer_totals", "courtesies", "weekly", "reconcile", "duplicate_keys", "anomalies",
-]
+from settlekit.plans.views import VIEWS  # noqa: E402
+
+NAMES = list(VIEWS)
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from settlekit import Params
-from settlekit.plans.ledger import ledger_rows
+from settlekit.plans.ledger import instalment_rows, ledger_rows
 
 
 @pytest.fixture(scope="module")
@@ -43,9 +43,15 @@ def test_item_fraction_counts_items(rows):
     assert count(card.where(F.abs(c("f") / (c("n") / c("k")) - 1.0) > 1e-9)) == 0
 
 
-def test_lookups_do_not_repeat_rows(rows, small_tables):
-    base = rows.select("branch", "item_id", "instalment_seq", "plan_k").groupBy().count().first()[0]
-    assert base == rows.count()
+def test_lookups_repeat_rows_only_where_their_keys_repeat(rows, small_tables):
+    """Charge and calendar lookups add rows for keys that repeat, and none else."""
+    single = {
+        "gatecharges": small_tables.gatecharges.dropDuplicates(["gateway", "negotiationNumber", "chargeOn", "cardBrand", "installments"]),
+        "weeksarrange": small_tables.weeksarrange.dropDuplicates(["data"]),
+    }
+    inst = instalment_rows(small_tables, Params(as_of=dt.date(2001, 7, 1))).count()
+    once = ledger_rows(small_tables.with_frames(**single), Params(as_of=dt.date(2001, 7, 1))).count()
+    assert once == inst <= count(rows)
 
 
 def test_courtesy_rows(rows):
