@@ -5,6 +5,7 @@ derive the 28 checkout tables from them with the same rules the Spark adapter ap
 """
 
 ADAPTER_CTES = r"""
+-- copies(x): one row, or two where a key repeats
 item AS (
   SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_extendedprice, l.l_returnflag,
          p.p_retailprice AS price,
@@ -54,7 +55,7 @@ checkoutsummary AS (
               ELSE tv + pv + tax + interest + freight + insurance - discount END AS totalAmount,
          tv AS ticketsValue, pv AS productsValue, discount, interest, freight, tax,
          insurance AS ticketInsurance, transfer AS ticketTransfer
-  FROM summ
+  FROM summ, unnest(range(if(sid % 211 = 0, 2, 1))) AS copies(c)
 ),
 checkoutpayment AS (
   SELECT CAST(o_orderkey AS BIGINT) AS sessionid, opt AS paymentOption,
@@ -67,11 +68,11 @@ checkoutpayment AS (
               WHEN o_orderkey % 8 = 2 THEN '222100' WHEN o_orderkey % 8 = 3 THEN '506700'
               WHEN o_orderkey % 8 = 4 THEN '606282' WHEN o_orderkey % 8 = 5 THEN '371449'
               WHEN o_orderkey % 8 = 6 THEN '981234' END AS cardFirstSixDigits
-  FROM ord WHERE opt IS NOT NULL
+  FROM ord, unnest(range(if(o_orderkey % 223 = 0, 2, 1))) AS copies(c) WHERE opt IS NOT NULL
 ),
 checkoutpaypaldetails AS (
   SELECT CAST(o_orderkey AS BIGINT) AS sessionId, 'cap_' || CAST(o_orderkey AS VARCHAR) AS captureId
-  FROM ord WHERE opt = 'PayPal'
+  FROM ord, unnest(range(if(o_orderkey % 10 = 0, 2, 1))) AS copies(c) WHERE opt = 'PayPal'
 ),
 customerpaymentprovidercard AS (
   SELECT 'card_' || CAST(c_custkey AS VARCHAR) AS cardId,
@@ -85,7 +86,9 @@ customerpaymentprovidercard AS (
   FROM (SELECT c_custkey, 0 AS dup FROM customer WHERE c_custkey % 9 <> 7
         UNION ALL SELECT c_custkey, 1 AS dup FROM customer WHERE c_custkey % 10 = 0) c
 ),
-checkoutbuyer AS (SELECT CAST(o_orderkey AS BIGINT) AS sessionId FROM ord),
+checkoutbuyer AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS sessionId FROM ord, unnest(range(if(o_orderkey % 7 = 0, 2, 1))) AS copies(c)
+),
 checkoutparticipant AS (
   SELECT CAST(item_id AS BIGINT) AS id, CAST(l_orderkey AS BIGINT) AS sessionid,
          CAST(l_partkey + 1000000 AS BIGINT) AS checkoutEventTicketBatchPriceId
@@ -95,13 +98,13 @@ checkoutorderticketpartialcancel AS (
   SELECT CAST(item_id AS BIGINT) AS participantId,
          CASE WHEN item_id % 5 = 0 THEN 'Troca de Titularidade'
               WHEN item_id % 5 = 1 THEN 'Cancelamento Reembolsável' ELSE 'Desistência' END AS reason
-  FROM item WHERE kind = 'ticket' AND l_returnflag = 'R' AND item_id % 5 < 3
+  FROM item, unnest(range(if(item_id % 11 = 0, 2, 1))) AS copies(c) WHERE kind = 'ticket' AND l_returnflag = 'R' AND item_id % 5 < 3
 ),
 tradecheckoutsession AS (
   SELECT CAST(item_id AS BIGINT) AS originalParticipantId, CAST(item_id + 1 AS BIGINT) AS participantId,
          25.0E0 AS transferValue,
          CASE WHEN l_linenumber % 2 = 0 THEN 'Pending' ELSE 'Paid' END AS status
-  FROM item WHERE kind = 'ticket' AND l_returnflag = 'R' AND item_id % 5 = 0
+  FROM item, unnest(range(if(item_id % 3 = 0, 2, 1))) AS copies(c) WHERE kind = 'ticket' AND l_returnflag = 'R' AND item_id % 5 = 0
 ),
 checkouteventticketbatchprice AS (
   SELECT CAST(p_partkey + 1000000 AS BIGINT) AS id, CAST(p_partkey AS BIGINT) AS eventTicketBatchPriceId FROM part
@@ -129,7 +132,7 @@ eventticketcomplement AS (
          CASE WHEN id % 4 = 0 THEN 0.0E0 WHEN id % 4 = 1 THEN 3.5E0 END AS emissionChargeFixed,
          CASE WHEN id % 5 = 0 THEN 0.0E0 WHEN id % 5 = 1 THEN 40.0E0 END AS comissionSecurityPerc,
          CASE WHEN id % 6 = 0 THEN 0.0E0 WHEN id % 6 = 1 THEN 60.0E0 END AS transferPercent
-  FROM ticket_ids
+  FROM ticket_ids, unnest(range(if(id = 5, 2, 1))) AS copies(c)
 ),
 event AS (
   SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS title, 8.0E0 + n_nationkey % 5 AS taxaevent,
@@ -141,12 +144,12 @@ eventcomplement AS (
          5.0E0 AS emissionChargePercent, 2.0E0 AS emissionChargeFixed, 30.0E0 AS comissionSecurityPerc,
          50.0E0 AS transferPercent, 1.0E0 AS rebateTax, 6.0E0 AS taxRate,
          4.0E0 AS productChargePercent, 1.0E0 AS productChargeFixed
-  FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey <> 24
+  FROM nation JOIN region ON r_regionkey = n_regionkey, unnest(range(if(n_nationkey = 3, 2, 1))) AS copies(c) WHERE n_nationkey <> 24
 ),
 installmentsrange AS (
   SELECT CAST(n AS INTEGER) AS installments, a AS installmentsArray
   FROM (VALUES (1, '[1]'), (2, '[1,2]'), (3, '[1,2,3]'), (4, '[1,2,3,4]'), (5, '[1,2,3,4,5]'),
-               (6, '[1,2,3,4,5,6]'), (7, '[1,2,3,4,5,6,7]'), (8, '[1,2,3,4,5,6,7,8]'),
+               (6, '[1,2,3,4,5,6]'), (7, '[1,2,null,4,5,6,7]'), (8, '[1,2,3,4,5,6,7,8]'),
                (9, '[1,2,3,4,5,6,7,8,9]'), (10, '[1,2,3,4,5,6,7,8,9,10]'),
                (12, '[1,2,3,4,5,6,7,8,9,10,11,12]')) t(n, a)
 ),
@@ -170,7 +173,9 @@ gatecharges AS (
                           ('Pagarme', 0, 'CreditCard', 'all', 0, 'fixed', 0.5E0),
                           ('Pagarme', 0, 'antifraude', 'all', 0, 'fixed', 0.4E0),
                           ('Pagarme', 0, 'boleto', 'all', 0, 'fixed', 3.0E0),
-                          ('PayPal', 0, 'PayPal', 'all', 0, 'fixed', 0.6E0)) f(gateway, neg, charge_on, brand, n, ctype, amount)
+                          ('PayPal', 0, 'PayPal', 'all', 0, 'fixed', 0.6E0),
+                          ('pagarme', 1, 'CREDITCARD', 'VISA', 3, 'percent', 0.05E0),
+                          ('PAGARME', 0, 'Antifraude', 'all', 0, 'FIXED', 0.1E0)) f(gateway, neg, charge_on, brand, n, ctype, amount)
   ) t
 ),
 checkoutproductcomplement AS (
@@ -192,13 +197,13 @@ productcomplementmanual AS (
          CASE WHEN p_partkey % 20 = 0 THEN 'ticket' ELSE 'extra' END AS category,
          CASE WHEN p_partkey % 3 = 0 THEN 0.0E0 WHEN p_partkey % 3 = 1 THEN 10.0E0 END AS productChargePercent,
          CASE WHEN p_partkey % 4 = 0 THEN 0.0E0 WHEN p_partkey % 4 = 1 THEN 1.5E0 END AS productChargeFixed
-  FROM part
+  FROM part, unnest(range(if(p_partkey % 50 = 7, 2, 1))) AS copies(c)
 ),
 checkoutorderproductpartialcancel AS (
   SELECT CAST(item_id AS BIGINT) AS checkoutProductComplementId,
          CASE WHEN item_id % 5 = 0 THEN 'Troca de Titularidade'
               WHEN item_id % 5 = 1 THEN 'another option' ELSE 'Desistência' END AS reason
-  FROM item WHERE kind = 'extra' AND l_returnflag = 'R' AND item_id % 5 < 3
+  FROM item, unnest(range(if(item_id % 11 = 0, 2, 1))) AS copies(c) WHERE kind = 'extra' AND l_returnflag = 'R' AND item_id % 5 < 3
 ),
 checkoutproductcomplementanswer AS (
   SELECT CAST(item_id AS BIGINT) AS checkoutProductComplementId FROM item WHERE kind = 'extra'
@@ -207,7 +212,7 @@ checkoutproductcomplementanswer AS (
 ),
 weeksarrange AS (
   SELECT d AS data, CAST(CAST(date_trunc('week', d) AS DATE) AS VARCHAR) AS semana
-  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) t
+  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) t, unnest(range(if(day(d) = 15, 2, 1))) AS copies(c)
 )"""
 
 TABLES = [

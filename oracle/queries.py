@@ -174,7 +174,7 @@ def queries() -> dict[str, str]:
         "producer_total": _with(f"SELECT {ROW_KEY}, producer_total FROM totals"),
         "gateway_cost": _with(
             f"SELECT {ROW_KEY}, gateway, card_brand, gateway_charge_type, gateway_charge_rate, gateway_cost"
-            " FROM charged"
+            " FROM ledger_rows"
         ),
         "settlement_week": _with(f"SELECT {ROW_KEY}, settlement_week FROM ledger_rows"),
         "settlement_status": _with(f"SELECT {ROW_KEY}, settlement_status FROM ledger_rows"),

@@ -22,6 +22,8 @@ PRICE_TYPES = [(0, "inteira"), (1, "meia"), (2, "idoso"), (3, "assessoria")]
 PAYMENT_PROVIDERS = [(1, "Pagarme"), (2, "Stone")]
 # instalment plans 1..10 and 12; 11 is left out on purpose (the "missing plan" case)
 INSTALMENT_PLANS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12]
+# the plan of 7 has an instalment without a number
+NULL_PLAN = (7, "[1,2,null,4,5,6,7]")
 CHARGE_GATEWAYS = ["Pagarme", "Stone"]
 CHARGE_BRANDS = ["visa", "Master", "elo", "hipercard", "Amex"]
 CHARGE_FLAT_METHODS = ["Pix", "boleto"]
@@ -31,6 +33,9 @@ CHARGE_EXTRA_ROWS = [
     ("Pagarme", 0, "antifraude", "all", 0, "fixed", 0.4),
     ("Pagarme", 0, "boleto", "all", 0, "fixed", 3.0),
     ("PayPal", 0, "PayPal", "all", 0, "fixed", 0.6),
+    # a key that repeats in another case, and a fixed charge in another case
+    ("pagarme", 1, "CREDITCARD", "VISA", 3, "percent", 0.05),
+    ("PAGARME", 0, "Antifraude", "all", 0, "FIXED", 0.1),
 ]
 # --------------------------------------------------------------------------------------------
 
@@ -123,6 +128,11 @@ def _mod_case(key: Column, modulus: int, values: list) -> Column:
     return out
 
 
+def _repeat(df: DataFrame, which: Column) -> DataFrame:
+    """``df`` with the rows where ``which`` holds twice: keys that repeat (FIXTURES.md §1)."""
+    return df.withColumn("_copy", F.explode(F.when(which, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_copy")
+
+
 def build(spark: SparkSession, sf_dir: str) -> Tables:
     """The 28 checkout tables derived from the driver tables under ``sf_dir``."""
     d = read_driver(spark, sf_dir)
@@ -143,7 +153,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     ), "checkoutsession")
 
     s = F.col("sid")
-    t["checkoutsummary"] = _cast(summ.select(
+    t["checkoutsummary"] = _cast(_repeat(summ, s % 211 == 0).select(
         s.alias("sessionid"),
         F.when(s % 67 == 0, F.lit(None).cast("double"))
         .otherwise(F.col("tv") + F.col("pv") + F.col("tax") + F.col("interest") + F.col("freight")
@@ -154,7 +164,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     ), "checkoutsummary")
 
     opt = F.col("opt")
-    t["checkoutpayment"] = _cast(ord_.where(opt.isNotNull()).select(
+    t["checkoutpayment"] = _cast(_repeat(ord_.where(opt.isNotNull()), key % 223 == 0).select(
         key.alias("sessionid"),
         opt.alias("paymentOption"),
         F.when(key % 97 == 0, F.lit(None))
@@ -168,7 +178,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
         .alias("cardFirstSixDigits"),
     ), "checkoutpayment")
 
-    t["checkoutpaypaldetails"] = _cast(ord_.where(opt == "PayPal").select(
+    t["checkoutpaypaldetails"] = _cast(_repeat(ord_.where(opt == "PayPal"), key % 10 == 0).select(
         key.alias("sessionId"), F.concat(F.lit("cap_"), _str(key)).alias("captureId")
     ), "checkoutpaypaldetails")
 
@@ -185,7 +195,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
         .alias("brand"),
     ), "customerpaymentprovidercard")
 
-    t["checkoutbuyer"] = _cast(ord_.select(key.alias("sessionId")), "checkoutbuyer")
+    t["checkoutbuyer"] = _cast(_repeat(ord_, key % 7 == 0).select(key.alias("sessionId")), "checkoutbuyer")
 
     iid = F.col("item_id")
     tickets = item.where(F.col("kind") == "ticket")
@@ -195,12 +205,12 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
         iid.alias("id"), F.col("l_orderkey").alias("sessionid"),
         (F.col("l_partkey") + 1000000).alias("checkoutEventTicketBatchPriceId"),
     ), "checkoutparticipant")
-    t["checkoutorderticketpartialcancel"] = _cast(tickets.where(returned & (iid % 5 < 3)).select(
+    t["checkoutorderticketpartialcancel"] = _cast(_repeat(tickets.where(returned & (iid % 5 < 3)), iid % 11 == 0).select(
         iid.alias("participantId"),
         _mod_case(iid, 5, ["Troca de Titularidade", "Cancelamento Reembolsável"])
         .otherwise("Desistência").alias("reason"),
     ), "checkoutorderticketpartialcancel")
-    t["tradecheckoutsession"] = _cast(tickets.where(returned & (iid % 5 == 0)).select(
+    t["tradecheckoutsession"] = _cast(_repeat(tickets.where(returned & (iid % 5 == 0)), iid % 3 == 0).select(
         iid.alias("originalParticipantId"), (iid + 1).alias("participantId"),
         F.lit(25.0).alias("transferValue"),
         F.when(F.col("l_linenumber") % 2 == 0, "Pending").otherwise("Paid").alias("status"),
@@ -222,7 +232,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     t["eventticket"] = _cast(ticket_ids.select(
         tid, F.concat(F.lit("ticket "), _str(tid)).alias("name"), (tid % 25).alias("eventid")
     ), "eventticket")
-    t["eventticketcomplement"] = _cast(ticket_ids.select(
+    t["eventticketcomplement"] = _cast(_repeat(ticket_ids, tid == 5).select(
         tid.alias("ticketid"),
         F.when(tid % 13 == 0, "extra").when(tid % 29 == 1, "servico").otherwise("ticket").alias("category"),
         F.concat(_str(5 * (1 + tid % 4)), F.lit("k")).alias("nameparsed"),
@@ -238,7 +248,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
         F.lit(25.0).alias("ticketTransferValue"),
     ), "event")
     t["eventcomplement"] = _cast(
-        nation.join(region, region.r_regionkey == nation.n_regionkey).where(n != 24).select(
+        _repeat(nation.join(region, region.r_regionkey == nation.n_regionkey).where(n != 24), n == 3).select(
             n.alias("eventid"), F.col("r_name").alias("globalevent"),
             F.lit(5.0).alias("emissionChargePercent"), F.lit(2.0).alias("emissionChargeFixed"),
             F.lit(30.0).alias("comissionSecurityPerc"), F.lit(50.0).alias("transferPercent"),
@@ -247,6 +257,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
         ), "eventcomplement")
 
     plans = [(k, "[" + ",".join(str(i) for i in range(1, k + 1)) + "]") for k in INSTALMENT_PLANS]
+    plans = [plan for plan in plans if plan[0] != NULL_PLAN[0]] + [NULL_PLAN]
     t["installmentsrange"] = spark.createDataFrame(plans, SCHEMAS["installmentsrange"])
     t["paymentprovider"] = spark.createDataFrame(PAYMENT_PROVIDERS, SCHEMAS["paymentprovider"])
     charges = [
@@ -265,13 +276,13 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     model_ids = part.select((p % 50).alias("id")).distinct()
     t["productmodel"] = _cast(model_ids.select(tid, F.concat(F.lit("model "), _str(tid)).alias("name")), "productmodel")
     t["productsize"] = _cast(part.select(p.alias("id"), F.col("p_retailprice").alias("price")), "productsize")
-    t["productcomplementmanual"] = _cast(part.select(
+    t["productcomplementmanual"] = _cast(_repeat(part, p % 50 == 7).select(
         p.alias("productId"),
         F.when(p % 20 == 0, "ticket").otherwise("extra").alias("category"),
         _mod_case(p, 3, [0.0, 10.0]).alias("productChargePercent"),
         _mod_case(p, 4, [0.0, 1.5]).alias("productChargeFixed"),
     ), "productcomplementmanual")
-    t["checkoutorderproductpartialcancel"] = _cast(extras.where(returned & (iid % 5 < 3)).select(
+    t["checkoutorderproductpartialcancel"] = _cast(_repeat(extras.where(returned & (iid % 5 < 3)), iid % 11 == 0).select(
         iid.alias("checkoutProductComplementId"),
         _mod_case(iid, 5, ["Troca de Titularidade", "another option"]).otherwise("Desistência").alias("reason"),
     ), "checkoutorderproductpartialcancel")
@@ -281,7 +292,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
         ), "checkoutproductcomplementanswer")
 
     days = orders.select(F.col("o_orderdate").cast("date").alias("d")).distinct()
-    t["weeksarrange"] = _cast(days.select(
+    t["weeksarrange"] = _cast(_repeat(days, F.dayofmonth("d") == 15).select(
         F.col("d").alias("data"), _str(F.trunc("d", "week")).alias("semana")
     ), "weeksarrange")
 

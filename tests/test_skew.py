@@ -5,9 +5,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from settlekit import Params, ledger
+from settlekit import Params
 from settlekit.operators.context import card_per_id, paid_sessions
 from settlekit.operators.skew import hot_keys, salted_join
+from settlekit.plans.ledger import item_rows
 
 
 @contextlib.contextmanager
@@ -36,17 +37,18 @@ def test_hot_order_is_spread_and_result_unchanged(spark, small_tables):
         "sessionid", F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.col("sessionid"))
     )
     tables = small_tables.with_frames(checkoutparticipant=participants)
-    cols = ["item_id", "order_id", "instalment_no", "producer_total", "gateway_cost", "card_brand"]
+    cols = ["item_id", "order_id", "item_price", "order_total", "card_brand"]
+    salted = item_rows(tables, Params(as_of=base.as_of, hot_key_rows=100)).select(cols).collect()
+    plain = item_rows(tables, base).select(cols).collect()
+    assert sorted(map(tuple, salted), key=_key) == sorted(map(tuple, plain), key=_key)
+
+    lines = participants.select(F.col("id").alias("item_id"), F.col("sessionid").alias("order_id"))
     with conf(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false",
-                      "spark.sql.autoBroadcastJoinThreshold": "-1"}):
-        salted = ledger(tables, Params(as_of=base.as_of, hot_key_rows=100)).select(
-            *cols, F.spark_partition_id().alias("task"))
-        got = salted.collect()
-        plain = ledger(tables, base).select(cols).collect()
-    assert sorted([tuple(r)[:-1] for r in got], key=_key) == sorted([tuple(r) for r in plain], key=_key)
-    hot_rows = [r for r in got if r["order_id"] == hot]
-    assert len(hot_rows) > len(got) // 10  # a third of the items, paid in one instalment
-    assert len({r["task"] for r in hot_rows}) > 1
+                      "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        found = hot_keys(lines.select("order_id"), "order_id", 100)
+        joined = salted_join(lines, paid_sessions(tables, base), "order_id", found, F.col("item_id"))
+        tasks = joined.where(F.col("order_id") == hot).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks > 1
 
 
 def test_hot_keys_are_bounded_and_salted(spark, small_tables):
