@@ -11,10 +11,12 @@ from settlekit.session import checkpoint_dir
 HOT_PARTS = 1000
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, with its lineage cut."""
+def saved(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """`df` written to the shared checkpoint folder, with its lineage cut. `parts` is a most
+    number of partitions, from its number of rows: small tables are not written, and shuffled
+    from there, as very many small files."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
 def crc_of_id(column: str) -> Column:

@@ -9,30 +9,36 @@ from pyspark.sql import functions as F
 
 from settlekit.llm.common import lookup, saved
 
-
-def _star(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    """(v, m) for each (u, v) of the saved `pairs`, with m of `least` (u, m, n)."""
-    return lookup(pairs, least, "u", pairs.count()).select("v", "m")
+#: Edges in a partition, at least.
+PART_ROWS = 50_000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of `edges` (a, b); root is the component's smallest node."""
+    parts = max(1, -(-edges.count() // PART_ROWS))
     links = saved(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), parts
     )
+    size = links.count()
+
+    def star(pairs: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+        """(v, m) for each (u, v) of the saved `pairs`, with m of `least` (u, m, n)."""
+        return lookup(pairs, saved(least, parts), "u", rows).select("v", "m")
+
     while True:
-        before = links
+        before, had = links, size
         # large star: a node's larger neighbours go to its smallest neighbour (or itself)
-        both = saved(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         least = least.withColumn("m", F.least("m", "u"))
-        large = _star(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = saved(large.filter("u <> v").distinct())
+        large = star(both.filter("v > u"), least, 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = saved(large.filter("u <> v").distinct(), parts)
         # small star: a node's smaller neighbours, and itself, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _star(large, least).unionByName(least.select(F.col("u").alias("v"), "m"))
-        links = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        if links.count() == before.count() and links.exceptAll(before).isEmpty():
+        small = star(large, least, large.count()).unionByName(least.select(F.col("u").alias("v"), "m"))
+        links = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), parts)
+        size = links.count()
+        if size == had and links.join(before, ["u", "v"], "left_anti").isEmpty():
             break
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

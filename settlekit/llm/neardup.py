@@ -46,6 +46,8 @@ from settlekit.llm.components import components
 
 SHINGLE, BINS, BANDS = 5, 128, 32
 PERCENT = 75
+#: Nodes (or rows of them) in a partition of what is saved on the way, at least.
+PART_ROWS = 5_000
 #: Nodes in a block of the exhaustive search of a bucket.
 BLOCK = 256
 #: Hashes of a set that the exhaustive search compares.
@@ -279,11 +281,11 @@ def _sketched(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node binary, sketch binary")
 
 
-def _unsettled(members: DataFrame, groups: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, groups: DataFrame, texts: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     """The members of buckets that span several components, ready for `_similar_pairs`."""
     rooted = members.join(found, "node", "left").select("key", "band", "node", "n", F.coalesce("root", "node").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    held = saved(rooted.join(open_keys.select("key"), "key", "left_semi"))
+    held = saved(rooted.join(open_keys.select("key"), "key", "left_semi"), parts)
     nodes = held.select("node").distinct()
     values = groups.select("node", "n_shingles", "sig").join(_sketched(nodes, texts), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -293,46 +295,48 @@ def _unsettled(members: DataFrame, groups: DataFrame, texts: DataFrame, found: D
     )
 
 
-def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, root) for every node that is linked with another."""
+def links(docs: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
+    """(node, root) for every node that is linked with another; what is saved has at most `parts`
+    partitions."""
     rows = bucket_rows(groups)
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = saved(rows.join(buckets, "key").select("key", "band", "node", "n"))
+    members = saved(rows.join(buckets, "key").select("key", "band", "node", "n"), parts)
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     centres = (
         members.join(company, "node")
         .groupBy("key")
         .agg(F.max_by("node", F.struct("company", "node")).alias("centre"), F.count(F.lit(1)).alias("n"))
     )
-    pairs = lookup(members.select("key", "node"), saved(centres), "key", members.count())
+    pairs = lookup(members.select("key", "node"), saved(centres, parts), "key", members.count())
     stars = saved(
         pairs.filter("node <> centre")
         .groupBy(F.col("node").alias("a"), F.col("centre").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .agg(F.count(F.lit(1)).alias("shared")),
+        parts,
     )
-    owners = saved(members.select("node").distinct().join(groups, "node").select("node", "first_id", F.col("text_key").alias("_key")))
+    owners = saved(members.select("node").distinct().join(groups, "node").select("node", "first_id", F.col("text_key").alias("_key")), parts)
     if owners.count() <= BROADCAST_ROWS:
         owners = F.broadcast(owners)
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("_key"))
-    texts = saved(_keyed(docs).join(owners, same).select("node", "text"))
-    best = saved(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
-    linked = saved(confirmed(best, texts).distinct())
+    texts = saved(_keyed(docs).join(owners, same).select("node", "text"), parts)
+    best = saved(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), parts)
+    linked = saved(confirmed(best, texts), parts)
     found = components(linked)
     checked = best
-    more = saved(_across(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found))
+    more = saved(_across(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found), parts)
     if not more.isEmpty():
         checked = checked.unionByName(more)
-        linked = saved(linked.unionByName(confirmed(more, texts)).distinct())
+        linked = saved(linked.unionByName(confirmed(more, texts)), parts)
         found = components(linked)
-    rest = _similar_pairs(_unsettled(members, groups, texts, found))
+    rest = _similar_pairs(_unsettled(members, groups, texts, found, parts))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     seen = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = saved(rest.join(seen, ["a", "b"], "left_anti"))
+    rest = saved(rest.join(seen, ["a", "b"], "left_anti"), parts)
     if not rest.isEmpty():
-        last = saved(confirmed(rest, texts))
+        last = saved(confirmed(rest, texts), parts)
         if not last.isEmpty():
             found = components(linked.unionByName(last))
-    return saved(found)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -348,15 +352,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.first("sig").alias("sig"),
         ).select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "n", "n_shingles", "sig")
     )
-    found = links(docs, groups)
+    parts = max(1, -(-groups.count() // PART_ROWS))
+    found = links(docs, groups.coalesce(parts), parts)
     rooted = saved(
-        groups.join(found, "node", "left").select("node", "first_id", "n", F.coalesce("root", "node").alias("root"))
+        groups.join(found, "node", "left").select("node", "first_id", "n", F.coalesce("root", "node").alias("root")), parts
     )
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_nodes"))
     labels = lookup(
         rooted.withColumnRenamed("n", "_n"), roots.withColumnRenamed("_nodes", "n"), "root", rooted.count()
     ).select("node", "component_id", F.col("_n").alias("n"))
-    labels = saved(labels)
+    labels = saved(labels, parts)
     placed = lookup(full.select("node", "doc_id", "text_key", "n_shingles"), labels, "node", sets.count())
     empty = sets.filter("node is null").select("node", "doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     result = placed.select("node", "doc_id", "text_key", "n_shingles", "component_id").unionByName(empty)
