@@ -18,7 +18,8 @@ its own and no hit, and a term whose neighbours are often clean is matched exact
 marks, or after a word that reports speech, it is quoted; a word that addresses the reader or
 another hit nearby makes it heavier. A text's evidence is the sum over its terms of their heaviest
 unquoted hit, plus `QUOTED` of its heaviest quoted hit alone; the score is the logistic of the
-evidence plus the log-odds of toxic labels.
+evidence above a threshold, the one that errs least over the labels of the sample (each class
+weighted to its share of all labels).
 
 Texts are used whole, in one pass without a shuffle. Edge cases: a null or empty text, or one
 without terms, has no evidence and a score below 0.5, as has every text if no lexicon could be
@@ -148,7 +149,7 @@ class Lexicon:
 
 
 class Model:
-    """Terms with weights, known words near them, and the log-odds of toxic labels."""
+    """Terms with weights, known words near them, and minus the threshold of evidence."""
 
     def __init__(self, prior: float, weights: dict[str, float], unseen: dict[str, float], known: dict[str, float]) -> None:
         self.prior, self.weights, self.unseen, self.known = prior, weights, unseen, known
@@ -184,8 +185,12 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[float, int, int]:
         """Score, hits, and how many of them are quoted."""
+        evidence, hits, quoted = self.evidence(text)
+        return _logistic(self.model.prior + evidence), hits, quoted
+
+    def evidence(self, text: str | None) -> tuple[float, int, int]:
         if not text or not self.model.weights:
-            return _logistic(self.model.prior + ABSENT), 0, 0
+            return ABSENT, 0, 0
         lower = text.lower()
         distinct = set(_WORD.findall(lower))
         if len(self.clean) > CACHE_WORDS:
@@ -201,7 +206,7 @@ class Scorer:
                 self.hits[w] = hit
             here[w] = hit
         if not here:
-            return _logistic(self.model.prior + ABSENT), 0, 0
+            return ABSENT, 0, 0
         return self._in_context(lower, here)
 
     def _in_context(self, lower: str, here: dict[str, tuple[str, float]]) -> tuple[float, int, int]:
@@ -222,7 +227,7 @@ class Scorer:
                 quoted = max(quoted, weight)
             else:
                 plain[term] = max(plain.get(term, 0.0), weight)
-        return _logistic(self.model.prior + sum(plain.values()) + QUOTED * quoted), hits, quotes
+        return sum(plain.values()) + QUOTED * quoted, hits, quotes
 
 
 def _before(text: str, at: int) -> str:
@@ -269,6 +274,20 @@ def _unlikely(k: int, clean: int, base: float) -> float:
     return n * (p * log(p / base) + (0.0 if p >= 1 else (1 - p) * log((1 - p) / (1 - base))))
 
 
+def threshold(found: Sequence[tuple[float, bool]], toxic_weight: float, clean_weight: float) -> float:
+    """The evidence from which a text is called toxic, at the least weighted error over (evidence,
+    toxic) pairs: the middle of the widest gap between evidences where that error is reached."""
+    order = sorted(found)
+    error = sum(clean_weight for _, toxic in order if not toxic)  # all called toxic
+    best, choice = (float("inf"), 0.0), 1.0
+    for i, (x, toxic) in enumerate(order):
+        error += toxic_weight if toxic else -clean_weight
+        after = order[i + 1][0] if i + 1 < len(order) else x + 2
+        if after > x and after > 0 and (error, x - after) < best:
+            best, choice = (error, x - after), (max(x, 0.0) + after) / 2
+    return choice
+
+
 def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     """A model from `docs` (doc_id, text) and those rows of `labels` (doc_id, toxic) where
     `usable`, a condition on doc_id, holds."""
@@ -367,7 +386,17 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
         toxic, clean = total.get(term, (0, 0))
         odds = _log_odds(toxic, clean, in_toxic, in_clean)
         unseen[term] = UNSEEN * weight if not clean else UNSEEN * min(weight, odds) if odds >= 2.0 else 0.0
-    return Model(prior, weights, unseen, known)
+    model = Model(0.0, weights, unseen, known)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            found = [scorer.evidence(t)[0] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(0)], names=["evidence", "toxic"])
+
+    # a row for each text of the sample
+    found = [tuple(r) for r in sample.mapInArrow(weigh, "evidence double, toxic boolean").collect()]
+    return Model(-threshold(found, n_toxic / in_toxic, n_clean / in_clean), weights, unseen, known)
 
 
 def assess(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:

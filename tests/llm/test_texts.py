@@ -360,3 +360,10 @@ def test_against_duckdb(spark, tmp_path, name, view):
 def test_held_out_rows_follow_the_checksum(spark):
     rows = QUERIES["op1_langid"](spark, SF01).select("doc_id", "held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_the_threshold_errs_least():
+    found = [(-2.0, False)] * 20 + [(3.0, False)] * 2 + [(3.0, True)] + [(7.0, True)] * 5 + [(6.5, True)]
+    assert toxicity.threshold(found, 1.0, 1.0) == (3.0 + 6.5) / 2
+    assert 0 < toxicity.threshold(found, 10.0, 1.0) < 3.0
+    assert toxicity.threshold([(-2.0, False), (5.0, True)], 1.0, 1.0) == 2.5
