@@ -7,10 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from settlekit.llm.common import lookup, saved
+from settlekit.llm.common import saved
 
 #: Edges in a partition, at least.
 PART_ROWS = 50_000
+#: Parts that a node's neighbours are spread over.
+SALTS = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,21 +23,24 @@ def components(edges: DataFrame) -> DataFrame:
     )
     size = links.count()
 
-    def star(pairs: DataFrame, least: DataFrame, rows: int) -> DataFrame:
-        """(v, m) for each (u, v) of the saved `pairs`, with m of `least` (u, m, n)."""
-        return lookup(pairs, saved(least, parts), "u", rows).select("v", "m")
+    def star(pairs: DataFrame, least: DataFrame) -> DataFrame:
+        """(v, m) for each (u, v) of `pairs`, with m of `least` (u, m). A node with very many
+        neighbours is spread: pairs are salted by v, and `least` is repeated for each salt."""
+        salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        spread = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return salted.join(spread, ["u", "_salt"]).select("v", "m")
 
     while True:
         before, had = links, size
         # large star: a node's larger neighbours go to its smallest neighbour (or itself)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
         least = least.withColumn("m", F.least("m", "u"))
-        large = star(both.filter("v > u"), least, 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = star(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = saved(large.filter("u <> v").distinct(), parts)
         # small star: a node's smaller neighbours, and itself, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = star(large, least, large.count()).unionByName(least.select(F.col("u").alias("v"), "m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = star(large, least).unionByName(least.select(F.col("u").alias("v"), "m"))
         links = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), parts)
         size = links.count()
         if size == had and links.join(before, ["u", "v"], "left_anti").isEmpty():
