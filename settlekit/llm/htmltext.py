@@ -12,8 +12,10 @@ these counts an element gets an importance between 0 and 1:
 * both: (1 - g^c) * presentation + g^c * content, with c child sequences and g = `DAMPING`.
   Elements that hold text themselves count by content alone.
 
-Branches of importance below `LEAST_IMPORTANCE` are removed from each page, provided the host has
-`LEAST_PAGES` distinct pages (fewer tell nothing). Pages count as distinct by their longest
+A branch is removed only if it and all below it is of importance below `LEAST_IMPORTANCE`, so the
+element that holds a text decides about it, however much constant text is around; where such an
+element also holds texts that are not low by themselves (1 minus their own entropy), those stay.
+Nothing is removed from a host of fewer than `LEAST_PAGES` distinct pages (they tell nothing). Pages count as distinct by their longest
 block, so copies of an article under many addresses do not make the article look like a
 template. An element's importance is the mean over all texts at its path; one passage that many
 articles share does not remove the path that holds it.
@@ -25,8 +27,8 @@ elements only those are read.
 
 The tree is counted with DataFrame aggregations: rows of (host, element, text digest, page
 digest), combined on the map side; a host with a third of all pages is spread over all tasks. The
-elements to remove are a table of (host, elements); it is saved, and broadcast if it is small
-(`BROADCAST_ROWS` hosts and elements), else joined by a shuffle on the host, where AQE splits a
+elements and texts to remove are a table of (host, keys); it is saved, and broadcast if it is small
+(`BROADCAST_ROWS` hosts and keys), else joined by a shuffle on the host, where AQE splits a
 hot host. Pages are parsed in two passes and are not shuffled in the first case.
 
 Edge cases: null, empty or broken html gives what text can be found, or an empty text; an
@@ -231,7 +233,7 @@ def tree_rows(pages: DataFrame) -> DataFrame:
                     host = host_of(url)
                     page = xxhash.xxh3_64_intdigest(max((b.text for b in blocks), key=len)) - (1 << 63)
                     rows = {
-                        (path, False, xxhash.xxh3_64_intdigest(b.text) - (1 << 63), i + 1 == len(b.paths))
+                        (path, False, text_key(path, b.text), i + 1 == len(b.paths))
                         for b in blocks for i, path in enumerate(b.paths)
                     }
                     rows |= {(path, True, xxhash.xxh3_64_intdigest("/".join(s)) - (1 << 63), False) for path, found in styles.items() for s in found}
@@ -247,11 +249,17 @@ def tree_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def importance(rows: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every element of the style trees."""
+def text_counts(rows: DataFrame) -> DataFrame:
+    """(host, path, style, digest, n, leaf): over how many distinct pages a text or sequence occurs."""
     # the same text or sequence at the same place of two pages with one digest counts once
     seen = rows.groupBy("host", "path", "style", "digest", "page").agg(F.max("leaf").alias("leaf"))
-    counts = seen.groupBy("host", "path", "style", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("leaf").alias("leaf"))
+    return seen.groupBy("host", "path", "style", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("leaf").alias("leaf"))
+
+
+def importance(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(host, path, pages, importance) of every element of the style trees; `counts` are the
+    `text_counts` of the rows, if they are there already."""
+    counts = text_counts(rows) if counts is None else counts
     m = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     n, total = F.col("n").cast("double"), F.sum(F.col("n").cast("double"))
     sums = counts.groupBy("host", "path").agg(
@@ -273,10 +281,24 @@ def importance(rows: DataFrame) -> DataFrame:
     return sums.join(m, "host").select("host", "path", "pages", F.greatest(value, F.lit(0.0)).alias("importance"))
 
 
+def text_key(path: int, text: str) -> int:
+    """The digest of a text at an element."""
+    return xxhash.xxh3_64_intdigest(f"{path} {text}") - (1 << 63)
+
+
 def noise(pages: DataFrame) -> DataFrame:
-    """(host, paths): the elements of low importance of each host that has any."""
-    found = importance(tree_rows(pages)).filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    return found.groupBy("host").agg(F.collect_set("path").alias("paths"))
+    """(host, paths): of each host that has any, the elements that hold only texts of low
+    importance, and the keys of low texts in elements that are low in the mean."""
+    rows = tree_rows(pages)
+    counts = saved(text_counts(rows))
+    found = importance(rows, counts).filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    # a row for each element that is low: few, and split by AQE where one has very many texts
+    texts = counts.filter(F.col("leaf") & ~F.col("style")).join(found.select("host", "path", "pages"), ["host", "path"])
+    low = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double")) < LEAST_IMPORTANCE
+    # at most pages ^ LEAST_IMPORTANCE low texts for each text that a page has there
+    elements = texts.groupBy("host", "path").agg(F.collect_list(F.when(low, F.col("digest"))).alias("low"), F.count(F.when(~low, 1)).alias("others"))
+    keys = elements.select("host", F.explode(F.when(F.col("others") == 0, F.array("path")).otherwise(F.col("low"))).alias("key"))
+    return keys.groupBy("host").agg(F.collect_set("key").alias("paths"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -297,7 +319,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 part, texts = batch.slice(at, 512), []
                 for html, paths in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     blocks, drop = parse(html or "", known)[0], set(paths or ())
-                    texts.append("\n".join(b.text for b in blocks if not drop or drop.isdisjoint(b.paths)))
+                    texts.append("\n".join(b.text for b in blocks if not (drop and b.paths and (b.paths[-1] in drop or text_key(b.paths[-1], b.text) in drop))))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],

@@ -260,6 +260,16 @@ def test_low_importance_branches_go(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+@pytest.mark.parametrize("constant, unique", [("<div>Fixed {k}</div>", "<p>{t}</p>"), ("<p>Fixed {k}</p>", "<p>{t}</p>"), ("<div>Fixed {k}</div>", "<div><div><p>{t}</p></div></div>")])
+@pytest.mark.parametrize("blocks, own", [(12, 1), (20, 3)])
+def test_constant_blocks_do_not_outvote_the_article(spark, constant, unique, blocks, own):
+    article = lambda i: [f"Story {i} part {k} tells of {i * 7 + k} things." for k in range(own)]
+    fixed = "".join(constant.format(k=k) for k in range(blocks))
+    rows = [(i, f"http://a.example/{i}", f"<html><body><div>{fixed}{''.join(unique.format(t=t) for t in article(i))}</div></body></html>") for i in range(100)]
+    got = htmltext.extract(rows_of(spark, rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: "\n".join(article(i)) for i in range(100)}
+
+
 def test_importance_against_the_formulas(spark):
     """Content: 1 minus the mean entropy of the texts; presentation: entropy of the sequences."""
     rows = []
