@@ -23,7 +23,9 @@ articles share does not remove the path that holds it.
 Entropy alone can't tell a menu or a footer whose texts differ on every page from an article, so
 elements whose tag, role or class names a menu, header, footer, sidebar, notice, advert, form,
 script, style or reader comments are removed as well, and where a page has article (or main)
-elements only those are read.
+elements only those are read. A word of a class or id is a weaker sign than a tag or role, as
+layout wrappers have such words too (`has-sidebar`): it does not count for an element that holds
+`main`, an article or most of the page's text (see `_named` for what names are stronger).
 
 The tree is counted with DataFrame aggregations: rows of (host, element, text digest, page
 digest), combined on the map side; a host with a third of all pages is spread over all tasks. The
@@ -81,6 +83,8 @@ WORDS = frozenset(
     " modal overlay widget toolbar copyright skip pagination pager".split()
 )
 OUTSIDE = frozenset(("header", "topbar"))
+#: Words for elements that hold other articles, or comments marked up as articles.
+OTHERS = frozenset("related recommended promo promotion sponsor sponsored comment comments disqus reply replies respond".split())
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -102,10 +106,12 @@ def host_of(url: str | None) -> str:
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "main", "children")
+    """An open element; `named` holds the numbers of the elements with words of noise around it."""
+
+    __slots__ = ("tag", "path", "noise", "main", "children", "named")
 
     def __init__(self, tag: str, path: int, noise: bool, main: bool) -> None:
-        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+        self.tag, self.path, self.noise, self.main, self.children, self.named = tag, path, noise, main, [], ()
 
 
 class Block:
@@ -117,28 +123,73 @@ class Block:
         self.paths, self.text, self.main = paths, text, main
 
 
-def _open(tag: str, attributes: str, parent: Element | None, known: dict) -> Element:
+#: What a class or id says of an element: nothing, a word of noise among others, one that names
+#: other articles, or a name that is a word of noise itself.
+PLAIN, WORD, OTHER, NAME = range(4)
+
+
+def _open(tag: str, attributes: str, parent: Element | None, known: dict) -> tuple[Element, int, bool]:
+    """The element, what its names say, and whether it is the page's main element."""
     up, in_main, noise = (parent.path, parent.main, parent.noise) if parent else (0, False, False)
     key = (tag, attributes, up, in_main, noise)
     if key in known:
-        path, is_noise, main = known[key]
-        return Element(tag, path, is_noise, main)
+        path, is_noise, main, sign, whole = known[key]
+        return Element(tag, path, is_noise, main), sign, whole
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
     words = {w.lower() for k in ("class", "id") for w in PARTS.split(found.get(k, "")) if w}
     role = found.get("role", "").lower()
-    noise = noise or tag in NEVER or role in ROLES or bool(words & WORDS)
+    noise = noise or tag in NEVER or role in ROLES
     noise = noise or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
     if not in_main:
-        noise = noise or tag == "header" or bool(words & OUTSIDE)
+        noise = noise or tag == "header"
+    sign = PLAIN
     if tag in ("html", "body", "main", "article"):  # a page's class may hold any of the words
         noise = (parent.noise if parent else False) or (tag == "article" and bool(words & {"comment", "comments", "reply", "related"}))
-    main = not noise and (in_main or tag in ("article", "main") or role == "main" or found.get("itemprop") == "articleBody")
+    elif bad := words & (WORDS if in_main else WORDS | OUTSIDE):
+        names = {n for k in ("class", "id") for n in found.get(k, "").lower().split()}
+        sign = NAME if names & bad else OTHER if bad & OTHERS else WORD
+    whole = not noise and (tag == "main" or role == "main" or found.get("itemprop") == "articleBody")
+    main = not noise and (in_main or whole or tag == "article")
     style = " ".join(sorted(found.get("class", "").lower().split()))
     path = xxhash.xxh3_64_intdigest(f"{up} {tag} {style}") - (1 << 63)
     if len(known) > 50_000:
         known.clear()
-    known[key] = (path, noise, main)
-    return Element(tag, path, noise, main)
+    known[key] = (path, noise, main, sign, whole)
+    return Element(tag, path, noise, main), sign, whole
+
+
+def _named(signs: list[int], holds_main: set[int], texts: list[tuple[int, tuple[int, ...], bool]]) -> set[int]:
+    """The elements with words of noise that are noise, by number. `texts` has the length of each
+    text, the numbers of the elements it is in, and whether it is in an article.
+
+    An element is not if it holds the main element, text in an article or more than half of the
+    page's text. If it names other articles, text in an article does not count and none may be
+    outside; if one of its names is such a word itself, only the main element counts. If that
+    leaves nothing of a page that has text, or nothing of the articles where these are most of it,
+    the words say nothing.
+    """
+    every, article = [0] * len(signs), [0] * len(signs)
+    total = total_article = free = free_article = 0
+    for n, within, main in texts:
+        total += n
+        total_article += n * main
+        for i in within:
+            every[i] += n
+            article[i] += n * main
+    def layout(i: int, sign: int) -> bool:
+        most = 2 * every[i] > total
+        return i in holds_main or sign == WORD and (most or article[i] > 0) or sign == OTHER and most and article[i] == total_article
+
+    noise = {i for i, sign in enumerate(signs) if not layout(i, sign)}
+    for n, within, main in texts:
+        if noise.isdisjoint(within):
+            free += n
+            free_article += n * main
+    if total and not free:
+        return set()
+    if total_article and not free_article and total_article > free:
+        return {i for i in noise if not article[i]}
+    return noise
 
 
 def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int, list[tuple[str, ...]]]]:
@@ -148,21 +199,25 @@ def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int,
     stack: list[Element] = []
     blocks: list[Block] = []
     styles: dict[int, list[tuple[str, ...]]] = {}
-    buffer: list[str] = []
+    buffer: list[tuple[str, tuple[int, ...]]] = []
+    found: list[tuple[tuple[int, ...], list[tuple[str, tuple[int, ...]]], bool]] = []
+    seen: list[Element] = []
+    signs: list[int] = []
+    holds_main: set[int] = set()
 
     def flush() -> None:
         if buffer:
-            # references are decoded after tags are gone; split() knows all white space
-            text = " ".join(unescape("".join(buffer)).split())
+            top = stack[-1] if stack else None
+            found.append((tuple(e.path for e in stack if e.tag not in INLINE), buffer.copy(), bool(top and top.main)))
             buffer.clear()
-            if text:
-                top = stack[-1] if stack else None
-                blocks.append(Block(tuple(e.path for e in stack if e.tag not in INLINE), text, bool(top and top.main)))
 
     def pop() -> None:
         e = stack.pop()
         if e.children and not e.noise and e.tag not in INLINE:
-            styles.setdefault(e.path, []).append(tuple(e.children))
+            seen.append(e)
+
+    def add(text: str) -> None:
+        buffer.append((text, stack[-1].named if stack else ()))
 
     def close(tags: tuple[str, ...], scoped: bool) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -176,12 +231,12 @@ def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int,
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at and not (stack and stack[-1].noise):
-            buffer.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         tag = m[3] or m[6]
         if not tag:
             if m[1]:  # raw text: nothing of it is an article's, but it ends a word
-                buffer.append(" ")
+                add(" ")
             continue
         tag = tag.lower()
         if m[2] or m[5]:
@@ -192,7 +247,7 @@ def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int,
                 close((tag,), False)
             continue
         if tag == "br" or tag == "wbr":
-            buffer.append(" " if tag == "br" else "")
+            add(" " if tag == "br" else "")
             continue
         if tag not in INLINE:
             flush()
@@ -206,12 +261,28 @@ def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int,
                     up.children.append(tag)
         if tag in VOID or (m[4] or m[7] or "").rstrip().endswith("/") and tag in ("svg", "path"):
             continue
-        stack.append(_open(tag, m[4] or m[7] or "", stack[-1] if stack else None, known))
+        e, sign, whole = _open(tag, m[4] or m[7] or "", stack[-1] if stack else None, known)
+        e.named = stack[-1].named if stack else ()
+        if whole:
+            holds_main.update(e.named)
+        if sign and not e.noise:
+            e.named += (len(signs),)
+            signs.append(sign)
+        stack.append(e)
     if at < len(html) and not (stack and stack[-1].noise):
-        buffer.append(html[at:])
+        add(html[at:])
     flush()
     while stack:
         pop()
+    noise = _named(signs, holds_main, [(len(t.strip()), within, main) for _, parts, main in found for t, within in parts]) if signs else set()
+    for paths, parts, main in found:
+        # references are decoded after tags are gone; split() knows all white space
+        text = " ".join(unescape("".join(t for t, within in parts if not within or noise.isdisjoint(within))).split())
+        if text:
+            blocks.append(Block(paths, text, main))
+    for e in seen:
+        if noise.isdisjoint(e.named):
+            styles.setdefault(e.path, []).append(tuple(e.children))
     if any(b.main for b in blocks):
         blocks = [b for b in blocks if b.main]
     return blocks, styles

@@ -298,6 +298,37 @@ def test_pages(html, text):
     assert "\n".join(b.text for b in htmltext.parse(html or "")[0]) == text
 
 
+ARTICLE = '<main><article><h1>T</h1><p>the story</p></article></main><div class="sidebar"><p>side</p></div>'
+
+
+@pytest.mark.parametrize("names", ['class="content-sidebar-wrap"', 'class="site no-sidebar"', 'id="page" class="has-header"', 'class="page with-comments"'])
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        (ARTICLE, "T\nthe story"), (ARTICLE.replace("<main>", "").replace("</main>", ""), "T\nthe story"),
+        ('<div class="body"><h1>T</h1><p>the story is long</p></div><div class="comments"><p>no</p></div>', "T\nthe story is long"),
+        ('<div class="body"><h1>T</h1><p>the story</p></div><div class="comments"><p>many more words than the story has</p></div>', "T\nthe story"),
+    ],
+)
+def test_wrappers_with_words_of_noise(names, inner, text):
+    page = f"<html><body><nav>Menu</nav><div {names}>{inner}</div><footer>z</footer></body></html>"
+    assert "\n".join(b.text for b in htmltext.parse(page)[0]) == text
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<div><p>the story</p></div><div class="related-posts"><article>one</article><article>two</article></div>', "the story"),
+        ('<article>the story</article><div class="related-posts"><article>another story that is longer</article></div>', "the story"),
+        ('<p>the story</p><div class="widget-post"><article>first text</article></div><div class="widget-post"><article>next text</article></div>', "first text\nnext text"),
+        ('<p>the <a class="share">x</a> story <span class="ad"><b>y</b></span>ends</p>', "the story ends"),
+        ('<div class="notice"><p>the story</p></div>', "the story"),
+    ],
+)
+def test_named_noise_beside_the_article(html, text):
+    assert "\n".join(b.text for b in htmltext.parse(html)[0]) == text
+
+
 def test_html_edges(spark):
     rows = [(1, None, None), (2, None, "<p>a"), (2, "no host", "<p>a"), (None, "http://h/", "")]
     df = rows_of(spark, rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "paths", "text", "_host")})
