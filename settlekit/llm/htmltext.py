@@ -34,7 +34,8 @@ elements and texts to remove are a table of (host, keys); it is saved, and broad
 hot host. Pages are parsed in two passes and are not shuffled in the first case.
 
 Edge cases: null, empty or broken html gives what text can be found, or an empty text; an
-unclosed tag, comment, script or quote ends with the page; a null url or one without a host is
+unclosed tag, comment, script or quote ends with the page, but an unclosed title, noscript,
+template, iframe or svg is empty, as is a svg that closes itself; a null url or one without a host is
 the host ""; repeated rows give a row each; an empty table gives an empty result; extra columns
 are ignored; long pages are read whole.
 """
@@ -43,6 +44,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
@@ -86,14 +88,38 @@ OUTSIDE = frozenset(("header", "topbar"))
 #: Words for elements that hold other articles, or comments marked up as articles.
 OTHERS = frozenset("related recommended promo promotion sponsor sponsored comment comments disqus reply replies respond".split())
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-    |<(script|style|textarea|title|noscript|template|iframe|svg)\b(?>[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\b[^>]*>|\Z)
+#: Elements whose text is raw up to their end tag; those of `OPEN_ENDED` are empty if there is none.
+RAW = tuple("script style textarea title noscript template iframe svg".split())
+OPEN_ENDED = frozenset("title noscript template iframe svg".split())
+
+
+@cache
+def _token(unclosed: frozenset[str]) -> re.Pattern:
+    """The tokens of a page, where the elements `unclosed` have no end tag."""
+    return re.compile(
+        rf"""<!--.*?(?:-->|\Z)
+    |<svg\b(?>[^>"'/]|/(?!>)|"[^"]*"|'[^']*')*+/>
+    |<({"|".join(t for t in RAW if t not in unclosed)})\b(?>[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\b[^>]*>|(\Z))
     |<[!?][^>]*(?:>|\Z)
     |<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+)>
     |<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
-    re.S | re.I | re.X,
-)
+        re.S | re.I | re.X,
+    )
+
+
+def tokens(html: str) -> Iterator[re.Match]:
+    unclosed, at = frozenset(), 0
+    while True:
+        for m in _token(unclosed).finditer(html, at):
+            if m[1] and m[2] is not None and m[1].lower() in OPEN_ENDED:
+                # no end tag from here on: read again from this tag, which is now an empty element
+                unclosed, at = unclosed | {m[1].lower()}, m.start()
+                break
+            yield m
+        else:
+            return
+
+
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""", re.I)
 PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -229,17 +255,17 @@ def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int,
                 return
 
     at = 0
-    for m in TOKEN.finditer(html):
+    for m in tokens(html):
         if m.start() > at and not (stack and stack[-1].noise):
             add(html[at : m.start()])
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[4] or m[7]
         if not tag:
-            if m[1]:  # raw text: nothing of it is an article's, but it ends a word
+            if not m[0].startswith(("<!", "<?")):  # raw text: nothing of it is an article's, but it ends a word
                 add(" ")
             continue
         tag = tag.lower()
-        if m[2] or m[5]:
+        if m[3] or m[6]:
             if tag not in INLINE:
                 flush()
                 close((tag,), tag == "p" or tag == "li")
@@ -259,9 +285,9 @@ def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int,
                 up = next((e for e in reversed(stack) if e.tag not in INLINE), None)
                 if up and (not up.children or up.children[-1] != tag):
                     up.children.append(tag)
-        if tag in VOID or (m[4] or m[7] or "").rstrip().endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or tag in OPEN_ENDED or tag == "path" and (m[5] or m[8] or "").rstrip().endswith("/"):
             continue
-        e, sign, whole = _open(tag, m[4] or m[7] or "", stack[-1] if stack else None, known)
+        e, sign, whole = _open(tag, m[5] or m[8] or "", stack[-1] if stack else None, known)
         e.named = stack[-1].named if stack else ()
         if whole:
             holds_main.update(e.named)

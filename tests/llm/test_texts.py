@@ -329,6 +329,21 @@ def test_named_noise_beside_the_article(html, text):
     assert "\n".join(b.text for b in htmltext.parse(html)[0]) == text
 
 
+@pytest.mark.parametrize("svg", ["<svg/>", '<svg class="icon" />', "<svg viewBox='0 0 1 1' d=\"a/>b\"/>", "<SVG />"])
+def test_a_self_closed_svg_ends_at_its_own_tag(svg):
+    read = lambda html: "\n".join(b.text for b in htmltext.parse(html)[0])
+    assert read(f"<p>a</p>{svg}<p>b</p>") == "a\nb"
+    assert read(f"<p>a {svg} b</p><svg><text>no</text></svg><p>c</p>") == "a b\nc"
+    assert read('<p>a</p><svg class="x/"><path d="M0"/><text>no</text></svg><p>b</p>') == "a\nb"
+
+
+@pytest.mark.parametrize("tag", ["iframe", "noscript", "title"])
+def test_an_unclosed_raw_element_leaves_the_rest(tag):
+    read = lambda html: "\n".join(b.text for b in htmltext.parse(html)[0])
+    assert read(f"<p>a</p><{tag} x='1'><p>b</p><{tag}>no</{tag}><p>c</p>").endswith("c")
+    assert read(f"<p>a</p><{tag} x='1'><p>b</p><p>c</p>") == "a\nb\nc"
+
+
 def test_html_edges(spark):
     rows = [(1, None, None), (2, None, "<p>a"), (2, "no host", "<p>a"), (None, "http://h/", "")]
     df = rows_of(spark, rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "paths", "text", "_host")})
