@@ -1,27 +1,31 @@
 """Toxicity of whole texts: misspelled lexicon terms in context.
 
-*Lexicon.* Learned from labelled texts. A word is a term if texts that hold it are labelled toxic
-far more often than texts are in general: the Chernoff bound on chance, over the size of the
-vocabulary, must be below `CHANCE`. A word's toxic texts count only by the distinct neighbours
+*Lexicon.* Learned from all labelled texts. A word is a term if texts that hold it are labelled
+toxic far more often than texts are in general: the Chernoff bound on chance, over the number of
+words frequent enough to pass at all, must be below `CHANCE`. A word's toxic texts count only by the distinct neighbours
 (word before, word after) that they show it with, so a passage copied into many toxic texts
-teaches nothing. The labelled texts are a sample of at most about `SAMPLE_TOXIC` and
-`SAMPLE_CLEAN`, chosen by the hash of their id; they are counted in the tasks.
+teaches nothing. Stems (the first `STEMS` letters of longer words) are counted like words, so
+inflections and compounds that are sparse by themselves are known together; a stem that one word
+makes up is no term, and a word that its stem explains (`EXPLAINED`) is left to it. Words and stems
+that pass only at `SPARSE` get a weight as much smaller as their evidence is. These and stems are
+matched letter by letter.
 
 *Misspellings.* The terms form a trie. Intersected with the Levenshtein automaton of each term
 (`edits`: none for terms under 5 letters, 1 under 9, else 2) it is a non-deterministic automaton
 over (trie node, edits so far); its deterministic states are made when first met. A word is run
 through it letter by letter and dropped when no state is left, mostly after a few letters. All
-words of the sample that come near a term are counted too: one found in clean texts is a word of
+labelled words that come near a term are counted too: one found in clean texts is a word of
 its own and no hit, and a term whose neighbours are often clean is matched exactly only.
 
 *Context.* Each hit is weighed in a window of `WINDOW` words on both sides: inside quotation
 marks, or after a word that reports speech, it is quoted; a word that addresses the reader or
 another hit nearby makes it heavier. A text's evidence is the sum over its terms of their heaviest
 unquoted hit, plus `QUOTED` of its heaviest quoted hit alone; the score is the logistic of the
-evidence above a threshold, the one that errs least over the labels of the sample (each class
-weighted to its share of all labels).
+evidence above a threshold, the one that errs least over a sample of the labels, at most about
+`SAMPLE_TOXIC` and `SAMPLE_CLEAN` by the hash of their id (each class weighted to its share of all).
 
-Texts are used whole, in one pass without a shuffle. Edge cases: a null or empty text, or one
+Texts are assessed whole, in one pass without a shuffle; labelled texts are found by a broadcast of
+their ids, or a shuffle if these are many (`BROADCAST_LABELS`). Edge cases: a null or empty text, or one
 without terms, has no evidence and a score below 0.5, as has every text if no lexicon could be
 learned; labels that repeat an id count once, toxic if any says so; null labels are ignored;
 repeated rows are separate rows; an empty table gives an empty result. `assess` keeps the columns
@@ -40,7 +44,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 9000
-CHANCE = 0.05
+CHANCE, SPARSE = 0.05, 1.0
+STEMS = (4, 5, 6)
+EXPLAINED = 2 / 3
+BROADCAST_LABELS = 1_000_000
+#: Words and stems that a task counts before it hands them on.
+COUNT_KEYS = 300_000
 LEAST_PRECISION = 0.7
 WINDOW = 6
 QUOTED = 0.2
@@ -149,11 +158,24 @@ class Lexicon:
 
 
 class Model:
-    """Terms with weights, known words near them, and minus the threshold of evidence."""
+    """Terms with weights, known words near them, minus the threshold of evidence, and the weights
+    of what is matched exactly: sparse words, and stems (ending in `*`)."""
 
-    def __init__(self, prior: float, weights: dict[str, float], unseen: dict[str, float], known: dict[str, float]) -> None:
-        self.prior, self.weights, self.unseen, self.known = prior, weights, unseen, known
-        self.key = xxhash.xxh3_64_hexdigest(repr((prior, sorted(weights.items()), sorted(unseen.items()), sorted(known.items()))))
+    def __init__(
+        self, prior: float, weights: dict[str, float], unseen: dict[str, float], known: dict[str, float], exact: dict[str, float] | None = None
+    ) -> None:
+        self.prior, self.weights, self.unseen, self.known, self.exact = prior, weights, unseen, known, exact or {}
+        parts = (weights, unseen, known, self.exact)
+        self.key = xxhash.xxh3_64_hexdigest(repr((prior, *(sorted(x.items()) for x in parts))))
+
+
+def stems(word: str) -> list[str]:
+    return [word[:n] + "*" for n in STEMS if len(word) > n]
+
+
+def stem_of(word: str, exact: dict[str, float]) -> str | None:
+    """The heaviest stem of a word among `exact`, the shortest of these."""
+    return max((x for x in stems(word) if x in exact), key=lambda x: exact[x], default=None)
 
 
 class Scorer:
@@ -175,13 +197,20 @@ class Scorer:
 
     def _weigh(self, word: str) -> tuple[str, float] | None:
         found = self.lexicon.match(word)
-        if not found:
-            return None
-        term, distance = found
-        if not distance:
-            return term, self.model.weights[term]
-        weight = self.model.known.get(word, self.model.unseen.get(term, 0.0))
-        return (term, weight) if weight > 0 else None
+        if found:
+            term, distance = found
+            if not distance:
+                return term, self.model.weights[term]
+            weight = self.model.known.get(word, self.model.unseen.get(term, 0.0))
+            if weight > 0:
+                return term, weight
+        if word in self.model.exact:
+            return word, self.model.exact[word]
+        stem = stem_of(word, self.model.exact)
+        if stem:
+            weight = min(self.model.known.get(word, self.model.exact[stem]), self.model.exact[stem])
+            return (stem, weight) if weight > 0 else None
+        return None
 
     def score(self, text: str | None) -> tuple[float, int, int]:
         """Score, hits, and how many of them are quoted."""
@@ -189,7 +218,7 @@ class Scorer:
         return _logistic(self.model.prior + evidence), hits, quoted
 
     def evidence(self, text: str | None) -> tuple[float, int, int]:
-        if not text or not self.model.weights:
+        if not text or not (self.model.weights or self.model.exact):
             return ABSENT, 0, 0
         lower = text.lower()
         distinct = set(_WORD.findall(lower))
@@ -274,6 +303,16 @@ def _unlikely(k: int, clean: int, base: float) -> float:
     return n * (p * log(p / base) + (0.0 if p >= 1 else (1 - p) * log((1 - p) / (1 - base))))
 
 
+def least_exponent(frequent: Sequence[int], base: float, chance: float) -> float:
+    """The Chernoff exponent that less than `chance` of all words reach by chance. `frequent[i]` is
+    how many words are in more than i texts; a word in too few to reach it even if all are toxic
+    is not a test."""
+    for i, words_ in enumerate(frequent):
+        if words_ * base ** (i + 1) <= chance:
+            break
+    return log(max(words_, 1) / chance)
+
+
 def threshold(found: Sequence[tuple[float, bool]], toxic_weight: float, clean_weight: float) -> float:
     """The evidence from which a text is called toxic, at the least weighted error over (evidence,
     toxic) pairs: the middle of the widest gap between evidences where that error is reached."""
@@ -303,74 +342,102 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     span = 1 << 20
     rate = F.when(F.col("toxic"), max(1, min(span, span * SAMPLE_TOXIC // n_toxic))).otherwise(max(1, min(span, span * SAMPLE_CLEAN // n_clean)))
     chosen = given.filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < rate)
-    text = F.col("text").cast("string").alias("text")
-    # `chosen` is bounded by the sample
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def labelled(rows: DataFrame, n: int) -> DataFrame:
+        return texts.join(F.broadcast(rows) if n <= BROADCAST_LABELS else rows, "doc_id").select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic: dict[str, int] = {}
-        clean: dict[str, int] = {}
-        shown: dict[str, set[int]] = {}
-        texts = [0, 0]
+        counts: tuple[dict[str, int], dict[str, int]] = ({}, {})  # of clean texts, of toxic texts
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            clean, toxic = counts
+            names = list({**toxic, **clean})
+            for at in range(0, len(names), 50_000):
+                part = names[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.string()), *(pa.array([c.get(w, 0) for w in part], pa.int64()) for c in (toxic, clean))],
+                    names=["word", "toxic", "clean"],
+                )
+            clean.clear()
+            toxic.clear()
+
         for batch in batches:
             for label, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words(t)
-                texts[label] += 1
-                counts = toxic if label else clean
-                for w in set(found):
-                    counts[w] = counts.get(w, 0) + 1
-                if label:
-                    padded = ["", *found, ""]
-                    for i, w in enumerate(found):
-                        shown.setdefault(w, set()).add(xxhash.xxh3_64_intdigest(f"{padded[i]} {padded[i + 2]}") - (1 << 63))
-        # the number of texts is the row of the empty word
-        names = ["", *{**toxic, **clean}]
-        toxic[""], clean[""] = texts[1], texts[0]
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part, pa.string()),
-                    pa.array([toxic.get(w, 0) for w in part], pa.int64()),
-                    pa.array([clean.get(w, 0) for w in part], pa.int64()),
-                    pa.array([list(shown.get(w, ())) for w in part], pa.list_(pa.int64())),
-                ],
-                names=["word", "toxic", "clean", "shown"],
-            )
-
-    counted = sample.mapInArrow(count, "word string, toxic long, clean long, shown array<long>")
-    vocabulary = counted.groupBy("word").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.size(F.array_distinct(F.flatten(F.collect_list("shown")))).alias("shown")
-    ).persist()
+                own, keys = counts[label], set(words(t))
+                # the number of texts is the row of the empty word
+                for w in keys.union(*map(stems, keys), [""]):
+                    own[w] = own.get(w, 0) + 1
+                if len(counts[0]) + len(counts[1]) > COUNT_KEYS:
+                    yield from counted()
+        yield from counted()
+
+    counted = labelled(given, n_toxic + n_clean).mapInArrow(count, "word string, toxic long, clean long")
+    vocabulary = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
     try:
-        sizes = vocabulary.agg(
-            F.max(F.when(F.col("word") == "", F.col("toxic"))), F.max(F.when(F.col("word") == "", F.col("clean"))), F.count(F.lit(1))
-        ).first()
-        in_toxic, in_clean, vocabulary_size = sizes[0] or 0, sizes[1] or 0, sizes[2]
+        in_toxic, in_clean = vocabulary.filter("word = ''").agg(F.sum("toxic"), F.sum("clean")).first()
         if not in_toxic or not in_clean:
             return nothing
         base = in_toxic / (in_toxic + in_clean)
-        precise = F.col("toxic") / (F.col("toxic") + F.col("clean")) >= LEAST_PRECISION
-        candidates = vocabulary.filter((F.col("word") != "") & (F.col("toxic") >= 3) & (F.col("shown") >= 3) & precise).collect()
-        least = log(vocabulary_size / CHANCE)
+        # the rows of the words in one text, two texts, ...; all others in the last
+        most = 200
+        sizes = dict(vocabulary.filter("word != ''").groupBy(F.least(F.col("toxic") + F.col("clean"), F.lit(most)).alias("n")).count().collect())
+        frequent = [sum(v for n, v in sizes.items() if n > i) for i in range(most)]
+        least, sparse = least_exponent(frequent, base, CHANCE), least_exponent(frequent, base, SPARSE)
+        n = F.col("toxic") + F.col("clean")
+        p = F.col("toxic") / n
+        chance = n * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
+        likely = (F.col("word") != "") & (F.col("toxic") >= 3) & (p >= LEAST_PRECISION) & (p > base) & (chance > sparse * (1 - 1e-9))
+        candidates = {r[0]: (r[1], r[2]) for r in vocabulary.filter(likely).collect()}
+        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(candidates))
+
+        def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = wanted.value
+            for batch in batches:
+                for t in batch.column(1).to_pylist():
+                    found = words(t)
+                    padded = ["", *found, ""]
+                    rows = {
+                        (key, xxhash.xxh3_64_intdigest(f"{padded[i]} {padded[i + 2]}") - (1 << 63))
+                        for i, w in enumerate(found) for key in (w, *stems(w)) if key in mine
+                    }
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["word", "around"])
+
+        shown = labelled(given.filter("toxic"), n_toxic).mapInArrow(neighbours, "word string, around long")
+        shown = dict(shown.distinct().groupBy("word").count().collect()) if candidates else {}
+        # toxic texts (by their neighbours), clean texts and evidence of each word and stem
+        passed = {}
+        for word, (toxic, clean) in candidates.items():
+            k = min(toxic, shown.get(word, 0))
+            if k >= 3 and k / (k + clean) >= LEAST_PRECISION and (found := _unlikely(k, clean, base)) > sparse:
+                passed[word] = k, clean, _log_odds(k, clean, in_toxic, in_clean) * min(1.0, found / least)
+        # a stem that one word makes up is that word with its misspellings
+        made_up = {x for w, (k, _, _) in passed.items() if w[-1] != "*" for x in stems(w) if x in passed and k > EXPLAINED * passed[x][0]}
+        exact = {w: x[2] for w, x in passed.items() if w[-1] == "*" and w not in made_up}
         weights = {}
-        for word, toxic, clean, shown in candidates:
-            k = min(toxic, shown)
-            if k / (k + clean) >= LEAST_PRECISION and _unlikely(k, clean, base) > least:
-                weights[word] = _log_odds(k, clean, in_toxic, in_clean)
-        if not weights:
+        for word, (k, clean, weight) in passed.items():
+            if word[-1] == "*" or (stem := stem_of(word, exact)) and exact[stem] >= EXPLAINED * weight:
+                continue
+            (weights if _unlikely(k, clean, base) > least else exact)[word] = weight
+        if not weights and not exact:
             return nothing
         lexicon = Lexicon(list(weights))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [
-                    (w, found[0], t, c)
-                    for w, t, c in zip(*(batch.column(i).to_pylist() for i in range(3)))
-                    if w and (found := lexicon.match(w)) and found[1]
-                ]
+                rows = []
+                for w, t, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    if not w or w[-1] == "*":
+                        continue
+                    found = lexicon.match(w)
+                    if found and found[1]:
+                        rows.append((w, found[0], t, c))
+                    elif not found and c > t and stem_of(w, exact):
+                        rows.append((w, None, t, c))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["word", "term", "toxic", "clean"])
+                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["word", "term", "toxic", "clean"])
 
         variants = vocabulary.select("word", "toxic", "clean").mapInArrow(near, "word string, term string, toxic long, clean long").collect()
     finally:
@@ -379,6 +446,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     for word, term, toxic, clean in variants:
         odds = _log_odds(toxic, clean, in_toxic, in_clean)
         known[word] = odds if odds >= 2.0 and not clean else 0.0
+        if term is None:
+            continue
         sums = total.setdefault(term, [0, 0])
         sums[0], sums[1] = sums[0] + toxic, sums[1] + clean
     unseen = {}
@@ -386,7 +455,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
         toxic, clean = total.get(term, (0, 0))
         odds = _log_odds(toxic, clean, in_toxic, in_clean)
         unseen[term] = UNSEEN * weight if not clean else UNSEEN * min(weight, odds) if odds >= 2.0 else 0.0
-    model = Model(0.0, weights, unseen, known)
+    model = Model(0.0, weights, unseen, known, exact)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -394,9 +463,12 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
             found = [scorer.evidence(t)[0] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(0)], names=["evidence", "toxic"])
 
-    # a row for each text of the sample
+    # a row for each text of the sample, whose ids are few
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     found = [tuple(r) for r in sample.mapInArrow(weigh, "evidence double, toxic boolean").collect()]
-    return Model(-threshold(found, n_toxic / in_toxic, n_clean / in_clean), weights, unseen, known)
+    toxic = sum(label for _, label in found)
+    shares = n_toxic / max(1, toxic), n_clean / max(1, len(found) - toxic)
+    return Model(-threshold(found, *shares), weights, unseen, known, exact)
 
 
 def assess(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -241,6 +241,50 @@ def test_toxicity_of_held_out_documents(spark):
     assert not empty.weights
 
 
+def labelled_texts(rare, seed=5):
+    """400 toxic texts of one word, those of `rare`, and 2,000 clean ones, in invented words."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghilmnorstu", k=rng.randrange(3, 9)))
+    common = [word() for _ in range(300)]
+    text = lambda *bad: " ".join(rng.sample([*rng.choices(common, k=30), *bad], 30 + len(bad)))
+    texts = [(text("scumbag"), 1) for _ in range(400)] + [(text(w), 1) for w in rare] + [(text(), 0) for _ in range(2000)]
+    return [(i, t, y) for i, (t, y) in enumerate(texts)]
+
+
+@pytest.mark.parametrize("rare", [["dummkopf"] * 14, [f"blöd{x}" for x in ("mann", "sack", "er", "heit", "kopf", "maul", "es")] * 2], ids=["word", "stem"])
+def test_sparse_terms_are_learned_from_all_labels(spark, monkeypatch, rare):
+    """However few of a group of terms are in the sample, which only sets the threshold."""
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 200)
+    rows = labelled_texts(rare)
+    df = rows_of(spark, rows, "doc_id long, text string, toxic int")
+    got = {}
+    for limit in (toxicity.BROADCAST_LABELS, 10):  # found by a broadcast, and by a shuffle
+        monkeypatch.setattr(toxicity, "BROADCAST_LABELS", limit)
+        monkeypatch.setattr(toxicity, "COUNT_KEYS", 500)
+        model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+        found = {r.doc_id: r.predicted for r in toxicity.assess(df, model).collect()}
+        assert all(found[i] == 1 for i, _, y in rows if y) and sum(found[i] for i, _, y in rows if not y) <= 2
+        got[limit] = model.key
+    assert len(set(got.values())) == 1
+    score = toxicity.Scorer(model).score
+    assert score(f"sum ergo {rare[0]} anno")[0] > 0.5 and score("sum ergo anno")[0] < 0.5
+    if rare[0] != rare[1]:  # a form that was never seen
+        assert score("sum ergo blödian anno")[0] > 0.5
+
+
+def test_toxic_texts_of_every_language_are_found(spark):
+    path = "/root/testdata/sf0.1"
+    rows = QUERIES["op2_toxicity"](spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id")
+    rows = rows.join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = rows.filter("held_out and toxic is not null").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r.predicted for r in rows if r.lang == lang and r.toxic == 1]
+        assert sum(toxic) >= 0.8 * len(toxic) > 0, lang
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert sum(clean) <= 0.02 * len(clean)
+
+
 # --- HTML
 
 
