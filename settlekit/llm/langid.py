@@ -12,9 +12,7 @@ below.
 
 *Spans.* The best path through a text's words (Viterbi) pays `SWITCH` for each change of language,
 so a foreign word or two stay in their surroundings and a foreign passage becomes a span. The
-text's language is that of most letters on the path, where the language that both opens and
-closes a text of several spans counts `ENCLOSING` of all letters more: what is inside is a
-quotation. The score is its share, weighted by how clearly the path's words prefer their language. Paths of all texts of a batch are found together, one
+text's language is that of most letters on the path. The score is its share, weighted by how clearly the path's words prefer their language. Paths of all texts of a batch are found together, one
 vectorised step per word place.
 
 Texts are used whole and never shuffled; a worker keeps scores of a bounded number of words.
@@ -45,7 +43,6 @@ LEAST_COUNT = 3
 SCRIPT_SHARE = 0.01
 SWITCH = 12.0
 SMOOTHING = 0.5
-ENCLOSING = 0.5
 #: Log-probability of a word in a language that is not among its candidates.
 EXCLUDED = -200.0
 CACHE_WORDS = 500_000
@@ -269,13 +266,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
         size = len(languages)
         by = np.bincount(owner * size + path, weights=letters, minlength=len(texts) * size).reshape(-1, size).astype(float)
         total = by.sum(axis=1)
-        ends = np.cumsum(lengths)
-        some = np.flatnonzero(lengths)
-        opens, closes = path[ends[some] - lengths[some]], path[ends[some] - 1]
-        around = some[opens == closes]
-        by[around, opens[opens == closes]] += ENCLOSING * total[around]
         best = by.argmax(axis=1)
-        total = by.sum(axis=1)
         # how far the words of the path are from their second best language, in 0 to 1
         mine = scores[np.arange(len(number)), path]
         others = scores.copy()

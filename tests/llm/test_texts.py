@@ -154,6 +154,21 @@ def test_language_edges_and_spans(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_language_is_that_of_most_letters(spark):
+    """A foreign document between a short header and a footer, and short quotations inside."""
+    train = [(i, "the cat and the dog were in the house " * 20, "en") for i in range(10)]
+    train += [(i, "der Hund und die Katze waren in dem Haus " * 20, "de") for i in range(10, 20)]
+    model = langid.learn(rows_of(spark, train, "doc_id long, text string, lang string"), F.lit(True))
+    english, german = "the cat and the dog were in the house ", "der Hund und die Katze waren in dem Haus "
+    ask = [(n, english * n + german * (20 - 2 * n) + english * n) for n in range(1, 10)]
+    got = {r.doc_id: r for r in langid.identify(rows_of(spark, ask), model).collect()}
+    letters = lambda t: sum(map(len, langid.words(t)))
+    for n, text in ask:
+        share = 2 * n * letters(english) / letters(text)
+        assert got[n].lang_pred == ("en" if share > 0.5 else "de"), n
+        assert [s.lang for s in got[n].spans] == ["en", "de", "en"] and got[n].score <= max(share, 1 - share) + 1e-9
+
+
 def brute_path(scores, switch):
     """The best path over one text by trying all."""
     best = max(
