@@ -2,7 +2,7 @@
 
 *Model.* Learned from labelled texts: for each language the frequencies of character trigrams
 (with word borders) over its words, and of letters by script. The labelled texts are a
-sample: at most about `SAMPLE_DOCS` per language, chosen by the hash of the text. Their trigrams are
+sample: at most about `SAMPLE_DOCS` distinct ones per language, chosen by the hash of the text. Their trigrams are
 counted in the tasks and summed by a shuffle; those seen `LEAST_COUNT` times reach the driver.
 
 *Words.* A word is a run of letters, in lower case. The script of its first letter narrows the
@@ -214,15 +214,26 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from the rows of `docs` where `usable` holds and text and language are not null."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # one row for each language
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}
+    rows = rows.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    # one row for each language; copies of a text count once
+    counts = {r[0]: r[1] for r in rows.select("l", "h").distinct().groupBy("l").count().collect()}
     if not counts:
         return Model([])
     span = 1 << 20
     limits = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, max(1, min(span, span * sample_docs // n)))])
-    sample = rows.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).filter(
-        F.pmod(F.xxhash64("t"), F.lit(span)) < limits[F.col("l")]
-    )
+    sample = rows.filter(F.pmod("h", F.lit(span)) < limits[F.col("l")])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first of each group of copies that a task meets: no more rows than the sample has."""
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            mask = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                mask.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    sample = sample.mapInArrow(first, "l string, t string, h long").dropDuplicates(["l", "h"]).select("l", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}

@@ -169,6 +169,20 @@ def test_language_is_that_of_most_letters(spark):
         assert [s.lang for s in got[n].spans] == ["en", "de", "en"] and got[n].score <= max(share, 1 - share) + 1e-9
 
 
+def test_copies_of_a_text_count_once_in_the_model(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = [" ".join(word() for _ in range(20)) for _ in range(300)]
+    copied = {"many": "zzz " * 50, "more": "yyy " * 50}
+    rows = [(0, t, "xx") for t in texts] + [(0, t, "xx") for t in copied.values() for _ in range(400)]
+    once = [(0, t, "xx") for t in {*texts, *copied.values()}]
+    schema = "doc_id long, text string, lang string"
+    for most in (50, 100, 1000):
+        models = [langid.learn(rows_of(spark, r, schema).repartition(5), F.lit(True), sample_docs=most) for r in (rows, once)]
+        assert models[0].key == models[1].key
+    assert models[0].languages == ["xx"]
+
+
 def brute_path(scores, switch):
     """The best path over one text by trying all."""
     best = max(
