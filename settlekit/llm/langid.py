@@ -66,9 +66,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    """The runs of letters of a text in lower case."""
+    """The runs of letters of a text in lower case; there are some if `has_letter`."""
     found = _WORD.findall((text or "").lower())
-    return [w for w in found if w.isalpha()] if not (text or "").isascii() else found
+    if (text or "").isascii() or all(map(str.isalpha, found)):
+        return found
+    # a superscript, circled digit or letter numeral is no letter and parts the run
+    return [part for w in found for part in ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else (w,))]
 
 
 def has_letter(text: str) -> bool:

@@ -183,6 +183,24 @@ def test_copies_of_a_text_count_once_in_the_model(spark):
     assert models[0].languages == ["xx"]
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [("CO₂ und x² é", ["co", "und", "x", "é"]), ("①甲方应当②乙方", ["甲方应当", "乙方"]), ("a²b", ["a", "b"]), ("Ⅷ ² ① 7", []), ("H₂O", ["h", "o"]), ("plain x_1", ["plain", "x"]), (None, [])],
+)
+def test_characters_that_are_no_letters_part_words(text, found):
+    assert langid.words(text) == found and bool(found) == langid.has_letter(text or "")
+
+
+def test_und_follows_has_letter(spark):
+    train = [(i, "the cat and the dog were in the house " * 20, "en") for i in range(10)]
+    train += [(i, "甲方应当在合同签订后支付货款" * 20, "zh") for i in range(10, 20)]
+    model = langid.learn(rows_of(spark, train, "doc_id long, text string, lang string"), F.lit(True))
+    ask = [(1, "①甲方应当②在合同签订"), (2, "x² cat³"), (3, "² ① Ⅷ"), (4, "CO₂")]
+    got = {r.doc_id: r for r in langid.identify(rows_of(spark, ask), model).collect()}
+    assert got[1].lang_pred == "zh" and got[2].lang_pred == "en" and got[4].lang_pred != "und" and got[4].score > 0
+    assert all((got[i].lang_pred == "und") != langid.has_letter(t) for i, t in ask)
+
+
 def brute_path(scores, switch):
     """The best path over one text by trying all."""
     best = max(
