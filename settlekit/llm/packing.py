@@ -44,7 +44,7 @@ CACHE_WORDS = 1_000_000
 #: Sequence ids: so many for each partition.
 PER_TASK = 1 << 40
 
-def _byte_symbols() -> dict[int, str]:
+def byte_symbols() -> dict[int, str]:
     """Byte-level vocabularies write each byte as a printable character: a printable Latin-1
     byte as itself, the others, in order, as the characters from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -52,7 +52,7 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
-_BYTE_SYMBOLS = _byte_symbols()
+_BYTE_SYMBOLS = byte_symbols()
 _U4 = struct.Struct("<I").pack
 _LOADED: dict[str, "WordTokenizer"] = {}
 SCHEMA = (

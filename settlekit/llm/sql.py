@@ -120,10 +120,45 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM placed
 """
 
+PHRASES = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, w[i:i + k - 1] AS words, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))
+  GROUP BY lang, words HAVING count(*) >= 30
+), c AS (SELECT * FROM grams WHERE len(words) > 1),
+cuts AS (
+  SELECT c.lang, c.words, c.f AS a, k, h.f AS l, t.f AS r, (2000000::HUGEINT * c.f) // (h.f::HUGEINT + t.f) AS score
+  FROM (SELECT *, unnest(range(1, len(words))) AS k FROM c) c
+  JOIN grams h ON h.lang = c.lang AND h.words = c.words[1:k]
+  JOIN grams t ON t.lang = c.lang AND t.words = c.words[k + 1:]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT lang, words[i:i + k - 1] AS words, f
+  FROM (SELECT *, unnest(range(1, len(words) - k + 2)) AS i
+    FROM (SELECT *, unnest(range(2, len(words))) AS k FROM c WHERE len(words) > 2))
+), covered AS (SELECT lang, words, max(f) AS most FROM inside GROUP BY lang, words),
+kept AS (
+  SELECT lowest.*, array_to_string(lowest.words, ' ') AS phrase FROM lowest LEFT JOIN covered USING (lang, words)
+  WHERE most IS NULL OR 100 * most < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+  score::BIGINT AS score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
 SQL = {
     "op3_topk": TOPK,
     "op4_warc": WARC,
     "op5_neardup": NEARDUP,
     "op9_mixing": MIXING,
     "op10_sharding": SHARDING,
+    "op11_phrases": PHRASES,
 }
