@@ -290,7 +290,7 @@ def test_crc_of_pairs():
 
 def test_near_pairs_equal_all_pairs():
     random = np.random.default_rng(9)
-    make = lambda n, k: sorted({bytes(random.choice(list(b"ab\xe9"), size=k)) for _ in range(n)})
+    make = lambda n, k: sorted({bytes(random.choice(list(b"ab\xe9"), size=k).tolist()) for _ in range(n)})
     short, longer = make(60, 6), make(60, 7)
     i, j = variants.near_pairs(short, short, True)
     want = {(a, b) for a in range(len(short)) for b in range(a + 1, len(short)) if sum(x != y for x, y in zip(short[a], short[b])) == 1}
