@@ -41,8 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from settlekit.llm.common import lookup, saved
-from settlekit.llm.components import components
+from settlekit.llm.common import saved
+from settlekit.llm.components import SALTS, components
 
 SHINGLE, BINS, BANDS = 5, 128, 32
 PERCENT = 75
@@ -295,48 +295,45 @@ def _unsettled(members: DataFrame, groups: DataFrame, texts: DataFrame, found: D
     )
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """(a, b, shared): each node of a bucket with the bucket's centre, and how many buckets they
+    share that way. A hot bucket is spread: its members are salted and its centre is repeated."""
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    centres = members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("centre"))
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    spread = centres.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = salted.join(spread, ["key", "_salt"]).filter("node <> centre")
+    return pairs.groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def links(docs: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
     """(node, root) for every node that is linked with another; what is saved has at most `parts`
-    partitions."""
+    partitions. What is saved on the way is what several later steps read, for each saved table is a
+    query of its own whose plan and code the driver keeps."""
     rows = bucket_rows(groups)
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = saved(rows.join(buckets, "key").select("key", "band", "node", "n"), parts)
-    company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    centres = (
-        members.join(company, "node")
-        .groupBy("key")
-        .agg(F.max_by("node", F.struct("company", "node")).alias("centre"), F.count(F.lit(1)).alias("n"))
-    )
-    pairs = lookup(members.select("key", "node"), saved(centres, parts), "key", members.count())
-    stars = saved(
-        pairs.filter("node <> centre")
-        .groupBy(F.col("node").alias("a"), F.col("centre").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared")),
-        parts,
-    )
-    owners = saved(members.select("node").distinct().join(groups, "node").select("node", "first_id", F.col("text_key").alias("_key")), parts)
+    stars = saved(_stars(members), parts)
+    owners = members.select("node").distinct().join(groups, "node").select("node", "first_id", F.col("text_key").alias("_key"))
+    owners = saved(owners, parts)
     if owners.count() <= BROADCAST_ROWS:
         owners = F.broadcast(owners)
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("_key"))
     texts = saved(_keyed(docs).join(owners, same).select("node", "text"), parts)
-    best = saved(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), parts)
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     linked = saved(confirmed(best, texts), parts)
     found = components(linked)
-    checked = best
-    more = saved(_across(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found), parts)
+    # the other star edges: those that would still link two components
+    more = saved(confirmed(_across(stars.join(best, ["a", "b"], "left_anti"), found), texts), parts)
     if not more.isEmpty():
-        checked = checked.unionByName(more)
-        linked = saved(linked.unionByName(confirmed(more, texts)), parts)
+        linked = linked.unionByName(more)
         found = components(linked)
+    # pairs of different components are none of the linked ones
     rest = _similar_pairs(_unsettled(members, groups, texts, found, parts))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    seen = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = saved(rest.join(seen, ["a", "b"], "left_anti"), parts)
-    if not rest.isEmpty():
-        last = saved(confirmed(rest, texts), parts)
-        if not last.isEmpty():
-            found = components(linked.unionByName(last))
-    return found
+    seen = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    last = saved(confirmed(rest.join(seen, ["a", "b"], "left_anti"), texts), parts)
+    return found if last.isEmpty() else components(linked.unionByName(last))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -354,15 +351,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     parts = max(1, -(-groups.count() // PART_ROWS))
     found = links(docs, groups.coalesce(parts), parts)
-    rooted = saved(
-        groups.join(found, "node", "left").select("node", "first_id", "n", F.coalesce("root", "node").alias("root")), parts
+    rooted = groups.join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    roots = found.join(groups, "node").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    # a component holds each text once and is spread over tasks
+    salted = rooted.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    spread = roots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    labels = salted.join(spread, ["root", "_salt"], "left").select(
+        "node", F.when(F.col("root") == F.col("node"), F.coalesce("least_id", "first_id")).otherwise(F.col("least_id")).alias("component_id")
     )
-    roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_nodes"))
-    labels = lookup(
-        rooted.withColumnRenamed("n", "_n"), roots.withColumnRenamed("_nodes", "n"), "root", rooted.count()
-    ).select("node", "component_id", F.col("_n").alias("n"))
-    labels = saved(labels, parts)
-    placed = lookup(full.select("node", "doc_id", "text_key", "n_shingles"), labels, "node", sets.count())
+    # both sides are written tables: a text with very many copies is split by the skew join
+    placed = full.select("node", "doc_id", "text_key", "n_shingles").join(saved(labels, parts), "node")
     empty = sets.filter("node is null").select("node", "doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     result = placed.select("node", "doc_id", "text_key", "n_shingles", "component_id").unionByName(empty)
     return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "node")
