@@ -45,7 +45,7 @@ SWITCH = 12.0
 SMOOTHING = 0.5
 #: Log-probability of a word in a language that is not among its candidates.
 EXCLUDED = -200.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 BATCH_WORDS = 1_000_000
 
 # Where scripts begin (code points); the last one ends the previous.

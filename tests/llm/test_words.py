@@ -65,7 +65,7 @@ def brute_collocations(rows, least, top):
     return sorted(found)
 
 
-@pytest.mark.parametrize("block", [400_000, 50])
+@pytest.mark.parametrize("block", [200_000, 50])
 def test_collocations_equal_brute_force(documents, monkeypatch, block):
     monkeypatch.setattr(phrases, "BLOCK", block)  # many tries give the same counts
     rows = [(r.lang, r.text) for r in documents.select("lang", "text").collect()]
@@ -90,14 +90,24 @@ def test_collocations_of_odd_rows(spark, empty):
     assert phrases.collocations(docs.filter("doc_id in (2, 3)")).collect() == []
 
 
-def test_filter_may_be_full(documents, monkeypatch):
-    """Hashes that share a bit cost candidates, not counts."""
-    monkeypatch.setattr(phrases, "_bit", lambda hashes: hashes & np.uint64(7))
-    rows = [(r.lang, r.text) for r in documents.select("lang", "text").limit(40).collect()]
-    words, codes = phrases.words_of([t.encode() for _, t in rows if t])
-    at, hashes = phrases.open_positions("en", words.to_pylist(), codes, [np.full(phrases.FILTER_BITS // 8, 255, np.uint8)] * 3, 4)
-    runs = [len(r) for r in np.split(codes, np.flatnonzero(codes == 0))]
-    assert len(at) == sum(max(0, n - 1 - 3) for n in runs[1:]) + max(0, runs[0] - 3) and len(hashes) == len(at)
+def test_filter_may_be_full():
+    """Hashes that share a bit cost candidates, not counts: a full filter lets all phrases through."""
+    text = "a b c a b c d. a b c; x y"
+    words, codes = phrases.words_of([text.encode()] * 3)
+    own = phrases._word_hashes("en", words.to_pylist())
+    full = np.full(1 << 10, 255, np.uint8)
+    for size in (2, 3, 4):
+        heads, last, times = phrases.open_phrases(own, codes, [full] * (size - 1))
+        counts, _ = all_phrases([("en", text)] * 3, size)
+        assert sorted(times.tolist()) == sorted(n for p, n in counts["en"].items() if p.count(" ") == size - 1)
+    none = np.zeros(1 << 10, np.uint8)
+    assert len(phrases.open_phrases(own, codes, [full, none, full])[0]) == 0
+
+
+def test_a_small_filter_gives_the_same(documents, monkeypatch):
+    want = sorted(tuple(r) for r in phrases.collocations(documents, top=60, least=8).collect())
+    monkeypatch.setattr(phrases, "FILTER_BITS", 1 << 15)
+    assert sorted(tuple(r) for r in phrases.collocations(documents, top=60, least=8).collect()) == want
 
 
 def test_trie_finds_all_and_nothing_else():
