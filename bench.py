@@ -42,10 +42,10 @@ def headline(read):
         "filter_orders": lambda: ledger(read(), Params(as_of=AS_OF, order_ids=[1, 3, 5, 7, 32, 37, 70, 100, 1000, 2000])),
         "filter_participants": lambda: ledger(read(), Params(as_of=AS_OF, participant_ids=PARTICIPANT_IDS)),
         "filter_extras": lambda: ledger(read(), Params(as_of=AS_OF, extra_ids=EXTRA_IDS)),
-        "lots": lambda: reports.lots(ledger(read(), base)),
-        "producer_totals": lambda: reports.producer_totals(ledger(read(), base)),
-        "courtesies": lambda: reports.courtesies(ledger(read(), base)),
-        "weekly": lambda: reports.weekly(ledger(read(), base)),
+        "lots": lambda: reports.lots(ledger(read(), base, weighted=True)),
+        "producer_totals": lambda: reports.producer_totals(ledger(read(), base, weighted=True)),
+        "courtesies": lambda: reports.courtesies(ledger(read(), base, weighted=True)),
+        "weekly": lambda: reports.weekly(ledger(read(), base, weighted=True)),
         "reconcile": lambda: _reconcile(read(), base),
         # the job as deployed: write the ledger once, then the five reports from the written files
         # (flat week-sorted files: at sf0.1 a week directory would hold only ~4,000 rows)
@@ -54,7 +54,7 @@ def headline(read):
 
 
 def _reconcile(tables, params):
-    return reports.reconcile(ledger(tables, params), tables)
+    return reports.reconcile(ledger(tables, params, weighted=True), tables)
 
 
 def _job(tables, params) -> None:

@@ -15,20 +15,22 @@ from pyspark.sql import functions as F
 from ..functions import order as R
 from ..sources import Tables
 from . import fanout
-from .filters import Params, apply, created_between, isin
-from .skew import hot_keys, salted_join
+from .filters import Params, apply, created_between, isin, settled_bounds
+from .skew import hot_keys, join_spread
 
 PAID = "Paid"
 
 
 def paid_sessions(tables: Tables, params: Params | None = None) -> DataFrame:
-    """F01 (+ F05 and the scan-side part of F12): paid sessions, renamed."""
+    """F01 (+ F05 and the scan-side part of F11 and F12): paid sessions, renamed."""
     params = params or Params()
     s = tables.checkoutsession
+    bounds = settled_bounds(tables.installmentsrange, params)
     s = apply(
         s.where(F.col("status") == PAID),
         isin(F.col("id"), params.order_ids),
         created_between(F.col("createdat"), params.bought_between),
+        None if bounds is None else (F.col("createdat") >= bounds[0]) & (F.col("createdat") < bounds[1]),
     )
     return s.select(
         F.col("id").alias("order_id"),
@@ -61,20 +63,23 @@ def card_per_id(cards: DataFrame) -> DataFrame:
     )
 
 
-def attach_card(sessions: DataFrame, tables: Tables, hot_rows: int = Params.hot_key_rows) -> DataFrame:
+def attach_card(sessions: DataFrame, tables: Tables, hot_rows: int | None = None) -> DataFrame:
     """Add the session's stored card (nulls when it has none).
 
-    Sessions without a card id (every non-card payment) skip the join: a null key would send all
-    of them to a single shuffle partition. A card that pays very many sessions is salted.
+    A session without a card id (every non-card payment) gets a key of its own that no card has:
+    null keys would all go to a single shuffle partition. A card that pays very many sessions is
+    split (:mod:`.skew`).
     """
-    key = "provider_card_id"
-    picked = card_per_id(tables.customerpaymentprovidercard).withColumnRenamed("card_id", key)
-    with_id = sessions.where(F.col(key).isNotNull())
-    joined = salted_join(with_id, picked, key, hot_keys(with_id.select(key), key, hot_rows), F.col("order_id"), "left")
-    without = sessions.where(F.col(key).isNull()).select(
-        "*", *[F.lit(None).cast("string").alias(c) for c in ("card_digits", "card_brand_stored")]
+    c = F.col
+    own = F.when(c("provider_card_id").isNull(), F.concat(F.lit("-"), c("order_id").cast("string")))
+    keyed = sessions.withColumn("_card", F.coalesce(own, F.concat(F.lit("="), c("provider_card_id").cast("string"))))
+    picked = card_per_id(tables.customerpaymentprovidercard).select(
+        F.concat(F.lit("="), c("card_id").cast("string")).alias("_card"), "card_digits", "card_brand_stored"
     )
-    return joined.unionByName(without)
+    hot = None
+    if hot_rows is not None:
+        hot = hot_keys(keyed.where(c("provider_card_id").isNotNull()).select("_card"), "_card", hot_rows)
+    return join_spread(keyed, picked, "_card", hot, c("order_id"), "left").drop("_card")
 
 
 def fixed_gateway_charges(gatecharges: DataFrame) -> DataFrame:

@@ -90,6 +90,33 @@ def attach_tickets(df: DataFrame, tables: Tables) -> DataFrame:
     )
 
 
+def ticket_events(tables: Tables) -> DataFrame:
+    """``batch_price_ref``, ``event_id`` and ``edition`` of each of the checkout's lot prices that
+    has an event: J04, J05, J07-J09 and J11 without what a filter on them does not need."""
+    c = F.col
+    refs = tables.checkouteventticketbatchprice.select(
+        c("id").alias("batch_price_ref"), c("eventTicketBatchPriceId").alias("price_ref")
+    )
+    price = tables.eventticketbatchprice.select(c("id").alias("price_ref"), c("ticketBatchId").alias("batch_id"))
+    batches = tables.eventticketbatch.select(c("id").alias("batch_id"), c("ticketId").alias("ticket_id"))
+    tickets = tables.eventticket.select(c("id").alias("ticket_id"), c("eventid").alias("event_ref"))
+    found = refs.join(price, "price_ref").join(batches, "batch_id").join(tickets, "ticket_id")
+    return found.join(event_editions(tables), "event_ref").select("batch_price_ref", "event_id", "edition")
+
+
+def product_events(tables: Tables) -> DataFrame:
+    """``product_id``, ``event_id`` and ``edition`` of each product that has an event."""
+    product = tables.product.select(F.col("id").alias("product_id"), F.col("eventId").alias("event_ref"))
+    return product.join(event_editions(tables), "event_ref").select("product_id", "event_id", "edition")
+
+
+def event_editions(tables: Tables) -> DataFrame:
+    """``event_ref``, ``event_id`` (the same) and ``edition`` of each event."""
+    ev = tables.event.select(F.col("id").alias("event_ref"), F.col("id").alias("event_id"))
+    ec = tables.eventcomplement.select(F.col("eventid").alias("event_ref"), F.col("globalevent").alias("edition"))
+    return ev.join(ec, "event_ref", "left")
+
+
 def ticket_dim(tables: Tables) -> DataFrame:
     """The whole ticket catalogue, keyed by ``batch_price_ref`` (the checkout's lot price id)."""
     refs = tables.checkouteventticketbatchprice.select(F.col("id").alias("batch_price_ref"))

@@ -10,7 +10,7 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.instalment import square_days
@@ -38,7 +38,7 @@ class Params:
     payable_ticket_reasons: tuple[str, ...] = PAYABLE_TICKET_REASONS  # F02
     payable_extra_reasons: tuple[str, ...] = PAYABLE_EXTRA_REASONS  # F03
     settlement_days: Callable[[Column], Column] = square_days  # R24
-    hot_key_rows: int = 2_000_000  # rows above which an order or card is split over tasks
+    hot_key_rows: int | None = None  # rows above which an order or card is salted (None: AQE splits it)
 
 
 def isin(c: Column, values: Sequence | None) -> Column | None:
@@ -61,6 +61,24 @@ def between(c: Column, bounds: tuple[dt.date, dt.date] | None) -> Column | None:
     return c.between(F.lit(lo), F.lit(hi))
 
 
+def settled_bounds(ranges: DataFrame, params: "Params") -> tuple[Column, Column] | None:
+    """F11 restated on the raw timestamp of the purchase, as bounds that reach the session scan.
+
+    An instalment settles 0 days after the purchase or ``settlement_days(k)`` for a ``k`` of a plan, so
+    a purchase lies at most the longest such delay before the range, and not after the range by
+    more than the most negative one. Both delays are scalar subqueries over the plan table.
+    """
+    if params.settled_between is None:
+        return None
+    lo, hi = params.settled_between
+    k = ranges.select(F.explode(F.from_json("installmentsArray", "array<int>", {"mode": "FAILFAST"})).alias("k"))
+    days = k.select(params.settlement_days(F.col("k")).alias("days"))
+    longest, least = (days.agg(F.coalesce(f("days"), F.lit(0)).alias("d")) for f in (F.max, F.min))
+    first = F.date_sub(F.lit(lo), F.greatest(longest.scalar(), F.lit(0))).cast("timestamp_ntz")
+    last = F.date_sub(F.lit(hi), F.least(least.scalar(), F.lit(0))).cast("timestamp_ntz")
+    return first + F.expr("INTERVAL 3 HOURS"), last + F.expr("INTERVAL 27 HOURS")
+
+
 def created_between(createdat: Column, bought: tuple[dt.date, dt.date] | None) -> Column | None:
     """F12 restated on the raw timestamp so it reaches the session scan.
 

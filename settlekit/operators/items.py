@@ -25,7 +25,7 @@ from ..sources import Tables
 from . import dims, fanout
 from .context import order_context
 from .filters import Params, apply, isin
-from .skew import hot_keys, salted_join
+from .skew import hot_keys, join_spread
 from .trades import attach_links
 
 TICKETS = "tickets"
@@ -42,8 +42,8 @@ ITEM_COLUMNS = [
     "linked_item_id", "card_brand", "card_prefix",
 ]
 
-def payable_tickets(tables: Tables, params: Params) -> DataFrame:
-    """Participants that count (F02, F05, F07, F09), with their cancel reason."""
+def participants(tables: Tables, params: Params) -> DataFrame:
+    """The chosen participants."""
     p = tables.checkoutparticipant.select(
         F.col("id").alias("item_id"),
         F.col("sessionid").alias("order_id"),
@@ -52,6 +52,12 @@ def payable_tickets(tables: Tables, params: Params) -> DataFrame:
     p = apply(p, isin(F.col("item_id"), params.participant_ids), isin(F.col("order_id"), params.order_ids))
     if params.extra_ids is not None:  # choosing extras leaves the ticket branch empty
         p = p.where(F.lit(False))
+    return p
+
+
+def payable_tickets(tables: Tables, params: Params) -> DataFrame:
+    """Participants that count (F02, F05, F07, F09), with their cancel reason."""
+    p = participants(tables, params)
     cancels = tables.checkoutorderticketpartialcancel.select(
         F.col("participantId").alias("cancel_item"), F.col("reason").alias("cancel_reason")
     )
@@ -78,8 +84,8 @@ def ticket_lines(tables: Tables, params: Params) -> DataFrame:
     )
 
 
-def payable_extras(tables: Tables, params: Params) -> DataFrame:
-    """Product lines that count (F03, F05, F08, F10), with their cancel reason."""
+def product_lines(tables: Tables, params: Params) -> DataFrame:
+    """The chosen product lines."""
     e = tables.checkoutproductcomplement.select(
         F.col("id").alias("item_id"),
         F.col("sessionId").alias("order_id"),
@@ -90,6 +96,12 @@ def payable_extras(tables: Tables, params: Params) -> DataFrame:
     e = apply(e, isin(F.col("item_id"), params.extra_ids), isin(F.col("order_id"), params.order_ids))
     if params.participant_ids is not None:  # choosing participants leaves extras empty
         e = e.where(F.lit(False))
+    return e
+
+
+def payable_extras(tables: Tables, params: Params) -> DataFrame:
+    """Product lines that count (F03, F05, F08, F10), with their cancel reason."""
+    e = product_lines(tables, params)
     cancels = tables.checkoutorderproductpartialcancel.select(
         F.col("checkoutProductComplementId").alias("cancel_item"), F.col("reason").alias("cancel_reason")
     )
@@ -142,15 +154,45 @@ def _pick(is_ticket: Column, ticket: Column, extra: Column) -> Column:
     return F.when(is_ticket, ticket).otherwise(extra)
 
 
-def items(tables: Tables, params: Params | None = None, context: DataFrame | None = None) -> DataFrame:
-    """U01 and level 1: tickets and extras of paid orders with every item-level value."""
+def chosen_orders(tables: Tables, params: Params) -> DataFrame | None:
+    """The orders (``order_id``) of the items that filters on items (F04, F06-F08) leave, and maybe
+    of cancelled ones; None without such a filter. Chosen ids need two columns of the item table;
+    editions and events need those joins of the catalogue that lead to them."""
+    by_event = params.editions is not None or params.event_ids is not None
+    if not by_event and params.participant_ids is None and params.extra_ids is None:
+        return None
+    c = F.col
+    tickets, extras = participants(tables, params), product_lines(tables, params)
+    if by_event:
+        left = [isin(c("edition"), params.editions), isin(c("event_id"), params.event_ids)]
+        tickets = tickets.join(apply(dims.ticket_events(tables), *left), "batch_price_ref", "left_semi")
+        extras = extras.join(apply(dims.product_events(tables), *left), "product_id", "left_semi")
+    if params.extra_ids is not None:
+        orders = extras.select("order_id")
+    elif params.participant_ids is not None:
+        orders = tickets.select("order_id")
+    else:
+        orders = tickets.select("order_id").unionAll(extras.select("order_id"))
+    return orders.distinct()
+
+
+def items(
+    tables: Tables, params: Params | None = None, context: DataFrame | None = None, weighted: bool = False
+) -> DataFrame:
+    """U01 and level 1: tickets and extras of paid orders with every item-level value.
+
+    An item that the source repeats (J21, J33) is a row per copy, or with ``weighted`` one row
+    whose further column ``copies`` says how many it stands for."""
     params = params or Params()
     lines = ticket_lines(tables, params).unionByName(extra_lines(tables, params))
     if context is None:
-        context = order_context(tables, params, lines.select("order_id").distinct() if _narrow(params) else None)
-    # counted on the item tables themselves: at least as many rows as the lines have
-    keys = payable_tickets(tables, params).select("order_id").unionAll(payable_extras(tables, params).select("order_id"))
-    rows = salted_join(lines, context, "order_id", hot_keys(keys, "order_id", params.hot_key_rows), F.col("item_id"))
+        context = order_context(tables, params, chosen_orders(tables, params))
+    hot = None
+    if params.hot_key_rows is not None:
+        # counted on the item tables themselves: at least as many rows as the lines have
+        keys = participants(tables, params).select("order_id").unionAll(product_lines(tables, params).select("order_id"))
+        hot = hot_keys(keys, "order_id", params.hot_key_rows)
+    rows = join_spread(lines, context, "order_id", hot, F.col("item_id"))
 
     c = F.col
     is_ticket = c("branch") == TICKETS
@@ -177,14 +219,7 @@ def items(tables: Tables, params: Params | None = None, context: DataFrame | Non
         (c("answers") * _pick(is_ticket, F.lit(1).cast("long"), F.coalesce(c("buyers"), F.lit(1).cast("long"))))
         .alias("copies"),
     )
-    return fanout.replicate(out, "copies").select(*ITEM_COLUMNS)
-
-
-def _narrow(params: Params) -> bool:
-    """Whether filters on items (F04, F06-F08) leave few orders, so that the session facts are
-    worth restricting to the orders of the items that are left."""
-    chosen = (params.editions, params.event_ids, params.participant_ids, params.extra_ids)
-    return any(x is not None for x in chosen)
+    return out if weighted else fanout.replicate(out, "copies").select(*ITEM_COLUMNS)
 
 
 def tickets(tables: Tables, params: Params | None = None) -> DataFrame:

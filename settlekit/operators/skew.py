@@ -3,19 +3,22 @@
 AQE's skew-join split only applies when both join inputs are plain shuffle stages and nothing
 downstream depends on the join's partitioning. The ledger's big join (items x order context)
 sits on a chain of joins on the same key, so an order holding a third of all items would be
-joined by one task. Hot keys are therefore handled explicitly:
+joined by one task. :func:`split_join` gives both sides a plain shuffle for that join, and AQE
+splits a hot partition at run time, with sizes that it measures anyway: no table is read twice to
+find hot keys. This is what the ledger does unless ``Params.hot_key_rows`` is set.
+
+With ``hot_key_rows`` (for a session without AQE, or with map tasks so large that one map output
+of a key is too much) hot keys are found and salted explicitly:
 
 1. rows per key are counted with a partial (map-side) aggregate, inside the plan of the join; the
    keys above ``hot_rows`` are hot. They number at most rows / ``hot_rows`` (5,000 in 10 billion
-   rows at the default), which bounds their broadcast;
+   rows at 2 million), which bounds their broadcast;
 2. a row of the large side with a hot key gets a salt in ``[0, salts)`` from a hash of a
    column that varies within the key, and the small side's rows for that key are repeated once
    per salt; every other key has salt 0 and is not repeated;
 3. the join runs on ``(key, salt)``, so a hot key is spread over ``salts`` tasks.
 
-Salting never changes the result: each large-side row meets exactly the rows it met before.
-A key gets as many salts as it has multiples of ``hot_rows``. Nothing is measured before the
-plan runs.
+Neither changes the result: each large-side row meets exactly the rows it met before.
 """
 
 from __future__ import annotations
@@ -30,6 +33,22 @@ def hot_keys(keys: DataFrame, key: str, hot_rows: int) -> DataFrame:
     return hot.select(F.col(key).alias("hot_key"), F.ceil(F.col("rows") / F.lit(hot_rows)).cast("int").alias("salts"))
 
 
+def split_join(large: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``large.join(small, key, how)`` that AQE can split.
+
+    The second join key is 0 for every row, but the planner does not know that: both sides get a
+    shuffle of their own for this join, whatever they were partitioned by, and nothing downstream
+    relies on it, so a hot partition of the large side is read in several pieces by map output.
+    """
+    same = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    return large.withColumn("_one", same).join(small.withColumn("_one", same), [key, "_one"], how).drop("_one")
+
+
+def join_spread(large: DataFrame, small: DataFrame, key: str, hot: DataFrame | None, spread_by: Column, how: str = "inner") -> DataFrame:
+    """:func:`split_join`, or :func:`salted_join` if ``hot`` keys are given."""
+    return split_join(large, small, key, how) if hot is None else salted_join(large, small, key, hot, spread_by, how)
+
+
 def salted_join(
     large: DataFrame, small: DataFrame, key: str, hot: DataFrame, spread_by: Column, how: str = "inner"
 ) -> DataFrame:

@@ -26,22 +26,22 @@ from ..operators.items import items
 from ..sources import Tables
 
 
-def item_rows(tables: Tables, params: Params | None = None) -> DataFrame:
+def item_rows(tables: Tables, params: Params | None = None, weighted: bool = False) -> DataFrame:
     """Level 1: sold items of both branches."""
-    return items(tables, params or Params())
+    return items(tables, params or Params(), weighted=weighted)
 
 
-def instalment_rows(tables: Tables, params: Params | None = None) -> DataFrame:
+def instalment_rows(tables: Tables, params: Params | None = None, weighted: bool = False) -> DataFrame:
     """Levels 2-4 without the gateway lookup: item x instalment with splits."""
     params = params or Params()
-    return add_splits(explode_instalments(item_rows(tables, params), params))
+    return add_splits(explode_instalments(item_rows(tables, params, weighted), params))
 
 
-def ledger_rows(tables: Tables, params: Params | None = None) -> DataFrame:
+def ledger_rows(tables: Tables, params: Params | None = None, weighted: bool = False) -> DataFrame:
     """Every computed column (the 47 output columns and the intermediate ones). Building the
     plan starts no Spark job."""
     params = params or Params()
-    rows = attach_gateway_charge(instalment_rows(tables, params), tables)
+    rows = attach_gateway_charge(instalment_rows(tables, params, weighted), tables)
     rows = attach_week(rows, tables)
     rows = rows.select(
         "*",
@@ -56,9 +56,12 @@ def ledger_rows(tables: Tables, params: Params | None = None) -> DataFrame:
     )
 
 
-def ledger(tables: Tables, params: Params | None = None) -> DataFrame:
-    """The 47-column ledger (PR01). Unused columns are pruned by Catalyst downstream."""
-    return ledger_rows(tables, params).select(*LEDGER_COLUMNS)
+def ledger(tables: Tables, params: Params | None = None, weighted: bool = False) -> DataFrame:
+    """The 47-column ledger (PR01). Unused columns are pruned by Catalyst downstream.
+
+    With ``weighted`` a row that stands for several equal ones comes once, with their number in a
+    48th column ``copies``: the form that :mod:`.reports` adds up without expanding it."""
+    return ledger_rows(tables, params, weighted).select(*LEDGER_COLUMNS, *(["copies"] if weighted else []))
 
 
 def ordered(ledger_df: DataFrame) -> DataFrame:

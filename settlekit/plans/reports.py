@@ -2,9 +2,10 @@
 
 Each is a single hash aggregate (partial aggregation before the shuffle, so a hot group costs
 one row per map task) over a handful of ledger columns; Catalyst prunes the rest of the ledger.
-Money is summed in whole units of 1e-12 and the total rounded once (:func:`exact_sum`), so totals
+Money is summed in whole units of 1e-12 and the total rounded once (:func:`~settlekit.functions.money.total`), so totals
 do not depend on the order rows arrive in. Items are counted, not summed: rows per instalment
-count first, then each count over its instalments.
+count first, then each count over its instalments. A weighted ledger (``ledger(...,
+weighted=True)``) counts each row ``copies`` times, in the aggregate itself: nothing is expanded.
 """
 
 from __future__ import annotations
@@ -14,15 +15,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import exact_sum, total, units
+from ..functions.money import total, units
 from ..functions.order import COURTESY
 from ..sources import Tables
 
 
+def _copies(ledger: DataFrame) -> Column:
+    """How many equal rows a row stands for."""
+    return F.col("copies") if "copies" in ledger.columns else F.lit(1).cast("long")
+
+
+def _units(ledger: DataFrame, column: str) -> Column:
+    """A column in units, for all copies of the row."""
+    return units(F.col(column)) * _copies(ledger) if "copies" in ledger.columns else units(F.col(column))
+
+
 def _per_fraction(ledger: DataFrame, keys: Sequence[str], **sums: str) -> DataFrame:
     """Rows and sums of columns (in units) per key and instalment count of the rows."""
     return ledger.groupBy(*keys, F.round(1 / F.col("item_fraction")).alias("_n")).agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(units(F.col(c))).alias(name) for name, c in sums.items()]
+        F.sum(_copies(ledger)).alias("_rows"), *[F.sum(_units(ledger, c)).alias(name) for name, c in sums.items()]
     )
 
 
@@ -43,8 +54,8 @@ def lots(ledger: DataFrame, editions: Sequence[str] | None = None) -> DataFrame:
 def producer_totals(ledger: DataFrame) -> DataFrame:
     """Producer total per edition and event, payable versus future."""
     return ledger.groupBy("edition", "event", "settlement_status").agg(
-        exact_sum(F.col("producer_total")).alias("producer_total"),
-        F.count(F.lit(1)).alias("rows"),
+        total(_units(ledger, "producer_total")).alias("producer_total"),
+        F.sum(_copies(ledger)).alias("rows"),
     )
 
 
@@ -58,9 +69,7 @@ def courtesies(ledger: DataFrame) -> DataFrame:
 def weekly(ledger: DataFrame) -> DataFrame:
     """Receipts per settlement week."""
     return ledger.groupBy("settlement_week", "settlement_status").agg(
-        exact_sum(F.col("instalment_amount")).alias("instalment_amount"),
-        exact_sum(F.col("producer_total")).alias("producer_total"),
-        exact_sum(F.col("gateway_cost")).alias("gateway_cost"),
+        *[total(_units(ledger, c)).alias(c) for c in ("instalment_amount", "producer_total", "gateway_cost")]
     )
 
 
@@ -71,7 +80,7 @@ def reconcile(ledger: DataFrame, tables: Tables) -> DataFrame:
     extras-only orders and cancelled items make them differ by design, and that gap is the
     report's point.
     """
-    paid = ledger.groupBy("order_id").agg(exact_sum(F.col("instalment_amount")).alias("ledger_amount"))
+    paid = ledger.groupBy("order_id").agg(total(_units(ledger, "instalment_amount")).alias("ledger_amount"))
     summary = tables.checkoutsummary.select(
         F.col("sessionid").alias("order_id"), F.col("totalAmount").alias("order_total")
     )

@@ -228,8 +228,8 @@ def presented_amounts(spark, sf_dir):
     )
 
 
-def _ledger(spark, sf_dir, **kw) -> DataFrame:
-    return ledger(_tables(spark, sf_dir), Params(as_of=AS_OF, **kw))
+def _ledger(spark, sf_dir, weighted=False, **kw) -> DataFrame:
+    return ledger(_tables(spark, sf_dir), Params(as_of=AS_OF, **kw), weighted)
 
 
 def filter_editions(spark, sf_dir):
@@ -290,24 +290,24 @@ def ledger_ordered(spark, sf_dir):
 
 
 def lots(spark, sf_dir):
-    return reports.lots(_ledger(spark, sf_dir))
+    return reports.lots(_ledger(spark, sf_dir, weighted=True))
 
 
 def producer_totals(spark, sf_dir):
-    return reports.producer_totals(_ledger(spark, sf_dir))
+    return reports.producer_totals(_ledger(spark, sf_dir, weighted=True))
 
 
 def courtesies(spark, sf_dir):
-    return reports.courtesies(_ledger(spark, sf_dir))
+    return reports.courtesies(_ledger(spark, sf_dir, weighted=True))
 
 
 def weekly(spark, sf_dir):
-    return reports.weekly(_ledger(spark, sf_dir))
+    return reports.weekly(_ledger(spark, sf_dir, weighted=True))
 
 
 def reconcile(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return reports.reconcile(ledger(t, BASE), t)
+    return reports.reconcile(ledger(t, BASE, weighted=True), t)
 
 
 def duplicate_keys(spark, sf_dir):

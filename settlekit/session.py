@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # a call site for every column expression doubles the time that building a plan takes
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -85,3 +85,58 @@ def test_choosing_participants_prunes_the_extras_branch(spark, parquet_tables):
     assert scans(plan, "checkoutparticipant")
     assert not scans(plan, "checkoutproductcomplement")
     assert any("In(id" in s for s in scans(plan, "checkoutparticipant"))
+
+
+def joins(plan: str) -> int:
+    return plan.count("Join ")
+
+
+def test_each_item_table_and_the_sessions_are_read_once(spark, parquet_tables):
+    """Hot orders and cards are split by AQE: no second read to find them, no union for null cards."""
+    plan = plan_of(ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1))))
+    for table in ["checkoutsession", "checkoutparticipant", "checkoutproductcomplement"]:
+        assert len(scans(plan, table)) == 1, table
+    assert joins(plan) <= 32
+
+
+@pytest.mark.parametrize("chosen", [{"participant_ids": [101, 102]}, {"extra_ids": [104]}, {"order_ids": [1, 3]}])
+def test_chosen_ids_need_no_catalogue_to_find_their_orders(spark, parquet_tables, chosen):
+    plan = plan_of(ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1), **chosen)))
+    assert joins(plan) <= 50
+    assert len(scans(plan, "event")) <= 2 and len(scans(plan, "checkouteventticketbatchprice")) <= 1
+
+
+def test_editions_find_their_orders_without_what_has_no_say(spark, parquet_tables):
+    df = ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1), editions=["ASIA"]))
+    optimized = df._jdf.queryExecution().optimizedPlan().toString()
+    # price types, trades and cancels only in the lines themselves
+    assert plan_of(df).count("/eventticketbatchpricetype]") <= 1 and plan_of(df).count("/tradecheckoutsession]") <= 2
+    assert optimized.count("LeftSemi") >= 5
+
+
+def test_settlement_range_bounds_the_session_scan(spark, parquet_tables):
+    params = Params(as_of=dt.date(2001, 7, 1), settled_between=(dt.date(1998, 1, 1), dt.date(1998, 1, 31)))
+    df = ledger(parquet_tables, params)
+    (session,) = scans(plan_of(df), "checkoutsession")
+    assert "createdat" in session.split("DataFilters")[1].split("PushedFilters")[0]
+    whole = ledger(parquet_tables, Params(as_of=params.as_of))
+    inside = whole.where(whole.settlement_date.between(*params.settled_between))
+    assert df.count() == inside.count() > 0 and df.exceptAll(inside).isEmpty()
+
+
+def test_reports_of_a_weighted_ledger_expand_nothing(spark, parquet_tables):
+    base = Params(as_of=dt.date(2001, 7, 1))
+    weighted, whole = ledger(parquet_tables, base, weighted=True), ledger(parquet_tables, base)
+    made = lambda of: {
+        "lots": reports.lots(of),
+        "producer_totals": reports.producer_totals(of),
+        "courtesies": reports.courtesies(of),
+        "weekly": reports.weekly(of),
+        "reconcile": reports.reconcile(of, parquet_tables),
+    }
+    assert whole.count() == weighted.selectExpr("sum(copies)").first()[0] > weighted.count()
+    expanded = made(whole)
+    for name, df in made(weighted).items():
+        plan = plan_of(df)
+        assert "REBALANCE" not in plan and "_copy" not in plan and "_chunk" not in plan, name
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, expanded[name].collect()), key=str), name

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from settlekit import Params
+from settlekit.operators.gateway import NEGOTIATION, charge_table
 from settlekit.plans.ledger import instalment_rows, ledger_rows
 
 
@@ -45,8 +46,14 @@ def test_item_fraction_counts_items(rows):
 
 def test_lookups_repeat_rows_only_where_their_keys_repeat(rows, small_tables):
     """Charge and calendar lookups add rows for keys that repeat, and none else."""
+    # the lookup takes the standard negotiation and compares texts without regard to case
+    charges = charge_table(small_tables.gatecharges).dropDuplicates(["gk_gateway", "gk_method", "gk_brand", "gk_instalments"])
     single = {
-        "gatecharges": small_tables.gatecharges.dropDuplicates(["gateway", "negotiationNumber", "chargeOn", "cardBrand", "installments"]),
+        "gatecharges": charges.select(
+            F.col("gk_gateway").alias("gateway"), F.lit(NEGOTIATION).alias("negotiationNumber"), F.col("gk_method").alias("chargeOn"),
+            F.col("gk_brand").alias("cardBrand"), F.col("gk_instalments").alias("installments"),
+            F.col("gk_type").alias("chargeType"), F.col("gk_amount").alias("chargeAmount"),
+        ),
         "weeksarrange": small_tables.weeksarrange.dropDuplicates(["data"]),
     }
     inst = instalment_rows(small_tables, Params(as_of=dt.date(2001, 7, 1))).count()

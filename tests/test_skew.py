@@ -6,8 +6,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from settlekit import Params
-from settlekit.operators.context import card_per_id, paid_sessions
-from settlekit.operators.skew import hot_keys, salted_join
+from settlekit.operators.context import attach_card, card_per_id, paid_sessions
+from settlekit.operators.skew import hot_keys, salted_join, split_join
 from settlekit.plans.ledger import item_rows
 
 
@@ -72,3 +72,33 @@ def test_salted_left_join_equals_plain_join(spark, small_tables):
     cols = sorted(plain.columns)
     assert salted.select(cols).exceptAll(plain.select(cols)).count() == 0
     assert plain.select(cols).exceptAll(salted.select(cols)).count() == 0
+
+
+def test_a_hot_order_is_split_by_aqe(spark, small_tables):
+    """Below the join lies an aggregate on its key, and still AQE reads the hot partition in pieces."""
+    lines = small_tables.checkoutparticipant.select(
+        F.col("id").alias("item_id"), F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("sessionid")).alias("order_id")
+    )
+    pad = F.sha2(F.concat_ws(":", "item_id", "n"), 512)
+    lines = lines.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("pad", pad).repartition(8)
+    orders = small_tables.checkoutsession.groupBy(F.col("id").alias("order_id")).agg(F.max("createdat").alias("at"))
+    with conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                      "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                      "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}):
+        joined = split_join(lines, orders, "order_id").select(F.spark_partition_id().alias("task"), "order_id", "pad", "at")
+        rows = joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    assert len({r.task for r in rows if r.order_id == 1}) > 1
+    assert len(rows) == lines.join(orders, "order_id").count()
+
+
+def test_sessions_without_a_card_and_a_hot_card(spark, small_tables):
+    base = Params(as_of=dt.date(2001, 7, 1))
+    s = paid_sessions(small_tables, base)
+    s = s.withColumn("provider_card_id", F.when(F.col("order_id") % 3 == 0, F.lit("card_1"))
+                     .when(F.col("order_id") % 3 == 1, F.lit(None)).otherwise(F.col("provider_card_id")))
+    cards = card_per_id(small_tables.customerpaymentprovidercard).withColumnRenamed("card_id", "provider_card_id")
+    plain = s.join(cards, "provider_card_id", "left")
+    for hot_rows in (None, 50):
+        got = attach_card(s, small_tables, hot_rows).select(plain.columns)
+        assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
