@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from settlekit.llm.common import saved
+from settlekit.llm.common import held, saved
 from settlekit.llm.packing import byte_symbols
 
 WINDOW = 2048
@@ -65,8 +65,6 @@ class ByteTokenizer:
     pattern of the file's pre-tokenizer is written out over the known characters; a text with any
     other character, or with a special token's name, goes through the whole tokenizer."""
 
-    loaded: dict[str, "ByteTokenizer"] = {}
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -102,9 +100,7 @@ class ByteTokenizer:
 
     @classmethod
     def load(cls, path: str) -> "ByteTokenizer":
-        if path not in cls.loaded:
-            cls.loaded[path] = cls(path)
-        return cls.loaded[path]
+        return held(f"bytes {path}", lambda: cls(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,19 @@ def saved(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps for its next tasks, made at first use. It keeps one thing at a
+    time, so the models and caches of a pipeline's stages do not add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def crc_of_id(column: str) -> Column:
     """crc32 of an id written as text (null for a null id)."""
     return F.crc32(F.encode(F.col(column).cast("string"), "UTF-8"))

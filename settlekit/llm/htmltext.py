@@ -58,6 +58,8 @@ DAMPING = 0.9
 LEAST_IMPORTANCE = 0.15
 LEAST_PAGES = 5
 BROADCAST_ROWS = 100_000
+#: Blocks that tell a page from copies of another.
+IDENTITY = 3
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,12 +83,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent"
     " gdpr notice alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus"
-    " reply replies respond share sharing social related recommended newsletter subscribe subscription signup login popup"
+    " reply replies respond responses discussion tags share sharing social related recommended newsletter subscribe subscription signup login popup"
     " modal overlay widget toolbar copyright skip pagination pager".split()
 )
 OUTSIDE = frozenset(("header", "topbar"))
 #: Words for elements that hold other articles, or comments marked up as articles.
-OTHERS = frozenset("related recommended promo promotion sponsor sponsored comment comments disqus reply replies respond".split())
+OTHERS = frozenset("related recommended promo promotion sponsor sponsored comment comments disqus reply replies respond responses discussion".split())
 
 #: Elements whose text is raw up to their end tag; those of `OPEN_ENDED` are empty if there is none.
 RAW = tuple("script style textarea title noscript template iframe svg".split())
@@ -184,12 +186,12 @@ def _open(tag: str, attributes: str, parent: Element | None, known: dict) -> tup
     return Element(tag, path, noise, main), sign, whole
 
 
-def _named(signs: list[int], holds_main: set[int], texts: list[tuple[int, tuple[int, ...], bool]]) -> set[int]:
+def _named(signs: list[int], holds_main: set[int], holds_article: set[int], texts: list[tuple[int, tuple[int, ...], bool]]) -> set[int]:
     """The elements with words of noise that are noise, by number. `texts` has the length of each
     text, the numbers of the elements it is in, and whether it is in an article.
 
-    An element is not if it holds the main element, text in an article or more than half of the
-    page's text. If it names other articles, text in an article does not count and none may be
+    An element is not if it holds the main element, an article or more than half of the page's
+    text; what lies inside an article does not count as holding it. If it names other articles, text in an article does not count and none may be
     outside; if one of its names is such a word itself, only the main element counts. If that
     leaves nothing of a page that has text, or nothing of the articles where these are most of it,
     the words say nothing.
@@ -204,7 +206,7 @@ def _named(signs: list[int], holds_main: set[int], texts: list[tuple[int, tuple[
             article[i] += n * main
     def layout(i: int, sign: int) -> bool:
         most = 2 * every[i] > total
-        return i in holds_main or sign == WORD and (most or article[i] > 0) or sign == OTHER and most and article[i] == total_article
+        return i in holds_main or sign == WORD and (most or i in holds_article) or sign == OTHER and most and article[i] == total_article
 
     noise = {i for i, sign in enumerate(signs) if not layout(i, sign)}
     for n, within, main in texts:
@@ -230,6 +232,8 @@ def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int,
     seen: list[Element] = []
     signs: list[int] = []
     holds_main: set[int] = set()
+    holds_article: set[int] = set()
+    has_main = False
 
     def flush() -> None:
         if buffer:
@@ -290,7 +294,10 @@ def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int,
         e, sign, whole = _open(tag, m[5] or m[8] or "", stack[-1] if stack else None, known)
         e.named = stack[-1].named if stack else ()
         if whole:
+            has_main = True
             holds_main.update(e.named)
+        if e.main and not (stack and stack[-1].main):
+            holds_article.update(e.named)
         if sign and not e.noise:
             e.named += (len(signs),)
             signs.append(sign)
@@ -300,7 +307,7 @@ def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int,
     flush()
     while stack:
         pop()
-    noise = _named(signs, holds_main, [(len(t.strip()), within, main) for _, parts, main in found for t, within in parts]) if signs else set()
+    noise = _named(signs, holds_main, holds_article, [(len(t.strip()), within, main) for _, parts, main in found for t, within in parts]) if signs else set()
     for paths, parts, main in found:
         # references are decoded after tags are gone; split() knows all white space
         text = " ".join(unescape("".join(t for t, within in parts if not within or noise.isdisjoint(within))).split())
@@ -309,14 +316,21 @@ def parse(html: str, known: dict | None = None) -> tuple[list[Block], dict[int,
     for e in seen:
         if noise.isdisjoint(e.named):
             styles.setdefault(e.path, []).append(tuple(e.children))
-    if any(b.main for b in blocks):
-        blocks = [b for b in blocks if b.main]
+    inside = [b for b in blocks if b.main]
+    # articles without a main element may be teasers beside the text: they must hold most of it, or
+    # the longest block
+    if inside and not has_main:
+        within, longest = sum(len(b.text) for b in inside), max(len(b.text) for b in inside)
+        if 2 * within < sum(len(b.text) for b in blocks) and any(len(b.text) > longest for b in blocks):
+            inside = []
+    blocks = inside or blocks
     return blocks, styles
 
 
 def tree_rows(pages: DataFrame) -> DataFrame:
     """(host, page, path, style, digest): each element's child sequences and texts on a page.
-    A text counts for the elements it is in; `page` is the digest of the page's longest block."""
+    A text counts for the elements it is in; `page` is the digest of the page's `IDENTITY` longest
+    blocks, so that one long block that all pages of a host share does not make them one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
@@ -328,7 +342,8 @@ def tree_rows(pages: DataFrame) -> DataFrame:
                     if not blocks:
                         continue
                     host = host_of(url)
-                    page = xxhash.xxh3_64_intdigest(max((b.text for b in blocks), key=len)) - (1 << 63)
+                    longest = sorted({b.text for b in blocks}, key=lambda t: (-len(t), t))[:IDENTITY]
+                    page = xxhash.xxh3_64_intdigest("\n".join(longest)) - (1 << 63)
                     rows = {
                         (path, False, text_key(path, b.text), i + 1 == len(b.paths))
                         for b in blocks for i, path in enumerate(b.paths)
@@ -358,7 +373,7 @@ def importance(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     `text_counts` of the rows, if they are there already."""
     counts = text_counts(rows) if counts is None else counts
     m = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    n, total = F.col("n").cast("double"), F.sum(F.col("n").cast("double"))
+    n = F.col("n").cast("double")
     sums = counts.groupBy("host", "path").agg(
         F.sum(F.when(~F.col("style"), n * F.log(n))).alias("text_log"),
         F.sum(F.when(~F.col("style"), n)).alias("texts"),
@@ -367,7 +382,6 @@ def importance(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         F.count(F.when(F.col("style"), 1)).alias("styles"),
         F.max(F.col("leaf") & ~F.col("style")).alias("leaf"),
     )
-    del total
     base = F.log(F.col("pages").cast("double"))
     content = 1 - F.try_divide(F.col("text_log"), F.col("texts") * base)
     # the entropy of the sequences, each with its share of the pages

@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from settlekit.llm.common import held
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 1500
 LEAST_COUNT = 3
@@ -137,18 +139,13 @@ class Model:
 class Scorer:
     """A model with the scores of words met so far, per worker."""
 
-    loaded: dict[str, "Scorer"] = {}
-
     def __init__(self, model: Model) -> None:
         self.model = model
         self._clear()
 
     @classmethod
     def of(cls, model: Model) -> "Scorer":
-        if model.key not in cls.loaded:
-            cls.loaded.clear()
-            cls.loaded[model.key] = cls(model)
-        return cls.loaded[model.key]
+        return held(f"langid {model.key}", lambda: cls(model))
 
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}

@@ -217,9 +217,11 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), (n + lead).cast("int")), "")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     """The mixture as documents, in training order: all columns of `docs`, a row per take; a
-    partial take holds the first words of its text, and n_chars (if there) counts its text."""
+    partial take holds the first words of its text, and n_chars (if there) counts its text. With
+    `whole` no text is cut: a partial take is the whole document if it has at least half of its
+    words, and no take otherwise, so a source's words are within half a document of its target."""
     columns = docs.columns
     kept = docs.select(
         "doc_id", "source", "text",
@@ -231,6 +233,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rows = planned.select("*", F.explode("takes").alias("_take")).select(
         "*", F.col("_take.position").alias("_position"), F.col("_take.words").alias("words")
     )
+    if whole:
+        rows = rows.filter(F.col("words") * 2 >= words(F.col("text")))
+        return in_order(rows, ["_position", "doc_id", "words"]).select(
+            [F.col(c if c in ("source", "text") else f"_c_{c}").alias(c) for c in columns]
+        )
     rows = rows.withColumn("text", F.when(cut, first_words(F.col("text"), F.col("words"))).otherwise(F.col("text")))
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType

@@ -9,10 +9,12 @@ the fuller window. Moving one window from h to h + s changes that sum by
     -2 N(h) + 1 (if h > 0)  +  2 N(h + s) + 1 (if h + s < window)
 
 so one pass over the level array finds the best level. The array and the open windows are all the
-state there is. When more than `max_open` windows are open, or the input of a task ends, the open
-windows are emptied in order of their ids and their tokens laid end to end ("cut freely"): all
-but the last of the sequences made of them are full, and the last one is cut into sequences whose
-lengths are powers of two. Nothing is dropped.
+state there is. No more than `max_open` windows are open: with so many open, a remainder that is
+longer than the room of the fullest one is cut there ("cut freely") and fills it, and what is left
+of it is placed as before; a shorter one fits into every open window and opens no new one. Only when
+the input of a task ends are the open windows emptied in order of their ids and their tokens laid
+end to end: all but the last of the sequences made of them are full, and the last one is cut into
+sequences whose lengths are powers of two. Nothing is dropped.
 
 Each task packs the documents of its own input partition in one streaming pass: there is no
 shuffle, each document is tokenised once, and memory holds at most `max_open` open windows and a
@@ -36,9 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from settlekit.llm.common import held
+
 WINDOW = 4096
 END = 2
-MAX_OPEN = 512
+MAX_OPEN = 256
 #: Words whose ids a worker keeps at a time.
 CACHE_WORDS = 300_000
 #: Sequence ids: so many for each partition.
@@ -54,7 +58,6 @@ def byte_symbols() -> dict[int, str]:
 
 _BYTE_SYMBOLS = byte_symbols()
 _U4 = struct.Struct("<I").pack
-_LOADED: dict[str, "WordTokenizer"] = {}
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -120,9 +123,7 @@ class WordTokenizer:
 
     @classmethod
     def load(cls, path: str) -> "WordTokenizer":
-        if path not in _LOADED:
-            _LOADED[path] = cls(path)
-        return _LOADED[path]
+        return held(f"words {path}", lambda: cls(path))
 
 
 class SumOfSquares:
@@ -135,10 +136,24 @@ class SumOfSquares:
         self.level: dict[int, int] = {}
         self.opened = 0
 
-    def place(self, s: int) -> tuple[int, int]:
+    def fullest(self) -> int:
+        """The highest level at which a window is open; 0 if none is."""
+        open_ = np.flatnonzero(self.count)
+        return int(open_[-1]) if len(open_) else 0
+
+    def fill(self, h: int) -> int:
+        """Fills a window of level h to the brim; returns it."""
+        w = self.at[h].pop()
+        self.count[h] -= 1
+        self.level.pop(w)
+        return w
+
+    def place(self, s: int, new: bool = True) -> tuple[int, int]:
+        """`new`: whether a new window may be opened."""
         count, window = self.count, self.window
         levels = np.flatnonzero(count[: window - s + 1])  # count[0] is 0: level 0 is added
-        levels = np.append(levels, 0)
+        if new or not len(levels):
+            levels = np.append(levels, 0)
         change = 2 * count[levels + s] + 1
         change[levels + s == window] = 0
         change = change + np.where(levels > 0, 1 - 2 * count[levels], 0)
@@ -190,16 +205,20 @@ class Packer:
             yield from self._sequence([(doc_id, at // 4, ids[at : at + whole], tokens)])
         if full == len(ids):
             return
-        rest = (doc_id, full // 4, ids[full:], tokens)
-        w, level = self.levels.place(len(rest[2]) // 4)
-        pieces = self.open.setdefault(w, [])
-        pieces.append(rest)
+        at, new = full, len(self.open) < self.max_open
+        if not new:
+            h = self.levels.fullest()
+            room = 4 * (self.window - h)
+            if len(ids) - at > room:
+                w = self.levels.fill(h)
+                yield from self._sequence([*self.open.pop(w), (doc_id, at // 4, ids[at : at + room], tokens)])
+                at, new = at + room, True
+        w, _ = self.levels.place((len(ids) - at) // 4, new)
+        self.open.setdefault(w, []).append((doc_id, at // 4, ids[at:], tokens))
         if w not in self.levels.level:
             yield from self._sequence(self.open.pop(w))
-        elif len(self.open) > self.max_open:
-            yield from self.finish(last=False)
 
-    def finish(self, last: bool = True) -> Iterator[tuple]:
+    def finish(self) -> Iterator[tuple]:
         """Empties the open windows into full sequences; what is left is cut to powers of two."""
         stream = [piece for w in self.levels.close_all() for piece in self.open.pop(w)]
         left = sum(len(x[2]) // 4 for x in stream)

@@ -43,6 +43,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from settlekit.llm.common import held
+
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 9000
 CHANCE, SPARSE = 0.05, 1.0
 STEMS = (4, 5, 6)
@@ -181,8 +183,6 @@ def stem_of(word: str, exact: dict[str, float]) -> str | None:
 class Scorer:
     """A model in a worker, with the words met so far that are no hits."""
 
-    loaded: dict[str, "Scorer"] = {}
-
     def __init__(self, model: Model) -> None:
         self.model, self.lexicon = model, Lexicon(list(model.weights))
         self.clean: set[str] = set()
@@ -190,10 +190,7 @@ class Scorer:
 
     @classmethod
     def of(cls, model: Model) -> "Scorer":
-        if model.key not in cls.loaded:
-            cls.loaded.clear()
-            cls.loaded[model.key] = cls(model)
-        return cls.loaded[model.key]
+        return held(f"toxicity {model.key}", lambda: cls(model))
 
     def _weigh(self, word: str) -> tuple[str, float] | None:
         found = self.lexicon.match(word)

@@ -238,3 +238,27 @@ def test_against_duckdb(spark, tmp_path, name):
     want = con.sql(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("most", [256, 8])
+def test_few_tokens_leave_by_a_flush(most):
+    """Uniform remainders of 20,000 documents in one task: what is laid end to end at the end is a
+    small part, and no more windows than allowed are ever open."""
+    random = np.random.default_rng(4)
+    packer = packing.Packer(packing.WINDOW, 0, most)
+    lengths = random.integers(1, packing.WINDOW, size=20_000)
+    rows, widest = [], 0
+    for i, n in enumerate(lengths.tolist()):
+        rows += packer.add(i, b"\x01\0\0\0" * n)
+        widest = max(widest, len(packer.open))
+    at_end = list(packer.finish())
+    assert widest <= most and sum(r[2] for r in at_end) < 0.05 * lengths.sum()
+    by_doc, by_sequence = {}, {}
+    for r in rows + at_end:
+        by_doc.setdefault(r[0], []).append((r[1], r[2]))
+        by_sequence.setdefault(r[5], []).append((r[6], r[2]))
+    for i, n in enumerate(lengths.tolist()):
+        assert sum(c for _, c in by_doc[i]) == n and sorted(by_doc[i])[0][0] == 0
+    sizes = [sum(n for _, n in x) for x in by_sequence.values()]
+    assert all(n == packing.WINDOW or n & (n - 1) == 0 for n in sizes)
+    assert all(sorted(x)[0][0] == 0 for x in by_sequence.values())

@@ -514,3 +514,33 @@ def test_the_threshold_errs_least():
     assert toxicity.threshold(found, 1.0, 1.0) == (3.0 + 6.5) / 2
     assert 0 < toxicity.threshold(found, 10.0, 1.0) < 3.0
     assert toxicity.threshold([(-2.0, False), (5.0, True)], 1.0, 1.0) == 2.5
+
+
+STORY = "<p>" + "A long story about the river and the boats that come home. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("html, want", [
+    (f'<div id="content"><h1>Title</h1>{STORY}</div><section class="latest"><article><h3>Other teaser</h3></article></section>', "Title"),
+    ('<div class="story"><p>text one, which is longer</p></div><article class="card">teaser</article>', "text one"),
+    (f"<div>short note</div><article>{STORY}</article>", "A long story"),
+    (f"<p>{'x ' * 3000}</p><main><p>the main text</p></main>", "the main text"),
+])
+def test_articles_that_are_teasers_do_not_win(html, want):
+    blocks, _ = htmltext.parse(html)
+    assert blocks[0].text.startswith(want)
+    assert not any("teaser" in b.text for b in blocks if b.main) or "teaser" not in want
+
+
+@pytest.mark.parametrize("name", ["share-buttons", "post-tags", "reader-responses", "comment-list"])
+def test_noise_inside_an_article(name):
+    blocks, _ = htmltext.parse(f'<div class="content-sidebar-wrap"><article><p>A text of its own</p><div class="{name}"><p>Share</p></div></article></div>')
+    assert [b.text for b in blocks] == ["A text of its own"]
+
+
+@pytest.mark.parametrize("legal", ["All rights reserved by the owner of this site. ", "All rights reserved. " * 60])
+def test_a_long_block_on_every_page_is_cleaned(spark, legal):
+    page = "<div><div>Home News Sport Weather</div><div>{0} first words of its own story</div><div>and {0} others</div><div>{1}</div></div>"
+    rows = [(i, f"https://x.example/{i}", page.format(f"page{i} " * 5, legal)) for i in range(60)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(60):
+        assert got[i] == "\n".join([f"{('page%d ' % i) * 5}first words of its own story".replace("  ", " "), f"and {('page%d ' % i) * 5}others"])
