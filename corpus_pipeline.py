@@ -9,7 +9,7 @@ read again as the next stage's documents. All but the last return the columns of
 3. MinHash near-dedup: the document with the smallest id of each group of near-duplicates stays,
    once.
 4. mixing: the documents in training order, each as often as the mixture takes it; the one on a
-   source's boundary is cut to the words that the source still needs.
+   source's boundary is taken whole or left out, whichever is nearer to the source's target.
 5. packing: sequences of tokens, a row per piece.
 
 Nulls, empty and long texts, repeated rows and empty tables: see the operators' modules. A null
@@ -48,7 +48,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, whole=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
