@@ -539,7 +539,7 @@ def test_noise_inside_an_article(name):
 
 @pytest.mark.parametrize("legal", ["All rights reserved by the owner of this site. ", "All rights reserved. " * 60])
 def test_a_long_block_on_every_page_is_cleaned(spark, legal):
-    page = "<div>Home News Sport Weather</div><div><p>{0}first words of its own</p><p>and {0}others</p></div><div>{1}</div>"
+    page = "<div><div>Home News Sport Weather</div></div><div><p>{0}first words of its own</p><p>and {0}others</p></div><div><div>{1}</div></div>"
     rows = [(i, f"https://x.example/{i}", page.format(f"page{i} " * 5, legal)) for i in range(60)]
     got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"{f'page{i} ' * 5}first words of its own\nand {f'page{i} ' * 5}others" for i in range(60)}
