@@ -20,6 +20,10 @@ from ..functions.order import COURTESY
 from ..sources import Tables
 
 
+LOT = ["edition", "event", "item_name", "item_type", "list_price"]
+EVENT = ["edition", "event"]
+
+
 def _copies(ledger: DataFrame) -> Column:
     """How many equal rows a row stands for."""
     return F.col("copies") if "copies" in ledger.columns else F.lit(1).cast("long")
@@ -46,9 +50,11 @@ def lots(ledger: DataFrame, editions: Sequence[str] | None = None) -> DataFrame:
     """Per lot (event, item, type, list price) the items sold and the producer total."""
     if editions is not None:
         ledger = ledger.where(F.col("edition").isin(list(editions)))
-    keys = ["edition", "event", "item_name", "item_type", "list_price"]
-    counted = _per_fraction(ledger, keys, producer="producer_total")
-    return counted.groupBy(*keys).agg(_items().alias("items_sold"), total(F.col("producer")).alias("producer_total"))
+    return _lots(_per_fraction(ledger, LOT, producer="producer_total"))
+
+
+def _lots(counted: DataFrame) -> DataFrame:
+    return counted.groupBy(*LOT).agg(_items().alias("items_sold"), total(F.col("producer")).alias("producer_total"))
 
 
 def producer_totals(ledger: DataFrame) -> DataFrame:
@@ -61,9 +67,11 @@ def producer_totals(ledger: DataFrame) -> DataFrame:
 
 def courtesies(ledger: DataFrame) -> DataFrame:
     """Courtesies per event and what their issue costs the producer."""
-    keys = ["edition", "event"]
-    counted = _per_fraction(ledger.where(F.col("payment_method") == COURTESY), keys, cost="platform_issue_fixed")
-    return counted.groupBy(*keys).agg(_items().alias("courtesies"), total(F.col("cost")).alias("issue_cost"))
+    return _courtesies(_per_fraction(ledger.where(F.col("payment_method") == COURTESY), EVENT, cost="platform_issue_fixed"))
+
+
+def _courtesies(counted: DataFrame) -> DataFrame:
+    return counted.groupBy(*EVENT).agg(_items().alias("courtesies"), total(F.col("cost")).alias("issue_cost"))
 
 
 def weekly(ledger: DataFrame) -> DataFrame:
@@ -92,3 +100,32 @@ def reconcile(ledger: DataFrame, tables: Tables) -> DataFrame:
         "order_total",
         (six("ledger_amount") - six("order_total")).cast("double").alias("difference"),
     )
+
+
+def week_sums(ledger: DataFrame) -> dict[str, DataFrame]:
+    """What P01-P04 need of each settlement week: counts and whole-unit sums, which add up over
+    weeks without rounding. `_rows` is above 0 in every row."""
+    week = "settlement_week"
+    sums = lambda *cs: [F.sum(_units(ledger, c)).alias(c) for c in cs]
+    rows = F.sum(_copies(ledger)).alias("_rows")
+    return {
+        "lots": _per_fraction(ledger, [week, *LOT], producer="producer_total"),
+        "producer_totals": ledger.groupBy(week, *EVENT, "settlement_status").agg(rows, *sums("producer_total")),
+        "courtesies": _per_fraction(ledger.where(F.col("payment_method") == COURTESY), [week, *EVENT], cost="platform_issue_fixed"),
+        "weekly": ledger.groupBy(week, "settlement_status").agg(rows, *sums("instalment_amount", "producer_total", "gateway_cost")),
+    }
+
+
+def from_week_sums(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """P01-P04 from the sums of all weeks (:func:`week_sums`, as read back)."""
+    of = {name: df.where(F.col("_rows") > 0) for name, df in parts.items()}
+    again = lambda df, keys, name: df.groupBy(*keys, "_n").agg(F.sum("_rows").alias("_rows"), F.sum(name).alias(name))
+    amounts = ("instalment_amount", "producer_total", "gateway_cost")
+    return {
+        "lots": _lots(again(of["lots"], LOT, "producer")),
+        "producer_totals": of["producer_totals"].groupBy(*EVENT, "settlement_status").agg(
+            total(F.col("producer_total")).alias("producer_total"), F.sum("_rows").alias("rows")
+        ),
+        "courtesies": _courtesies(again(of["courtesies"], EVENT, "cost")),
+        "weekly": of["weekly"].groupBy("settlement_week", "settlement_status").agg(*[total(F.col(c)).alias(c) for c in amounts]),
+    }

@@ -1,6 +1,8 @@
 """The written-ledger job, the ordered ledger and the display names."""
 
 import datetime as dt
+import os
+from urllib.parse import quote
 from fractions import Fraction
 
 import pytest
@@ -127,3 +129,36 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def _same(one, other):
+    rows = lambda df: sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=str)
+    return rows(one) == rows(other)
+
+
+def test_week_sums_read_only_the_weeks_that_changed(spark, small_tables, tmp_path):
+    path, sums = f"{tmp_path}/ledger", f"{tmp_path}/sums"
+    written = jobs.write_ledger(small_tables, PARAMS, path)
+    jobs.update_week_sums(written, sums)
+    found = jobs.reports_of_week_sums(spark, sums, written)
+    for name, df in jobs.report_all(written, small_tables).items():
+        assert name == "reconcile" or _same(found[name], df), name
+
+    # one week loses some rows, another all, and those without a week are read again
+    counts = {r[0]: r[1] for r in written.groupBy("settlement_week").count().collect() if r[0] is not None}
+    less, gone = sorted(counts, key=counts.get)[-2:]
+    kept = written.where(F.col("settlement_week") == less).where("order_id % 2 = 0").drop("settlement_week").collect()
+    schema = written.drop("settlement_week").schema
+    folder = lambda week: next(d for d in os.scandir(path) if d.name == f"settlement_week={quote(week, safe=' -')}").path
+    spark.createDataFrame(kept, schema).coalesce(1).write.mode("overwrite").parquet(folder(less))
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(folder(gone))
+    written = spark.read.schema(written.schema).parquet(path).select(*written.columns)
+    changed = [less, gone, None]
+    files = jobs._of_weeks(written, changed).select(F.input_file_name()).distinct().count()
+    assert files < written.select(F.input_file_name()).distinct().count() / 4
+
+    jobs.update_week_sums(written, sums, changed)
+    found = jobs.reports_of_week_sums(spark, sums, written)
+    for name, df in jobs.report_all(written, small_tables).items():
+        assert name == "reconcile" or _same(found[name], df), name
+    assert found["weekly"].where(F.col("settlement_week") == gone).isEmpty()
