@@ -115,6 +115,41 @@ def test_components(spark):
     assert got == {**{i: 1 for i in (1, 2, 3, 4)}, **{i: 7 for i in (7, 8, 9)}, **{i: 10 for i in range(10, 16)}}
 
 
+@pytest.mark.parametrize("rows", [100_000, 20])
+def test_components_of_random_graphs(spark, monkeypatch, rows):
+    """In one partition, and in many that share components; long paths, stars, loops, nulls, repeats."""
+    monkeypatch.setattr(components, "PART_ROWS", rows)
+    rng = random.Random(rows)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(1000 + i, 1001 + i) for i in range(60)]
+    edges += [(2000, 2001 + i) for i in range(80)] + [(5, 5), (7000, 7000), (None, 3), (4, None)] + edges[:20]
+    rng.shuffle(edges)
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    df = spark.createDataFrame(edges, "a long, b long").repartition(12)
+    got = [tuple(r) for r in components.components(df).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in parent)
+    assert components.components(df.limit(0)).isEmpty()
+
+
+def test_near_dedup_starts_few_jobs(spark):
+    """Each saved table is a query whose plan and code the driver keeps."""
+    sc = spark.sparkContext
+    sc.setJobGroup("few jobs", "near-dedup")
+    neardup.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).count()
+    found = len(sc.statusTracker().getJobIdsForGroup("few jobs"))
+    sc.setJobGroup("others", "others")
+    assert 0 < found <= 70
+
+
 def test_signatures_agree_as_sets_do():
     rng = np.random.default_rng(0)
     agree = []
