@@ -138,3 +138,20 @@ def test_run_of_odd_rows(spark, tmp_path):
             by.setdefault(r.sequence_id, []).append((r.offset, r.length))
         assert all(sum(n for _, n in x) <= packing.WINDOW for x in by.values())
         assert {r.doc_id for r in found} <= {r[0] for r in some}
+
+
+def test_toxic_documents_of_every_language_go(spark, tmp_path):
+    """On sf0.1, where each language has toxic labels enough to learn from."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    corpus_pipeline.language(spark, docs, folder).write.parquet(f"{tmp_path}/0")
+    before = spark.read.parquet(f"{tmp_path}/0")
+    left = ids(corpus_pipeline.toxic(spark, before, folder))
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    by_language = {}
+    for r in before.select("doc_id", "lang").collect():
+        if r.doc_id in labels:
+            by_language.setdefault((r.lang, labels[r.doc_id]), []).append(r.doc_id not in left)
+    for (lang, label), gone in by_language.items():
+        assert sum(gone) >= 0.8 * len(gone) if label else sum(gone) <= 0.03 * len(gone), (lang, label, sum(gone), len(gone))
+    assert {lang for lang, label in by_language if label} == {"en", "de", "fr", "es"}
