@@ -7,7 +7,8 @@ a kd-tree. A query takes its leaves in order of their projected distance and ver
 by the distance of the original vectors. Once all rows within projected distance D have been
 verified, a row at true distance at most the k-th found, d_k, is still unseen with probability at
 most 1 - F(D^2 / d_k^2); the query stops when F reaches `CONFIDENCE`. The k-th distances are
-shared between shards by the two waves of `vectors.search`.
+shared between shards by the two waves of `vectors.search`; a cell whose ball is farther than d_k
+holds no nearer row and is not asked.
 
 Nothing but that test ends a search: there is no cap on rows verified, and a confidence of 1 reads
 all rows. Distances are exact, in double precision, on the original vectors.
@@ -104,7 +105,7 @@ def search_leaves(ids, rows, query_ids, queries, bounds, k, confidence=CONFIDENC
             chosen = order[active, turn]
             reach = gap[active, chosen] * (1 - 1e-9)
             # at distance 0 nothing is ruled out: equal rows are all verified
-            limit = np.minimum(stop_at, 1e300) * np.minimum(least[block[active]], 1e150) ** 2
+            limit = min(stop_at, 1e6) * np.minimum(least[block[active]], 1e150) ** 2
             going = (reach < limit) | (reach == 0) | np.isinf(stop_at)
             active, chosen = active[going], chosen[going]
             if not len(active):
@@ -133,6 +134,17 @@ def search_leaves(ids, rows, query_ids, queries, bounds, k, confidence=CONFIDENC
     return number, top_ids[number, place], top[number, place], verified
 
 
+def reaches(queries: np.ndarray, bounds: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Whether a ball may hold a row at a query's bound or nearer."""
+    found = np.empty((len(queries), len(centres)), dtype=bool)
+    sizes = np.sqrt((centres * centres).sum(axis=1)) + radii
+    for i, q in enumerate(queries):
+        away = centres - q
+        least = np.sqrt((away * away).sum(axis=1)) - radii - 1e-9 * (np.sqrt((q * q).sum()) + sizes)
+        found[i] = ~(least > bounds[i])  # no bound, or a distance that is no number: it may
+    return found
+
+
 def nearest(rows: DataFrame, every: int, k: int, confidence: float = CONFIDENCE) -> DataFrame:
     """query_id, rank, vec_id, score (distance) over `rows` of (vec_id, embedding)."""
 
@@ -140,4 +152,4 @@ def nearest(rows: DataFrame, every: int, k: int, confidence: float = CONFIDENCE)
         return search_leaves(ids, vectors_, query_ids, queries, bounds, k, confidence)[:3]
 
     base = vectors.usable(rows, "vec_id", "embedding", zero=False)
-    return vectors.search(base, every, k, F.col("v"), "double", False, run)
+    return vectors.search(base, every, k, F.col("v"), "double", False, run, reaches)

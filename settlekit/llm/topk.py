@@ -5,8 +5,8 @@ inner product with a query q than q.c + |q| r, so a node whose bound is below th
 best score holds nothing that it needs. All queries of a task descend together: at each node
 those whose bound still reaches their k-th score go on, the child with the larger bound first,
 and every leaf's scores (one matrix product) raise the k-th scores at once. Between shards the
-k-th scores are shared by the two waves of `vectors.search`: the shard of a query's own row sets
-it, all other shards start from it. Nothing is approximate: bounds carry a margin for rounding, and
+k-th scores are shared by the two waves of `vectors.search`: a shard of the query's own cell sets
+it, and only cells whose ball reaches it are asked, and start from it. Nothing is approximate: bounds carry a margin for rounding, and
 a bound equal to the k-th score is followed, for ties go to the smaller id.
 
 Scores are integers. Products are summed as doubles where all sums stay below 2^53 and are exact,
@@ -115,6 +115,14 @@ def search_tree(tree: BallTree, ids: np.ndarray, query_ids: np.ndarray, queries:
     return number, top_ids[number, place], top[number, place], visited
 
 
+def reaches(queries: np.ndarray, bounds: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Whether a ball may hold a row whose inner product is a query's bound or more."""
+    norms = np.sqrt((queries * queries).sum(axis=1))[:, None]
+    size = norms * (np.sqrt((centres * centres).sum(axis=1)) + radii)
+    upper = queries @ centres.T + norms * radii + 1e-9 * size + 1e-6
+    return ~(upper < bounds[:, None])  # no bound, or a product that is no number: it may
+
+
 def _exact(ids, rows, query_ids, queries, bounds, k):
     """Scores as Python integers, for components too large for doubles."""
     out: list[tuple[int, int, int]] = []
@@ -141,4 +149,4 @@ def inner_products(rows: DataFrame, every: int, k: int, scale: int = SCALE) -> D
 
     base = vectors.usable(rows, "vec_id", "embedding", zero=True)
     prepare = F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    return vectors.search(base, every, k, prepare, "long", True, run)
+    return vectors.search(base, every, k, prepare, "long", True, run, reaches)

@@ -55,6 +55,48 @@ def test_bounds_prune_and_are_shared():
     assert helped <= alone < leaves
 
 
+def far_apart(n=20_000, dim=32):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(24, dim))
+    return centres[rng.integers(0, 24, n)] + 0.05 * rng.normal(size=(n, dim))
+
+
+@pytest.mark.parametrize("near", [True, False])
+def test_a_query_asks_only_cells_in_reach(spark, monkeypatch, near):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 500)
+    x, asked = far_apart(6000), []
+    pairs = vectors.route
+    monkeypatch.setattr(vectors, "route", lambda first, balls, reaches: asked.append((pairs(first, balls, reaches).count(), balls)) or pairs(first, balls, reaches))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    if near:
+        assert {(r.query_id, r.vec_id) for r in ann.nearest(df, 100, 3).collect()} >= {
+            (i, int(j)) for i in (0, 300) for j in np.argsort(((x - x[i]) ** 2).sum(axis=1))[1:2]
+        }
+    else:
+        assert sorted(map(tuple, topk.inner_products(df, 100, 5).collect())) == brute_topk(x, 100, 5)
+    (n, balls), = asked
+    assert sum(balls.parts.values()) >= 12
+    assert n < 60 * sum(balls.parts.values()) / 2
+
+
+def test_cells_hold_all_rows_and_copies_stay_together():
+    x = clustered(3000)
+    for sample in (x[:200], np.repeat(x[:1], 50, axis=0), x[:1]):
+        tree = vectors.Cells(sample, 12)
+        cell = tree.place(x.astype(float))
+        assert cell.min() >= 0 and cell.max() < len(tree.centres) <= 12
+        assert len(set(cell[(x == x[0]).all(axis=1)])) == 1
+    assert len(vectors.Cells(x[:200], 12).centres) >= 6
+
+
+def test_one_vector_of_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 100)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 10)
+    x = clustered(1500)
+    x[::3] = x[0]
+    assert sorted(map(tuple, topk.inner_products(frame(spark, x), 50, 5).collect())) == brute_topk(x, 50, 5)
+
+
 def test_huge_components_are_exact_or_refused(spark):
     big = spark.createDataFrame([(i, [1e6 + i, -2e6, float(i)]) for i in range(60)], "vec_id long, embedding array<double>")
     rows = topk.inner_products(big, 50, 5).collect()
