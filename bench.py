@@ -22,7 +22,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from settlekit import Params, ledger, read_tables, reports  # noqa: E402
+from settlekit import Params, folded_ledger, ledger, read_tables, reports  # noqa: E402
 from settlekit.plans import jobs  # noqa: E402
 from settlekit.plans.ledger import ordered  # noqa: E402
 from settlekit.plans.views import EXTRA_IDS, PARTICIPANT_IDS  # noqa: E402
@@ -42,10 +42,10 @@ def headline(read):
         "filter_orders": lambda: ledger(read(), Params(as_of=AS_OF, order_ids=[1, 3, 5, 7, 32, 37, 70, 100, 1000, 2000])),
         "filter_participants": lambda: ledger(read(), Params(as_of=AS_OF, participant_ids=PARTICIPANT_IDS)),
         "filter_extras": lambda: ledger(read(), Params(as_of=AS_OF, extra_ids=EXTRA_IDS)),
-        "lots": lambda: reports.lots(ledger(read(), base, weighted=True)),
-        "producer_totals": lambda: reports.producer_totals(ledger(read(), base, weighted=True)),
-        "courtesies": lambda: reports.courtesies(ledger(read(), base, weighted=True)),
-        "weekly": lambda: reports.weekly(ledger(read(), base, weighted=True)),
+        "lots": lambda: reports.lots(folded_ledger(read(), base, reports.LOT)),
+        "producer_totals": lambda: reports.producer_totals(folded_ledger(read(), base, reports.EVENT)),
+        "courtesies": lambda: reports.courtesies(folded_ledger(read(), base, reports.EVENT)),
+        "weekly": lambda: reports.weekly(folded_ledger(read(), base)),
         "reconcile": lambda: _reconcile(read(), base),
         # the job as deployed: write the ledger once, then the five reports from the written files
         # (flat week-sorted files: at sf0.1 a week directory would hold only ~4,000 rows)

@@ -6,12 +6,13 @@
 """
 
 from .operators.filters import Params
+from .plans.folded import folded_ledger
 from .plans.ledger import display_names, ledger, ledger_rows, ordered
 from .plans import reports
 from .session import build_session
 from .sources import Tables, read_tables
 
 __all__ = [
-    "Params", "Tables", "build_session", "display_names", "ledger", "ledger_rows", "ordered",
+    "Params", "Tables", "build_session", "display_names", "folded_ledger", "ledger", "ledger_rows", "ordered",
     "read_tables", "reports",
 ]

@@ -78,16 +78,18 @@ def revenue_splits() -> dict[str, Column]:
     }
 
 
-def issue_charges() -> dict[str, Column]:
+def issue_charges(seq: Column | None = None) -> dict[str, Column]:
     """Issue charges; the percentage falls whole on the first instalment and the
-    fixed charge only on courtesies that were not received by an owner change."""
+    fixed charge only on courtesies that were not received by an owner change. ``seq`` is the
+    instalment's number, the row's own if not given."""
     c = F.col
+    seq = c("instalment_seq") if seq is None else seq
     return {
         "platform_issue_pct": F.when(
-            c("instalment_seq") <= 1, c("producer_items") * c("issue_rate") * c("instalments")
+            seq <= 1, c("producer_items") * c("issue_rate") * c("instalments")
         ).otherwise(F.lit(0.0)),
         "platform_issue_fixed": F.when(
-            (c("instalment_seq") > 1)
+            (seq > 1)
             | (c("item_status_detail") == TAKEN_OVER)
             | (c("payment_method") != COURTESY),
             F.lit(0.0),
@@ -95,11 +97,13 @@ def issue_charges() -> dict[str, Column]:
     }
 
 
-def producer_total() -> Column:
-    """What the producer receives for the row."""
+def producer_total(charges: dict[str, Column] | None = None) -> Column:
+    """What the producer receives for the row, less its issue charges (the row's own if not
+    given)."""
     c = F.col
+    charges = charges or {name: c(name) for name in ("platform_issue_pct", "platform_issue_fixed")}
     return (c("producer_items") + c("producer_refund_cover") + c("producer_transfer")) - (
-        c("platform_issue_pct") + c("platform_issue_fixed")
+        charges["platform_issue_pct"] + charges["platform_issue_fixed"]
     )
 
 

@@ -48,6 +48,11 @@ def ledger_rows(tables: Tables, params: Params | None = None, weighted: bool = F
         settlement_status(F.col("settlement_date"), params.as_of).alias("settlement_status"),
         *[v.alias(k) for k, v in presented().items()],
     )
+    return chosen_rows(rows, params)
+
+
+def chosen_rows(rows: DataFrame, params: Params) -> DataFrame:
+    """F11-F13 on rows with a settlement date and class."""
     return apply(
         rows,
         between(F.col("settlement_date"), params.settled_between),

@@ -6,6 +6,8 @@ Money is summed in whole units of 1e-12 and the total rounded once (:func:`~sett
 do not depend on the order rows arrive in. Items are counted, not summed: rows per instalment
 count first, then each count over its instalments. A weighted ledger (``ledger(...,
 weighted=True)``) counts each row ``copies`` times, in the aggregate itself: nothing is expanded.
+P01-P04 also take a :func:`~settlekit.plans.folded.folded_ledger` by their keys (``LOT``, ``EVENT``,
+or none for P04), whose items are added up before they are exploded into instalments.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ def _copies(ledger: DataFrame) -> Column:
 
 def _units(ledger: DataFrame, column: str) -> Column:
     """A column in units, for all copies of the row."""
+    if f"{column}_units" in ledger.columns:  # a folded ledger has them added up
+        return F.col(f"{column}_units")
     return units(F.col(column)) * _copies(ledger) if "copies" in ledger.columns else units(F.col(column))
 
 

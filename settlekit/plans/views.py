@@ -21,6 +21,7 @@ from ..operators.trades import attach_links, trade_links
 from ..sources import SCHEMAS, Tables
 from ..sources import adapter
 from . import checks, reports
+from .folded import folded_ledger
 from .ledger import instalment_rows, item_rows, ledger, ledger_rows, ordered
 
 AS_OF = dt.date(2001, 7, 1)
@@ -232,6 +233,10 @@ def _ledger(spark, sf_dir, weighted=False, **kw) -> DataFrame:
     return ledger(_tables(spark, sf_dir), Params(as_of=AS_OF, **kw), weighted)
 
 
+def _folded(spark, sf_dir, keys=()) -> DataFrame:
+    return folded_ledger(_tables(spark, sf_dir), Params(as_of=AS_OF), keys)
+
+
 def filter_editions(spark, sf_dir):
     return _ledger(spark, sf_dir, editions=EDITIONS)
 
@@ -290,19 +295,19 @@ def ledger_ordered(spark, sf_dir):
 
 
 def lots(spark, sf_dir):
-    return reports.lots(_ledger(spark, sf_dir, weighted=True))
+    return reports.lots(_folded(spark, sf_dir, reports.LOT))
 
 
 def producer_totals(spark, sf_dir):
-    return reports.producer_totals(_ledger(spark, sf_dir, weighted=True))
+    return reports.producer_totals(_folded(spark, sf_dir, reports.EVENT))
 
 
 def courtesies(spark, sf_dir):
-    return reports.courtesies(_ledger(spark, sf_dir, weighted=True))
+    return reports.courtesies(_folded(spark, sf_dir, reports.EVENT))
 
 
 def weekly(spark, sf_dir):
-    return reports.weekly(_ledger(spark, sf_dir, weighted=True))
+    return reports.weekly(_folded(spark, sf_dir))
 
 
 def reconcile(spark, sf_dir):

@@ -6,7 +6,11 @@ import tempfile
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from settlekit import Params, ledger, read_tables, reports
+from settlekit.functions.present import FUTURE
+from settlekit.plans.folded import folded_ledger
 from settlekit.sources import adapter, write_tables
 
 from conftest import SF001
@@ -140,3 +144,47 @@ def test_reports_of_a_weighted_ledger_expand_nothing(spark, parquet_tables):
         plan = plan_of(df)
         assert "REBALANCE" not in plan and "_copy" not in plan and "_chunk" not in plan, name
         assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, expanded[name].collect()), key=str), name
+
+
+@pytest.mark.parametrize(
+    "chosen",
+    [
+        {},
+        {"settled_between": (dt.date(1998, 1, 1), dt.date(1998, 3, 31))},
+        {"status": FUTURE, "bought_between": (dt.date(1996, 1, 1), dt.date(1998, 1, 31))},
+    ],
+)
+def test_reports_of_a_folded_ledger_equal_those_of_the_ledger(spark, parquet_tables, chosen):
+    params = Params(as_of=dt.date(1998, 2, 1), **chosen)
+    whole = ledger(parquet_tables, params).persist()
+    made = {
+        "lots": (reports.lots, reports.LOT),
+        "producer_totals": (reports.producer_totals, reports.EVENT),
+        "courtesies": (reports.courtesies, reports.EVENT),
+        "weekly": (reports.weekly, []),
+    }
+    for name, (report, keys) in made.items():
+        got = report(folded_ledger(parquet_tables, params, keys))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, report(whole).collect()), key=str), name
+        # items are added up below the only explode of a plan
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Generate explode(instalment_plan") :]
+        assert below.count("Generate explode(instalment_plan") == 1 and "Aggregate [" in below.split("Join")[0], name
+    whole.unpersist()
+
+
+def test_a_folded_ledger_keeps_repeated_dates_and_odd_plans(spark, parquet_tables):
+    """A calendar date listed three times, plans with a null number, and instalments without a method."""
+    weeks = parquet_tables.weeksarrange
+    twice = weeks.unionByName(weeks.where("dayofmonth(data) < 9")).unionByName(weeks.where("dayofmonth(data) < 4"))
+    ranges = parquet_tables.installmentsrange.withColumn(
+        "installmentsArray", F.when(F.col("installments") == 3, F.lit("[1, null, 2, 3]")).otherwise(F.col("installmentsArray"))
+    )
+    tables = parquet_tables.with_frames(weeksarrange=twice, installmentsrange=ranges)
+    params = Params(as_of=dt.date(1998, 2, 1))
+    whole = ledger(tables, params).persist()
+    assert whole.where("settlement_date is null").count() > 0
+    for report, keys in [(reports.lots, reports.LOT), (reports.producer_totals, reports.EVENT), (reports.weekly, [])]:
+        got = report(folded_ledger(tables, params, keys)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, report(whole).collect()), key=str)
+    whole.unpersist()
