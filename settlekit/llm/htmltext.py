@@ -29,9 +29,11 @@ layout wrappers have such words too (`has-sidebar`): it does not count for an el
 
 The tree is counted with DataFrame aggregations: rows of (host, element, text digest, page
 digest), combined on the map side; a host with a third of all pages is spread over all tasks. The
-elements and texts to remove are a table of (host, keys); it is saved, and broadcast if it is small
-(`BROADCAST_ROWS` hosts and keys), else joined by a shuffle on the host, where AQE splits a
-hot host. Pages are parsed in two passes and are not shuffled in the first case.
+elements and texts to remove are a table of (host, key); it is saved, and if it has at most
+`BROADCAST_ROWS` rows broadcast once to each worker, so that no page carries its host's keys: pages are
+parsed twice and not shuffled. Beyond, the keys that a page itself holds are joined with the table by
+host and key, and come back to the page by a digest of its html; AQE splits keys that very many
+pages hold. The result is the same.
 
 Edge cases: null, empty or broken html gives what text can be found, or an empty text; an
 unclosed tag, comment, script or quote ends with the page, but an unclosed title, noscript,
@@ -398,8 +400,8 @@ def text_key(path: int, text: str) -> int:
 
 
 def noise(pages: DataFrame) -> DataFrame:
-    """(host, paths): of each host that has any, the elements that hold only texts of low
-    importance, and the keys of low texts in elements that are low in the mean."""
+    """(host, key): of each host, the elements that hold only texts of low importance, and the
+    keys of low texts in elements that are low in the mean."""
     rows = tree_rows(pages)
     counts = saved(text_counts(rows))
     found = importance(rows, counts).filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
@@ -408,29 +410,63 @@ def noise(pages: DataFrame) -> DataFrame:
     low = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double")) < LEAST_IMPORTANCE
     # at most pages ^ LEAST_IMPORTANCE low texts for each text that a page has there
     elements = texts.groupBy("host", "path").agg(F.collect_list(F.when(low, F.col("digest"))).alias("low"), F.count(F.when(~low, 1)).alias("others"))
-    keys = elements.select("host", F.explode(F.when(F.col("others") == 0, F.array("path")).otherwise(F.col("low"))).alias("key"))
-    return keys.groupBy("host").agg(F.collect_set("key").alias("paths"))
+    return elements.select("host", F.explode(F.when(F.col("others") == 0, F.array("path")).otherwise(F.col("low"))).alias("key")).distinct()
+
+
+def _keys(block) -> tuple[int, ...]:
+    """The keys under which a block may be removed."""
+    return (block.paths[-1], text_key(block.paths[-1], block.text)) if block.paths else ()
+
+
+def drops(pages: DataFrame, removed: DataFrame) -> DataFrame:
+    """(host, page, keys): the keys of `removed` (host, key) that each of `pages` (host, page, html)
+    holds: as many as it has blocks, however many its host has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512).to_pydict()
+                rows = [
+                    (host, page, key)
+                    for host, page, html in zip(part["host"], part["page"], part["html"])
+                    for key in {k for b in parse(html, known)[0] for k in _keys(b)}
+                ]
+                if rows:
+                    kinds = pa.string(), pa.string(), pa.int64()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["host", "page", "key"])
+
+    held = pages.select("host", "page", "html").mapInArrow(run, "host string, page string, key long")
+    return held.join(removed, ["host", "key"]).groupBy("host", "page").agg(F.collect_set("key").alias("keys"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page (page_id, url, html)."""
     removed = saved(noise(pages))
-    total = removed.agg(F.sum(F.size("paths") + 1)).first()[0] or 0
-    hosts = removed.select(F.col("host").alias("_host"), "paths")
-    hosts = F.broadcast(hosts) if total <= BROADCAST_ROWS else hosts
-    url = F.col("url").cast("string")
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST.pattern, 1))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"), host.alias("_h"))
-    rows = rows.join(hosts, F.col("_h") == F.col("_host"), "left").select("page_id", "url", "html", "paths")
+    url, html = F.col("url").cast("string"), F.col("html").cast("string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
+    of_hosts = None
+    if removed.count() <= BROADCAST_ROWS:
+        found: dict[str, set[int]] = {}
+        for host, key in removed.select("host", "key").collect():
+            found.setdefault(host, set()).add(key)
+        of_hosts = pages.sparkSession.sparkContext.broadcast(found)
+        rows = rows.withColumn("keys", F.lit(None).cast("array<long>"))
+    else:
+        host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST.pattern, 1))
+        rows = rows.withColumn("host", host).withColumn("page", F.md5(F.coalesce("html", F.lit(""))))
+        some = drops(rows.filter("html is not null"), removed)
+        rows = rows.join(some, ["host", "page"], "left").select("page_id", "url", "html", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
+        nothing: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, texts = batch.slice(at, 512), []
-                for html, paths in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    blocks, drop = parse(html or "", known)[0], set(paths or ())
-                    texts.append("\n".join(b.text for b in blocks if not (drop and b.paths and (b.paths[-1] in drop or text_key(b.paths[-1], b.text) in drop))))
+                for url, html, keys in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                    drop = of_hosts.value.get(host_of(url), nothing) if of_hosts else set(keys or ())
+                    texts.append("\n".join(b.text for b in parse(html or "", known)[0] if drop.isdisjoint(_keys(b))))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],

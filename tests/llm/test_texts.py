@@ -578,3 +578,22 @@ def test_a_long_block_on_every_page_is_cleaned(spark, legal):
     rows = [(i, f"https://x.example/{i}", page.format(f"page{i} " * 5, legal)) for i in range(60)]
     got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"{f'page{i} ' * 5}first words of its own\nand {f'page{i} ' * 5}others" for i in range(60)}
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_a_page_carries_only_its_own_keys(spark, monkeypatch, limit):
+    """A host with many removed elements, and one that has none, by both ways."""
+    monkeypatch.setattr(htmltext, "BROADCAST_ROWS", limit)
+    notes = [f"<div><div><div>legal note {j} of this site</div></div></div>" for j in range(40)]
+    # each note is on most pages, beside one that is the page's own
+    page = lambda i: "<div>" + "".join(n for j, n in enumerate(notes) if (i + j) % 10) + f"<div><div><div>note {i}</div></div></div><p>{f'own words {i} ' * 30}</p><p>more of page {i}</p></div>"
+    rows = [(i, f"https://Hot.example/{i}", page(i)) for i in range(80)]
+    rows += [(100 + i, f"https://other.example/{i}", f"<p>one {i}</p><p>two {i}</p>") for i in range(9)] + [(200, None, None), (7, rows[7][1], rows[7][2])]
+    df = rows_of(spark, rows, "page_id long, url string, html string")
+    removed = htmltext.noise(df)
+    assert removed.count() >= 40 and {r.host for r in removed.collect()} == {"hot.example"}
+    carried = htmltext.drops(df.select(F.lit("hot.example").alias("host"), F.col("page_id").cast("string").alias("page"), F.coalesce("html", F.lit("")).alias("html")), removed)
+    assert 36 <= carried.agg(F.max(F.size("keys"))).first()[0] < removed.count()
+    got = sorted((r.page_id, r.text) for r in htmltext.extract(df).collect())
+    own = lambda i: f"note {i}\n{f'own words {i} ' * 30}".strip() + f"\nmore of page {i}"
+    assert got == sorted([(i, own(i)) for i in range(80)] + [(7, own(7)), (200, "")] + [(100 + i, f"one {i}\ntwo {i}") for i in range(9)])
