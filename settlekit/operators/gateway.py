@@ -31,13 +31,14 @@ def charge_table(gatecharges: DataFrame) -> DataFrame:
     )
 
 
-def attach_gateway_charge(rows: DataFrame, tables: Tables) -> DataFrame:
-    """Add ``gateway_charge_type``, ``gateway_charge_rate`` and ``gateway_cost``; a key that
-    repeats in the charge table repeats the row, as in the source."""
+def attach_charge_rate(items: DataFrame, tables: Tables) -> DataFrame:
+    """Add ``gateway_charge_type`` and ``gateway_charge_rate``; a key that repeats in the charge
+    table repeats the row, as in the source. No part of the key depends on the instalment, so
+    items are looked up before they become instalments."""
     c = F.col
     charges = charge_table(tables.gatecharges)
     brand = F.when(c("card_brand") == NO_BRAND_TICKET, F.lit(NO_BRAND_CHARGED_AS)).otherwise(c("card_brand"))
-    keyed = rows.select(
+    keyed = items.select(
         "*",
         F.lower(c("gateway")).alias("rk_gateway"),
         F.lower(c("payment_method")).alias("rk_method"),
@@ -51,10 +52,13 @@ def attach_gateway_charge(rows: DataFrame, tables: Tables) -> DataFrame:
         & (c("rk_instalments") == c("gk_instalments"))
     )
     joined = keyed.join(charges, cond, "left")
-    rate = F.coalesce(c("gk_amount"), F.lit(0.0))
     return joined.select(
-        *rows.columns,
+        *items.columns,
         F.coalesce(c("gk_type"), F.lit("Cortesia")).alias("gateway_charge_type"),
-        rate.alias("gateway_charge_rate"),
-        I.gateway_cost(rate).alias("gateway_cost"),
+        F.coalesce(c("gk_amount"), F.lit(0.0)).alias("gateway_charge_rate"),
     )
+
+
+def with_gateway_cost(rows: DataFrame) -> DataFrame:
+    """R43 on rows of :func:`attach_charge_rate` that have their amounts."""
+    return rows.select("*", I.gateway_cost(F.col("gateway_charge_rate")).alias("gateway_cost"))

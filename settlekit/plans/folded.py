@@ -24,7 +24,7 @@ from ..functions.money import units
 from ..functions.present import presented, settlement_status
 from ..operators.calendar import attach_week
 from ..operators.filters import Params, apply, between
-from ..operators.gateway import attach_gateway_charge
+from ..operators.gateway import attach_charge_rate, with_gateway_cost
 from ..sources import Tables
 from .ledger import chosen_rows, item_rows
 
@@ -45,7 +45,7 @@ def folded_ledger(tables: Tables, params: Params | None = None, keys: Sequence[s
     items = apply(item_rows(tables, params, weighted=True), between(c("purchase_date"), params.bought_between))
     items = items.select("*", *[v.alias(k) for k, v in I.instalment_amounts(n).items()])
     items = items.select("*", *[v.alias(k) for k, v in I.revenue_splits().items()])
-    items = attach_gateway_charge(items, tables)
+    items = with_gateway_cost(attach_charge_rate(items, tables))
 
     shown = presented()
     sums = {"copies": F.sum("copies"), **{name: F.sum(units(shown.get(name, c(name))) * c("copies")) for name in EVEN}}

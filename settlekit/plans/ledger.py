@@ -4,9 +4,9 @@ Plan shape (see README "Physical plan"):
 
 1. order context, one row per paid session (joins on the session id, one shuffle key);
 2. tickets and extras joined to their catalogue tables and to the context;
-3. union, then the instalment explode and all per-instalment arithmetic (narrow, one
-   whole-stage-codegen block);
-4. gateway charge and week calendar lookups (broadcast);
+3. union, gateway charge lookup per item, then the instalment explode and all per-instalment
+   arithmetic (narrow, one whole-stage-codegen block);
+4. week calendar lookup (broadcast);
 5. report filters and the final projection.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.present import LEDGER_COLUMNS, presented, settlement_status
 from ..operators.calendar import attach_week
 from ..operators.filters import Params, apply, between
-from ..operators.gateway import attach_gateway_charge
+from ..operators.gateway import attach_charge_rate, with_gateway_cost
 from ..operators.instalments import add_splits, explode_instalments
 from ..operators.items import items
 from ..sources import Tables
@@ -41,7 +41,8 @@ def ledger_rows(tables: Tables, params: Params | None = None, weighted: bool = F
     """Every computed column (the 47 output columns and the intermediate ones). Building the
     plan starts no Spark job."""
     params = params or Params()
-    rows = attach_gateway_charge(instalment_rows(tables, params, weighted), tables)
+    charged = attach_charge_rate(item_rows(tables, params, weighted), tables)
+    rows = with_gateway_cost(add_splits(explode_instalments(charged, params)))
     rows = attach_week(rows, tables)
     rows = rows.select(
         "*",

@@ -188,3 +188,11 @@ def test_a_folded_ledger_keeps_repeated_dates_and_odd_plans(spark, parquet_table
         got = report(folded_ledger(tables, params, keys)).collect()
         assert sorted(map(tuple, got), key=str) == sorted(map(tuple, report(whole).collect()), key=str)
     whole.unpersist()
+
+
+def test_charges_are_looked_up_per_item(spark, parquet_tables):
+    """The charge lookup sits below the instalment explode, in the ledger as in the folded one."""
+    for df in (ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1))), folded_ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1)))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        explode = plan.index("Generate explode(instalment_plan")
+        assert "gk_method" in plan[explode:] and "gk_method" not in plan[:explode]
