@@ -134,6 +134,10 @@ def queries() -> dict[str, str]:
             "SELECT order_id, purchase_date, payment_method, instalments, instalment_plan_text, gateway,"
             " gateway_order_ref, fixed_gateway_cost, card_prefix FROM ctx"
         ),
+        "bucketed_context": _with(
+            "SELECT order_id, purchase_date, payment_method, instalments, instalment_plan_text, gateway,"
+            " gateway_order_ref, fixed_gateway_cost, card_prefix FROM ctx"
+        ),
         "session_card": _with(
             "SELECT p.order_id, p.provider_card_id, c.card_digits, c.card_brand_stored"
             " FROM paid p JOIN card_pick c ON c.card_id = p.provider_card_id"
@@ -199,6 +203,10 @@ def queries() -> dict[str, str]:
         "filter_status": _ledger_where(f"settlement_status = '{STATUS}'"),
         "ledger": _with(f"SELECT {LEDGER} FROM ledger_rows"),
         "ledger_ordered": _with(f"SELECT {LEDGER} FROM ledger_rows ORDER BY order_id DESC"),
+        "ledger_positions": _with(
+            "SELECT row_number() OVER (ORDER BY order_id DESC NULLS LAST, item_id NULLS FIRST, instalment_no NULLS FIRST,"
+            " settlement_date NULLS FIRST) AS position, order_id, item_id, instalment_no, settlement_date FROM ledger_rows"
+        ),
         "lots": _with(
             counted("edition, event, item_name, item_type, list_price", "items_sold", "", producer_total="producer_total")
         ),

@@ -106,6 +106,9 @@ def order_context(tables: Tables, params: Params | None = None, orders: DataFram
 
     ``orders`` (one column, ``order_id``, distinct) restricts the context to those orders: the
     sessions and every table of session facts are semi-joined with it before anything else.
+
+    The stored card is joined first, while rows are narrow; over bucketed session facts
+    (``sources.read_bucketed``) last, as its shuffle would undo the buckets.
     """
     params = params or Params()
 
@@ -116,7 +119,8 @@ def order_context(tables: Tables, params: Params | None = None, orders: DataFram
         return df.join(keys, F.col(key) == F.col("_wanted"), "left_semi")
 
     sessions = wanted(paid_sessions(tables, params), "order_id")
-    sessions = attach_card(sessions, tables, params.hot_key_rows)
+    if not tables.bucketed:
+        sessions = attach_card(sessions, tables, params.hot_key_rows)
     summary = wanted(tables.checkoutsummary, "sessionid").select(
         F.col("sessionid").alias("summary_session"),
         F.col("totalAmount").alias("sum_total"),
@@ -148,12 +152,17 @@ def order_context(tables: Tables, params: Params | None = None, orders: DataFram
     fixed = fixed_gateway_charges(tables.gatecharges)
 
     c = F.col
-    ctx = (
+    facts = (
         sessions.join(summary, c("order_id") == c("summary_session"), "left")
         .join(payment, c("order_id") == c("payment_session"), "left")
         .join(paypal, c("order_id") == c("paypal_session"), "left")
         .join(buyers, c("order_id") == c("buyer_session"), "left")
-        .join(providers, c("pay_provider_id") == c("provider_id"), "left")
+    )
+    if tables.bucketed:
+        # the joins above find their sides in place; the card's shuffle, by another key, comes after
+        facts = attach_card(facts, tables, params.hot_key_rows)
+    ctx = (
+        facts.join(providers, c("pay_provider_id") == c("provider_id"), "left")
         .join(plans, c("pay_instalments") == c("plan_instalments"), "left")
         .withColumn("gateway_key", R.gateway_key(c("pay_option"), c("provider_name")))
         .join(fixed, F.lower("gateway_key") == c("fixed_gateway"), "left")

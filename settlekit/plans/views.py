@@ -8,6 +8,7 @@ and returns a DataFrame whose column names match the SQL oracle of the same name
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,10 @@ from ..operators.context import card_per_id, order_context, paid_sessions
 from ..operators.filters import Params
 from ..operators.items import ITEM_COLUMNS, extras, payable_extras, payable_tickets, tickets
 from ..operators.trades import attach_links, trade_links
-from ..sources import SCHEMAS, Tables
+from ..session import checkpoint_dir
+from ..sources import SCHEMAS, Tables, read_bucketed, write_bucketed
 from ..sources import adapter
-from . import checks, reports
+from . import checks, order, reports
 from .folded import folded_ledger
 from .ledger import instalment_rows, item_rows, ledger, ledger_rows, ordered
 
@@ -80,7 +82,10 @@ def payable_extras_view(spark, sf_dir):
 
 
 def order_context_view(spark, sf_dir):
-    ctx = order_context(_tables(spark, sf_dir), BASE)
+    return _context_columns(order_context(_tables(spark, sf_dir), BASE))
+
+
+def _context_columns(ctx: DataFrame) -> DataFrame:
     return ctx.select(
         "order_id", "purchase_date", "payment_method", "instalments", "instalment_plan_text", "gateway",
         "gateway_order_ref", "fixed_gateway_cost", "card_prefix",
@@ -294,6 +299,30 @@ def ledger_ordered(spark, sf_dir):
     return ordered(_ledger(spark, sf_dir))
 
 
+def _shared(spark, name: str) -> str:
+    """A new folder for files that a view writes and reads again."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ledger_positions(spark, sf_dir):
+    """The rows of the ledger with their places in O01, from ordered files."""
+    path, parts = _shared(spark, "ordered"), 2 * spark.sparkContext.defaultParallelism
+    rows = _rows(spark, sf_dir).select("order_id", "item_id", "instalment_no", "settlement_date", "net_amount")
+    rows.write.parquet(f"{path}/ledger")
+    order.write_ordered(spark.read.schema(rows.schema).parquet(f"{path}/ledger"), f"{path}/ordered", parts)
+    return order.positions(spark, f"{path}/ordered").select(
+        "position", "order_id", "item_id", "instalment_no", "settlement_date"
+    )
+
+
+def bucketed_context(spark, sf_dir):
+    """`order_context` over session facts in buckets."""
+    root, buckets = _shared(spark, "bucketed"), 2 * spark.sparkContext.defaultParallelism
+    t = _tables(spark, sf_dir)
+    write_bucketed(t, root, buckets)
+    return _context_columns(order_context(read_bucketed(t, spark, root, buckets), BASE))
+
+
 def lots(spark, sf_dir):
     return reports.lots(_folded(spark, sf_dir, reports.LOT))
 
@@ -365,6 +394,8 @@ VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_status": filter_status,
     "ledger": ledger_view,
     "ledger_ordered": ledger_ordered,
+    "ledger_positions": ledger_positions,
+    "bucketed_context": bucketed_context,
     "lots": lots,
     "producer_totals": producer_totals,
     "courtesies": courtesies,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import uuid
+import zlib
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,9 @@ class Tables(Mapping):
     declared schema, so Catalyst prunes unread columns down to the parquet scan.
     """
 
+    #: Whether the session facts are bucketed by session id (:func:`read_bucketed`).
+    bucketed = False
+
     def __init__(self, frames: Mapping[str, DataFrame]):
         missing = [name for name in TABLE_NAMES if name not in frames]
         if missing:
@@ -30,6 +35,11 @@ class Tables(Mapping):
         """A table set with some tables replaced."""
         return Tables({**self._frames, **frames})
 
+    def _as_bucketed(self, frames: Mapping[str, DataFrame]) -> Tables:
+        found = self.with_frames(**frames)
+        found.bucketed = True
+        return found
+
     def __getitem__(self, name: str) -> DataFrame:
         return self._frames[name]
 
@@ -93,3 +103,50 @@ def write_tables(tables: Tables, root: str, fmt: str = "parquet", files: int | N
         if key:
             df = df.repartitionByRange(files, key).sortWithinPartitions(key)
         df.write.mode("overwrite").format(fmt).save(os.path.join(root, name))
+
+
+# The tables with a few rows per checkout session, by the column that holds the session's id.
+SESSION_FACTS = {name: CLUSTER_KEYS[name] for name in (
+    "checkoutsession", "checkoutsummary", "checkoutpayment", "checkoutpaypaldetails", "checkoutbuyer"
+)}
+
+
+def _bucket_folder(root: str, buckets: int, name: str) -> str:
+    # the number is part of the path: files read with another number of buckets would lose rows
+    return f"{root.rstrip('/')}/buckets-{buckets}/{name}"
+
+
+def write_bucketed(tables: Tables, root: str, buckets: int) -> None:
+    """Write the session facts (``SESSION_FACTS``) under ``root``, a folder that all executors share, in
+    ``buckets`` buckets by session id, one file sorted by it for each.
+
+    A bucket is a task of the joins that follow: choose bytes / 128 MB of the largest table. Session
+    ids are spread by their hash; a null id (which joins nothing) goes to the first bucket.
+    """
+    for name, key in SESSION_FACTS.items():
+        df, path = tables[name], _bucket_folder(root, buckets, name)
+        table = f"settlekit_written_{uuid.uuid4().hex}"
+        # one task writes a bucket: the shuffle is by the hash that the buckets go by
+        writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path)
+        writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        df.sparkSession.sql(f"DROP TABLE {table}")  # an external table: its files stay
+
+
+def read_bucketed(tables: Tables, spark: SparkSession, root: str, buckets: int) -> Tables:
+    """``tables`` with the session facts that :func:`write_bucketed` wrote: joins and groups by session
+    id need no shuffle. The five tables are entered, under names of their own, in the catalogue of this
+    session; a number of ``buckets`` that nothing was written with is an error."""
+    frames = {}
+    for name, key in SESSION_FACTS.items():
+        path = _bucket_folder(root, buckets, name)
+        schema = SCHEMAS[name]
+        spark.read.schema(schema).parquet(path)  # fails if the folder is not there
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        table = f"settlekit_{name}_{zlib.crc32(path.encode()):08x}"
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet"
+            f" CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+        spark.catalog.refreshTable(table)
+        frames[name] = spark.table(table)
+    return tables._as_bucketed(frames)
