@@ -4,7 +4,7 @@
 once for the sample that its bounds come from, once for the rows. Here a ledger that has been
 written (`jobs.write_ledger`) is cut into ranges of (order descending, item, instalment,
 settlement date): the bounds come from a sample of these four columns of the files, every row
-goes straight to the range it belongs to (``repartitionById``), and each range is sorted and
+goes straight to the range it belongs to (``repartitionByRange``), and each range is sorted and
 written as one file. File names follow the order, so
 
 * :func:`ordered_files` says from the columns' values what each file holds,
@@ -17,15 +17,15 @@ them: its rows are equal in every sort column, so any of them may come first.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sampled keys for each range: the largest of a thousand ranges is then about a half above the mean.
 SAMPLED = 64
-#: Bounds in a block of the two-level search.
-BLOCK = 64
+#: Rows of a range, which one task sorts.
+RANGE_ROWS = 2_000_000
+#: Ranges that rows with equal sort keys may fill.
+TIES = 10_000
 
 
 def sort_key() -> Column:
@@ -55,43 +55,23 @@ def bounds(written: DataFrame, ranges: int, sampled: int = SAMPLED) -> list:
     return [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
 
 
-KEY_TYPE = "struct<none: boolean, newest: bigint, item: bigint, instalment: int, settled: date>"
-
-
-def _constant(value: list, of: str) -> Column:
-    """Nested lists of keys as one constant: parsed once, when the plan is optimized."""
-    return F.from_json(F.lit(json.dumps(value, default=str)), of)
-
-
-def _rank(blocks: Column, lasts: Column, key: Column, below) -> Column:
-    """How many bounds are `below` the key: whole blocks by their last bound, then inside one."""
-    whole = F.size(F.filter(lasts, lambda b: below(b, key)))
-    inside = F.size(F.filter(F.get(blocks, whole), lambda b: below(b, key)))
-    return whole * F.lit(BLOCK) + F.when(whole < F.size(blocks), inside).otherwise(F.lit(0))
-
-
-def range_of(found: list) -> Column:
-    """The range, from 0, that a row belongs to, by the bounds that `bounds` found."""
-    if not found:
-        return F.lit(0)
-    cut = [[k.asDict() for k in found[i : i + BLOCK]] for i in range(0, len(found), BLOCK)]
-    key, blocks = sort_key(), _constant(cut, f"array<array<{KEY_TYPE}>>")
-    lasts = _constant([block[-1] for block in cut], f"array<{KEY_TYPE}>")
-    # the last block may be short, so a key beyond all bounds counts them
-    low = F.least(_rank(blocks, lasts, key, lambda b, k: b < k), F.lit(len(found)))
-    high = F.least(_rank(blocks, lasts, key, lambda b, k: b <= k), F.lit(len(found)))
-    return (low + F.pmod(F.monotonically_increasing_id(), high - low + 1)).cast("int")
+def ranges_for(written: DataFrame, least: int = 1) -> int:
+    """How many ranges to cut a written ledger into: ``RANGE_ROWS`` rows each, ``least`` at least.
+    The count comes from the footers of the files."""
+    return max(least, -(-written.count() // RANGE_ROWS))
 
 
-def write_ordered(written: DataFrame, path: str, ranges: int, sampled: int = SAMPLED) -> DataFrame:
+def write_ordered(written: DataFrame, path: str, ranges: int) -> DataFrame:
     """Write a ledger to ``path`` in the order of `ledger.ordered`, a file for each of ``ranges``
     (fewer if some stay empty); return a DataFrame that reads it, file by file in no order.
 
-    ``written`` should read files (`jobs.write_ledger`): it is read twice, the first time for its
-    sort columns only. An empty ledger gives a folder without rows."""
-    ranged = written.withColumn("_range", range_of(bounds(written, ranges, sampled)))
-    placed = ranged.repartitionById(ranges, "_range").drop("_range")
+    ``written`` should read files (`jobs.write_ledger`): it is read twice, the first time for the
+    sample that the ranges' bounds come from (a few hundred keys for each range). An empty ledger
+    gives a folder without rows."""
     sort = [F.col("order_id").desc(), "item_id", "instalment_no", "settlement_date"]
+    # the last key tells apart rows that are equal in the others, so that they fill ranges evenly
+    spread = written.withColumn("_tie", F.pmod(F.monotonically_increasing_id(), F.lit(TIES)).cast("int"))
+    placed = spread.repartitionByRange(ranges, *sort, "_tie").drop("_tie")
     placed.sortWithinPartitions(*sort).write.mode("overwrite").parquet(path)
     return written.sparkSession.read.schema(written.schema).parquet(path)
 

@@ -306,10 +306,11 @@ def _shared(spark, name: str) -> str:
 
 def ledger_positions(spark, sf_dir):
     """The rows of the ledger with their places in O01, from ordered files."""
-    path, parts = _shared(spark, "ordered"), 2 * spark.sparkContext.defaultParallelism
+    path, least = _shared(spark, "ordered"), 2 * spark.sparkContext.defaultParallelism
     rows = _rows(spark, sf_dir).select("order_id", "item_id", "instalment_no", "settlement_date", "net_amount")
     rows.write.parquet(f"{path}/ledger")
-    order.write_ordered(spark.read.schema(rows.schema).parquet(f"{path}/ledger"), f"{path}/ordered", parts)
+    written = spark.read.schema(rows.schema).parquet(f"{path}/ledger")
+    order.write_ordered(written, f"{path}/ordered", order.ranges_for(written, least))
     return order.positions(spark, f"{path}/ordered").select(
         "position", "order_id", "item_id", "instalment_no", "settlement_date"
     )

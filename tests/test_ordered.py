@@ -104,3 +104,10 @@ def test_nulls_and_an_empty_ledger(spark, tmp_path):
     order.write_ordered(rows.limit(0), str(tmp_path / "none"), 3)
     assert order.positions(spark, str(tmp_path / "none")).count() == 0
     assert order.newest(spark, str(tmp_path / "none"), 5).count() == 0
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    rows = spark.range(4000)
+    assert order.ranges_for(rows, 3) == 3 and order.ranges_for(rows.limit(0)) == 1
+    monkeypatch.setattr(order, "RANGE_ROWS", 100)
+    assert order.ranges_for(rows, 3) == 40
