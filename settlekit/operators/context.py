@@ -16,7 +16,7 @@ from ..functions import order as R
 from ..sources import Tables
 from . import fanout
 from .filters import Params, apply, created_between, isin, settled_bounds
-from .skew import hot_keys, join_spread
+from .skew import hot_keys, join_spread, shuffled
 
 PAID = "Paid"
 
@@ -79,7 +79,7 @@ def attach_card(sessions: DataFrame, tables: Tables, hot_rows: int | None = None
     hot = None
     if hot_rows is not None:
         hot = hot_keys(keyed.where(c("provider_card_id").isNotNull()).select("_card"), "_card", hot_rows)
-    return join_spread(keyed, picked, "_card", hot, c("order_id"), "left").drop("_card")
+    return join_spread(keyed, shuffled(picked), "_card", hot, c("order_id"), "left").drop("_card")
 
 
 def fixed_gateway_charges(gatecharges: DataFrame) -> DataFrame:
@@ -101,6 +101,18 @@ def instalment_plans(ranges: DataFrame) -> DataFrame:
     )
 
 
+def buyer_counts(tables: Tables, orders: DataFrame | None = None) -> DataFrame:
+    """J21 as a count per session (no column of the buyers is used)."""
+    return fanout.counts(of_orders(tables.checkoutbuyer, "sessionId", orders), "sessionId", "buyer_session", "buyers")
+
+
+def of_orders(df: DataFrame, key: str, orders: DataFrame | None) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``orders`` (one column, ``order_id``; None: all)."""
+    if orders is None:
+        return df
+    return df.join(orders.select(F.col("order_id").alias("_wanted")), F.col(key) == F.col("_wanted"), "left_semi")
+
+
 def order_context(tables: Tables, params: Params | None = None, orders: DataFrame | None = None) -> DataFrame:
     """One row per paid session (more if a summary, payment or capture repeats).
 
@@ -113,10 +125,7 @@ def order_context(tables: Tables, params: Params | None = None, orders: DataFram
     params = params or Params()
 
     def wanted(df: DataFrame, key: str) -> DataFrame:
-        if orders is None:
-            return df
-        keys = orders.select(F.col("order_id").alias("_wanted"))
-        return df.join(keys, F.col(key) == F.col("_wanted"), "left_semi")
+        return of_orders(df, key, orders)
 
     sessions = wanted(paid_sessions(tables, params), "order_id")
     if not tables.bucketed:
@@ -144,9 +153,6 @@ def order_context(tables: Tables, params: Params | None = None, orders: DataFram
     paypal = wanted(tables.checkoutpaypaldetails, "sessionId").select(
         F.col("sessionId").alias("paypal_session"), F.col("captureId").alias("capture_id")
     )
-    # Buyer rows add no column, only multiply the extras; counted per session here so the
-    # item join that follows needs nothing partitioned by session after it
-    buyers = fanout.counts(wanted(tables.checkoutbuyer, "sessionId"), "sessionId", "buyer_session", "buyers")
     providers = tables.paymentprovider.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"))
     plans = instalment_plans(tables.installmentsrange)
     fixed = fixed_gateway_charges(tables.gatecharges)
@@ -156,7 +162,8 @@ def order_context(tables: Tables, params: Params | None = None, orders: DataFram
         sessions.join(summary, c("order_id") == c("summary_session"), "left")
         .join(payment, c("order_id") == c("payment_session"), "left")
         .join(paypal, c("order_id") == c("paypal_session"), "left")
-        .join(buyers, c("order_id") == c("buyer_session"), "left")
+        # Buyer rows add no column, only multiply the extras
+        .join(buyer_counts(tables, orders), c("order_id") == c("buyer_session"), "left")
     )
     if tables.bucketed:
         # the joins above find their sides in place; the card's shuffle, by another key, comes after

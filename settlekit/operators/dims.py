@@ -1,10 +1,10 @@
 """Catalogue of tickets and products, with their rates.
 
 The ticket chain (lot price -> price type, lot -> ticket -> event -> complements) is a chain of
-left joins. Each catalogue table is joined by itself, narrow, so that the planner sees each
-table's own size: the small ones are broadcast and stay in the stage, a large one (the checkout's
-lot prices may hold a row per checkout) is joined by a shuffle of its two columns, where AQE
-splits a best-selling lot.
+left joins. The tables that grow with the checkouts (lot prices, lots, products, sizes) are joined
+with each other first and never broadcast: a broadcast is built in the driver, and the planner
+guesses their size far too low. Items meet the result once, by a shuffle of narrow rows where AQE
+splits a best-selling lot or product. Events, tickets and types are joined as the planner sees fit.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import fallback, fallback_percent, percent
 from ..sources import Tables
+from .skew import shuffled, split_join
 
 
 def _zero():
@@ -69,16 +70,16 @@ def attach_tickets(df: DataFrame, tables: Tables) -> DataFrame:
         c("comissionSecurityPerc").alias("tc_cover_pct"),
         c("transferPercent").alias("tc_transfer_pct"),
     )
-    joined = (
-        df.join(refs, c("batch_price_ref") == c("ref_key"), "left")
-        .join(price, c("price_ref") == c("price_id"), "left")
+    lots = (
+        refs.join(shuffled(price), c("price_ref") == c("price_id"), "left")
         .join(types, c("type_id") == c("type_key"), "left")
-        .join(batches, c("batch_id") == c("batch_key"), "left")
+        .join(shuffled(batches), c("batch_id") == c("batch_key"), "left")
         .join(tickets, c("ticket_id") == c("ticket_key"), "left")
     )
-    joined = _attach_events(joined, tables, "ticket_event").join(complement, c("ticket_key") == c("tc_ticket"), "left")
-    return joined.select(
-        *df.columns, "batch_price", "transfer_price", "item_type", "item_name", "event_id", "event",
+    lots = _attach_events(lots, tables, "ticket_event").join(complement, c("ticket_key") == c("tc_ticket"), "left")
+    found = lots.select(
+        c("ref_key").alias("batch_price_ref"),
+        "batch_price", "transfer_price", "item_type", "item_name", "event_id", "event",
         "edition", "category", "race_name",
         percent(c("event_fee_pct")).alias("convenience_rate"),
         fallback_percent(c("tc_issue_pct"), c("ec_issue_pct")).alias("issue_rate"),
@@ -88,6 +89,12 @@ def attach_tickets(df: DataFrame, tables: Tables) -> DataFrame:
         percent(c("ec_rebate_pct")).alias("rebate_rate"),
         percent(c("ec_tax_pct")).alias("tax_rate"),
     )
+    return _attach(df, found, "batch_price_ref")
+
+
+def _attach(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``df`` left-joined with a large catalogue on ``key``, its columns first."""
+    return split_join(df, shuffled(found), key, "left").select(*df.columns, *[c for c in found.columns if c != key])
 
 
 def ticket_events(tables: Tables) -> DataFrame:
@@ -100,7 +107,7 @@ def ticket_events(tables: Tables) -> DataFrame:
     price = tables.eventticketbatchprice.select(c("id").alias("price_ref"), c("ticketBatchId").alias("batch_id"))
     batches = tables.eventticketbatch.select(c("id").alias("batch_id"), c("ticketId").alias("ticket_id"))
     tickets = tables.eventticket.select(c("id").alias("ticket_id"), c("eventid").alias("event_ref"))
-    found = refs.join(price, "price_ref").join(batches, "batch_id").join(tickets, "ticket_id")
+    found = refs.join(shuffled(price), "price_ref").join(shuffled(batches), "batch_id").join(tickets, "ticket_id")
     return found.join(event_editions(tables), "event_ref").select("batch_price_ref", "event_id", "edition")
 
 
@@ -111,10 +118,11 @@ def product_events(tables: Tables) -> DataFrame:
 
 
 def event_editions(tables: Tables) -> DataFrame:
-    """``event_ref``, ``event_id`` (the same) and ``edition`` of each event."""
+    """``event_ref``, ``event_id`` (the same) and ``edition`` of each event; broadcast, or the planner
+    might broadcast the products and lots of the events instead."""
     ev = tables.event.select(F.col("id").alias("event_ref"), F.col("id").alias("event_id"))
     ec = tables.eventcomplement.select(F.col("eventid").alias("event_ref"), F.col("globalevent").alias("edition"))
-    return ev.join(ec, "event_ref", "left")
+    return F.broadcast(ev.join(ec, "event_ref", "left"))
 
 
 def ticket_dim(tables: Tables) -> DataFrame:
@@ -125,16 +133,32 @@ def ticket_dim(tables: Tables) -> DataFrame:
 
 def attach_products(df: DataFrame, tables: Tables) -> DataFrame:
     """J23 + J29: ``df`` (with ``product_id``) and the product's event and event complement."""
+    return _attach(df, _sold(_products(tables), tables), "product_id")
+
+
+def attach_sold_products(df: DataFrame, tables: Tables) -> DataFrame:
+    """:func:`attach_products` and the product's own category and charges."""
     c = F.col
-    product = tables.product.select(
-        c("id").alias("product_key"), c("title").alias("item_name"), c("eventId").alias("product_event")
-    )
-    joined = _attach_events(df.join(product, c("product_id") == c("product_key"), "left"), tables, "product_event")
-    return joined.select(
-        *df.columns, "item_name", "event_id", "event", "edition",
+    # a product may be in either table alone; equal ids multiply, as in a join after the other
+    both = _products(tables).join(product_manual(tables), c("product_id") == c("manual_product"), "full")
+    both = both.withColumn("product_id", F.coalesce("product_id", "manual_product"))
+    return _attach(df, _sold(both, tables, "category", "pm_pct", "pm_fixed"), "product_id")
+
+
+def _products(tables: Tables) -> DataFrame:
+    c = F.col
+    return tables.product.select(c("id").alias("product_id"), c("title").alias("item_name"), c("eventId").alias("product_event"))
+
+
+def _sold(products: DataFrame, tables: Tables, *own: str) -> DataFrame:
+    """Products with their event, its complement and columns of their ``own``."""
+    c = F.col
+    return _attach_events(products, tables, "product_event").select(
+        "product_id", "item_name", "event_id", "event", "edition",
         percent(c("event_fee_pct")).alias("convenience_rate"),
         "ec_product_pct", "ec_product_fixed",
         percent(c("ec_tax_pct")).alias("tax_rate"),
+        *own,
     )
 
 
@@ -158,8 +182,10 @@ def product_models(tables: Tables) -> DataFrame:
     return tables.productmodel.select(F.col("id").alias("model_key"), F.col("name").alias("item_type"))
 
 
-def product_sizes(tables: Tables) -> DataFrame:
-    return tables.productsize.select(F.col("id").alias("size_key"), F.col("price").alias("size_price"))
+def attach_sizes(df: DataFrame, tables: Tables) -> DataFrame:
+    """``df`` (with ``size_id``) and the size's price."""
+    sizes = tables.productsize.select(F.col("id").alias("size_id"), F.col("price").alias("size_price"))
+    return _attach(df, sizes, "size_id")
 
 
 def extra_rates() -> dict:

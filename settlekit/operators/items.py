@@ -4,7 +4,8 @@ Plan: each branch first gets what depends on the item alone (its cancel reason,
 form-answer count, and the catalogue dimension with the rates). The two item streams are then
 unioned and joined to the order context **once**, on ``order_id``: the session-level facts are
 scanned and shuffled a single time for both branches, and the branch-specific rules are picked
-per row with ``branch``. Rows of extras are finally repeated per buyer row and form answer.
+per row with ``branch``. Rows of extras are repeated per buyer row and form answer: cut into chunks
+and rebalanced while they are a few columns wide, expanded in place at the end.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ from ..functions.status import (
 from ..functions.totals import Summary, extra_totals, ticket_totals
 from ..sources import Tables
 from . import dims, fanout
-from .context import order_context
+from .context import buyer_counts, order_context
 from .filters import Params, apply, isin
-from .skew import hot_keys, join_spread
+from .skew import hot_keys, join_spread, shuffled
 from .trades import attach_links
 
+#: Buyers of a session above which its extras are cut into chunks before the order join.
+MANY_BUYERS = 8
+
 TICKETS = "tickets"
 EXTRAS = "extras"
 
@@ -80,7 +84,8 @@ def ticket_lines(tables: Tables, params: Params) -> DataFrame:
         "transfer_rate", "rebate_rate", "tax_rate",
         F.col("batch_price").alias("unit_price"),
         "transfer_price", "cancel_reason", "linked_item_id",
-        F.lit(1).cast("long").alias("answers"),
+        F.lit(1).cast("long").alias("copies"),
+        F.lit(True).alias("bought"),
     )
 
 
@@ -117,22 +122,29 @@ def answer_counts(tables: Tables) -> DataFrame:
     return fanout.counts(tables.checkoutproductcomplementanswer, "checkoutProductComplementId", "answer_item", "answers")
 
 
-def buyer_counts(tables: Tables) -> DataFrame:
-    """J21 as a count per session (no column of the buyers is used)."""
-    return fanout.counts(tables.checkoutbuyer, "sessionId", "buyer_session", "buyers")
-
+def extra_lines(
+    tables: Tables, params: Params, orders: DataFrame | None = None, hot: DataFrame | None = None, weighted: bool = False
+) -> DataFrame:
+    """Extras stream before the order join: copies (J21, J33) and catalogue.
 
-def extra_lines(tables: Tables, params: Params) -> DataFrame:
-    """Extras stream before the order join: answers count and catalogue."""
-    c = F.col
+    The copies are those by answers; the order context knows the buyers. Without ``weighted`` a session
+    of many buyers multiplies them here (``orders``: those whose buyers are counted, None: all), which
+    ``bought`` says, and the rows are chunks of :func:`.fanout.chunked`. ``hot`` as for
+    :func:`.skew.join_spread`."""
+    c, one = F.col, F.lit(1).cast("long")
     answers = answer_counts(tables)
     e = payable_extras(tables, params).join(answers, c("item_id") == c("answer_item"), "left").drop("answer_item")
-    e = (
-        dims.attach_products(e, tables)
-        .join(dims.product_manual(tables), c("product_id") == c("manual_product"), "left")
-        .join(dims.product_models(tables), c("model_id") == c("model_key"), "left")
-        .join(dims.product_sizes(tables), c("size_id") == c("size_key"), "left")
-    )
+    e = e.withColumn("copies", F.coalesce(c("answers"), one)).drop("answers")
+    if weighted:
+        e = e.withColumn("bought", F.lit(False))
+    else:
+        many = buyer_counts(tables, orders).where(c("buyers") > MANY_BUYERS)
+        many = many.select(c("buyer_session").alias("order_id"), c("buyers").alias("_many"))
+        e = join_spread(e, many, "order_id", hot, c("item_id"), "left")
+        e = e.withColumns({"copies": c("copies") * F.coalesce(c("_many"), one), "bought": c("_many").isNotNull()}).drop("_many")
+        e = fanout.chunked(e, "copies")
+    e = dims.attach_sizes(e, tables)
+    e = dims.attach_sold_products(e, tables).join(dims.product_models(tables), c("model_id") == c("model_key"), "left")
     e = apply(e, isin(c("edition"), params.editions), isin(c("event_id"), params.event_ids))
     rates = dims.extra_rates()
     return e.select(
@@ -146,7 +158,8 @@ def extra_lines(tables: Tables, params: Params) -> DataFrame:
         F.lit(None).cast("double").alias("transfer_price"),
         "cancel_reason",
         F.lit(None).cast("long").alias("linked_item_id"),
-        F.coalesce(c("answers"), F.lit(1).cast("long")).alias("answers"),
+        "copies",
+        "bought",
     )
 
 
@@ -165,8 +178,8 @@ def chosen_orders(tables: Tables, params: Params) -> DataFrame | None:
     tickets, extras = participants(tables, params), product_lines(tables, params)
     if by_event:
         left = [isin(c("edition"), params.editions), isin(c("event_id"), params.event_ids)]
-        tickets = tickets.join(apply(dims.ticket_events(tables), *left), "batch_price_ref", "left_semi")
-        extras = extras.join(apply(dims.product_events(tables), *left), "product_id", "left_semi")
+        tickets = tickets.join(shuffled(apply(dims.ticket_events(tables), *left)), "batch_price_ref", "left_semi")
+        extras = extras.join(shuffled(apply(dims.product_events(tables), *left)), "product_id", "left_semi")
     if params.extra_ids is not None:
         orders = extras.select("order_id")
     elif params.participant_ids is not None:
@@ -184,17 +197,18 @@ def items(
     An item that the source repeats (J21, J33) is a row per copy, or with ``weighted`` one row
     whose further column ``copies`` says how many it stands for."""
     params = params or Params()
-    lines = ticket_lines(tables, params).unionByName(extra_lines(tables, params))
+    orders = chosen_orders(tables, params)
     if context is None:
-        context = order_context(tables, params, chosen_orders(tables, params))
+        context = order_context(tables, params, orders)
     hot = None
     if params.hot_key_rows is not None:
         # counted on the item tables themselves: at least as many rows as the lines have
         keys = participants(tables, params).select("order_id").unionAll(product_lines(tables, params).select("order_id"))
         hot = hot_keys(keys, "order_id", params.hot_key_rows)
+    lines = ticket_lines(tables, params).unionByName(extra_lines(tables, params, orders, hot, weighted))
     rows = join_spread(lines, context, "order_id", hot, F.col("item_id"))
 
-    c = F.col
+    c, one = F.col, F.lit(1).cast("long")
     is_ticket = c("branch") == TICKETS
     s = Summary.from_context()
     t_tot = ticket_totals(s, c("unit_price"), c("transfer_price"))
@@ -216,10 +230,9 @@ def items(
             c("pay_option"), c("card_brand_stored"), c("pay_card_brand"), c("pay_digits"), c("card_digits"), no_brand
         ).alias("card_brand"),
         "card_prefix",
-        (c("answers") * _pick(is_ticket, F.lit(1).cast("long"), F.coalesce(c("buyers"), F.lit(1).cast("long"))))
-        .alias("copies"),
+        (c("copies") * _pick(is_ticket | c("bought"), one, F.coalesce(c("buyers"), one))).alias("copies"),
     )
-    return out if weighted else fanout.replicate(out, "copies").select(*ITEM_COLUMNS)
+    return out if weighted else fanout.expanded(out, "copies").select(*ITEM_COLUMNS)
 
 
 def tickets(tables: Tables, params: Params | None = None) -> DataFrame:

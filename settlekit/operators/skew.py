@@ -33,6 +33,13 @@ def hot_keys(keys: DataFrame, key: str, hot_rows: int) -> DataFrame:
     return hot.select(F.col(key).alias("hot_key"), F.ceil(F.col("rows") / F.lit(hot_rows)).cast("int").alias("salts"))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast. The planner takes a table that grows with
+    the input for a small one: it goes by the bytes of compressed files, less the columns that are
+    not read, and each such broadcast is tens of times larger in the driver."""
+    return df.hint("shuffle_hash")
+
+
 def split_join(large: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``large.join(small, key, how)`` that AQE can split.
 
@@ -40,7 +47,9 @@ def split_join(large: DataFrame, small: DataFrame, key: str, how: str = "inner")
     shuffle of their own for this join, whatever they were partitioned by, and nothing downstream
     relies on it, so a hot partition of the large side is read in several pieces by map output.
     """
-    same = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    # never null, or the planner would filter it, and scans that are the same but for that filter
+    # would not be shared
+    same = F.coalesce(F.pmod(F.xxhash64(key), F.lit(1)).cast("int"), F.lit(0))
     return large.withColumn("_one", same).join(small.withColumn("_one", same), [key, "_one"], how).drop("_one")
 
 

@@ -196,3 +196,51 @@ def test_charges_are_looked_up_per_item(spark, parquet_tables):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         explode = plan.index("Generate explode(instalment_plan")
         assert "gk_method" in plan[explode:] and "gk_method" not in plan[:explode]
+
+
+def above(plan: str, mark: str) -> list[str]:
+    """For each line of the plan that reads `mark`: the nearest exchange above it."""
+    lines = plan.splitlines()
+    exchange = lambda i: next((x for x in reversed(lines[:i]) if "Exchange" in x), "")
+    return [exchange(i) for i, line in enumerate(lines) if mark in line]
+
+
+@pytest.mark.parametrize("chosen", [{}, {"editions": ["ASIA"]}, {"order_ids": [1, 3]}])
+def test_tables_that_grow_with_the_checkouts_are_not_broadcast(spark, parquet_tables, chosen):
+    """However small the planner takes them for: here a few kilobytes."""
+    plan = plan_of(ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1), **chosen)))
+    grow = ["checkouteventticketbatchprice", "eventticketbatchprice", "eventticketbatch", "product", "productsize",
+            "productcomplementmanual", "customerpaymentprovidercard"]
+    for table in grow:
+        found = above(plan, f"/{table}]")
+        assert found and not any("BroadcastExchange" in x for x in found), table
+    assert any("BroadcastExchange" in x for x in above(plan, "/event]"))
+
+
+def test_copies_are_rebalanced_below_the_order_join(spark, parquet_tables):
+    """Chunks of copies are dealt out while a row has a few columns, not with every column of the item."""
+    df = ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1)))
+    optimized = df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("RebalancePartitions") == 1 and optimized.index("RebalancePartitions") > optimized.index("Union")
+    assert df.count() == parquet_count(parquet_tables)
+
+
+def parquet_count(tables) -> int:
+    weighted = ledger(tables, Params(as_of=dt.date(2001, 7, 1)), weighted=True)
+    return weighted.selectExpr("sum(copies)").first()[0]
+
+
+def test_hot_buyers_and_answers_multiply_extras(spark, parquet_tables):
+    """A session with 150 buyer rows, one of whose extras has 70 answers: 10,500 rows of it."""
+    paid = parquet_tables.checkoutsession.where("status = 'Paid'").select(F.col("id").alias("sessionId"))
+    extra = parquet_tables.checkoutproductcomplement.join(paid, "sessionId").orderBy("id").first()
+    base = Params(as_of=dt.date(2001, 7, 1), order_ids=[extra.sessionId])
+    buyers = spark.range(150).selectExpr(f"{extra.sessionId}L as sessionId").unionByName(spark.sql("select cast(null as long) as sessionId"))
+    answers = spark.range(70).selectExpr(f"{extra.id}L as checkoutProductComplementId")
+    plain = parquet_tables.checkoutorderproductpartialcancel.limit(0)
+    one = parquet_tables.with_frames(
+        checkoutbuyer=buyers.limit(0), checkoutproductcomplementanswer=answers.limit(0), checkoutorderproductpartialcancel=plain
+    )
+    many = one.with_frames(checkoutbuyer=buyers, checkoutproductcomplementanswer=answers)
+    of = lambda tables: ledger(tables, base).where(F.col("item_id") == extra.id).count()
+    assert of(many) == 150 * 70 * of(one) > 0
