@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators.skew import shuffled
 from .schemas import SCHEMAS
 from .tables import Tables
 
@@ -40,6 +43,13 @@ CHARGE_EXTRA_ROWS = [
 # --------------------------------------------------------------------------------------------
 
 
+def _fixed(spark: SparkSession, name: str, rows: list[tuple]) -> DataFrame:
+    """A parameter table with fixed rows, as a local relation: the planner knows that it is tiny."""
+    schema = SCHEMAS[name]
+    columns = [pa.array(list(values), to_arrow_type(f.dataType)) for values, f in zip(zip(*rows), schema.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)
+
+
 def _cast(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
 
@@ -59,16 +69,19 @@ def read_driver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def item_view(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """One row per order line with a unique ``item_id`` and its kind (ticket or extra)."""
+    """One row per order line with a unique ``item_id`` and its kind (ticket or extra).
+
+    The last two columns only tell apart lines that are equal in the others; with them every table
+    made from lines needs the same columns of them, so all share one shuffle of the lines."""
     order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "price"
     )
     lines = lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"
     )
     prices = part.select("p_partkey", F.col("p_retailprice").alias("price"))
     return (
-        lines.join(prices, lines.l_partkey == prices.p_partkey)
+        lines.join(shuffled(prices), lines.l_partkey == prices.p_partkey)
         .withColumn("item_id", F.col("l_orderkey") * 100 + F.row_number().over(order))
         .withColumn("kind", F.when(F.col("l_linenumber") % 4 == 0, "extra").otherwise("ticket"))
     )
@@ -76,7 +89,8 @@ def item_view(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 def order_view(orders: DataFrame, item: DataFrame) -> DataFrame:
     """Orders with their ticket and extra values and the payment option of the fixture."""
-    values = item.groupBy(F.col("l_orderkey").alias("ok")).agg(
+    # an item id (null without an order): the values come from the shuffle that numbers the items
+    values = item.where(F.col("item_id").isNotNull()).groupBy(F.col("l_orderkey").alias("ok")).agg(
         F.round(F.sum(F.when(F.col("kind") == "ticket", F.col("price")).otherwise(0.0)), 2).alias("tv"),
         F.round(F.sum(F.when(F.col("kind") == "extra", F.col("price")).otherwise(0.0)), 2).alias("pv"),
     )
@@ -224,7 +238,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
         p.alias("id"), F.col("p_retailprice").alias("price"), (F.col("p_size") % 4).alias("typeid"),
         p.alias("ticketBatchId"),
     ), "eventticketbatchprice")
-    t["eventticketbatchpricetype"] = spark.createDataFrame(PRICE_TYPES, SCHEMAS["eventticketbatchpricetype"])
+    t["eventticketbatchpricetype"] = _fixed(spark, "eventticketbatchpricetype", PRICE_TYPES)
     t["eventticketbatch"] = _cast(part.select(p.alias("id"), (p % 200).alias("ticketId")), "eventticketbatch")
 
     tid = F.col("id")
@@ -258,15 +272,15 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
 
     plans = [(k, "[" + ",".join(str(i) for i in range(1, k + 1)) + "]") for k in INSTALMENT_PLANS]
     plans = [plan for plan in plans if plan[0] != NULL_PLAN[0]] + [NULL_PLAN]
-    t["installmentsrange"] = spark.createDataFrame(plans, SCHEMAS["installmentsrange"])
-    t["paymentprovider"] = spark.createDataFrame(PAYMENT_PROVIDERS, SCHEMAS["paymentprovider"])
+    t["installmentsrange"] = _fixed(spark, "installmentsrange", plans)
+    t["paymentprovider"] = _fixed(spark, "paymentprovider", PAYMENT_PROVIDERS)
     charges = [
         (g, 1, "CreditCard", b, k, "percent", 0.02 + 0.001 * k)
         for g in CHARGE_GATEWAYS for b in CHARGE_BRANDS for k in range(1, 13)
     ]
     charges += [(g, 1, m, m, 1, "percent", 0.01) for g in CHARGE_GATEWAYS for m in CHARGE_FLAT_METHODS]
     charges += CHARGE_EXTRA_ROWS
-    t["gatecharges"] = spark.createDataFrame(charges, SCHEMAS["gatecharges"])
+    t["gatecharges"] = _fixed(spark, "gatecharges", charges)
 
     t["checkoutproductcomplement"] = _cast(extras.select(
         iid.alias("id"), F.col("l_orderkey").alias("sessionId"), F.col("l_partkey").alias("productId"),

@@ -217,6 +217,22 @@ def test_tables_that_grow_with_the_checkouts_are_not_broadcast(spark, parquet_ta
     assert any("BroadcastExchange" in x for x in above(plan, "/event]"))
 
 
+def test_the_calendar_and_parameters_shuffle_no_items(spark, small_tables):
+    """Price types, providers, plans, charges and weeks have a few rows; items and instalments stay where they are."""
+    plan = plan_of(ledger(small_tables, Params(as_of=dt.date(2001, 7, 1))))
+    keys = re.findall(r"Exchange hashpartitioning\((?:lower\()?([a-z_]+)", plan)
+    assert keys and not {"settlement_date", "rk_gateway", "type_id", "pay_provider_id", "pay_instalments", "gateway_key"} & set(keys)
+
+
+def test_a_large_calendar_is_still_broadcast(spark, parquet_tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        plan = plan_of(ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1))))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(settlement_date" not in plan
+
+
 def test_copies_are_rebalanced_below_the_order_join(spark, parquet_tables):
     """Chunks of copies are dealt out while a row has a few columns, not with every column of the item."""
     df = ledger(parquet_tables, Params(as_of=dt.date(2001, 7, 1)))
@@ -244,3 +260,27 @@ def test_hot_buyers_and_answers_multiply_extras(spark, parquet_tables):
     many = one.with_frames(checkoutbuyer=buyers, checkoutproductcomplementanswer=answers)
     of = lambda tables: ledger(tables, base).where(F.col("item_id") == extra.id).count()
     assert of(many) == 150 * 70 * of(one) > 0
+
+
+def test_all_tables_made_from_lines_share_one_shuffle_of_them(spark, small_tables):
+    plan = plan_of(ledger(small_tables, Params(as_of=dt.date(2001, 7, 1))))
+    read = {re.sub(r"#\d+L?", "", line.split("FileScan")[1]) for line in plan.splitlines() if "/lineitem.parquet]" in line}
+    assert len(read) == 1
+
+
+def test_equal_lines_are_numbered_once_each(spark, tmp_path):
+    """Lines equal in every column that numbers them, and parts and orders that repeat or are null."""
+    for name in ("lineitem", "orders", "part", "customer", "nation", "region"):
+        df = spark.read.parquet(f"{SF001}/{name}.parquet")
+        key = df.columns[0]
+        none = df.limit(3).withColumn(key, F.lit(None).cast(df.schema[key].dataType))
+        df.unionByName(df.where(F.col(key) % 5 == 0)).unionByName(none).write.parquet(str(tmp_path / f"{name}.parquet"))
+    d = adapter.read_driver(spark, str(tmp_path))
+    item = adapter.item_view(d["lineitem"], d["part"])
+    lines = d["lineitem"].join(d["part"].select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    assert item.count() == lines.count()
+    assert item.where("l_orderkey is not null").select("item_id").distinct().count() == lines.where("l_orderkey is not null").count()
+    sums = adapter.order_view(d["orders"], item).where("o_orderkey is not null")
+    want = item.groupBy("l_orderkey").agg(F.round(F.sum("price"), 2).alias("all"))
+    got = sums.join(want, F.col("o_orderkey") == F.col("l_orderkey"))
+    assert got.where("abs(tv + pv - all) > 0.011").isEmpty() and got.count() > 0
