@@ -28,9 +28,10 @@ and by place in it.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,18 @@ def _known() -> tuple[str, str, str]:
     return of("L"), of("N"), re.escape("".join(shown)) + "\t\n\r"
 
 
+class Kept(dict):
+    """Pre-tokens with their ids; one that is missing is tokenised when it is asked for."""
+
+    def __init__(self, ids: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.ids(word)
+        return found
+
+
 class ByteTokenizer:
     """A byte-level BPE file, applied pre-token by pre-token.
 
@@ -77,26 +90,19 @@ class ByteTokenizer:
         self.unknown = re.compile(rf"[^{known}]").search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.symbols = byte_symbols()
-        self.cache: dict[str, bytes] = {}
+        self.cache = Kept(self._ids)
 
     def _ids(self, word: str) -> bytes:
         found = self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))
-        return np.array([t.id for t in found], dtype="<u4").tobytes()
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         if self.unknown(text) or any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words, cache = self.cut(text), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            for w in words:
-                if w not in cache:
-                    cache[w] = self._ids(w)
-            return b"".join([cache[w] for w in words])
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        return b"".join(map(self.cache.__getitem__, self.cut(text)))
 
     @classmethod
     def load(cls, path: str) -> "ByteTokenizer":

@@ -262,3 +262,20 @@ def test_few_tokens_leave_by_a_flush(most):
     sizes = [sum(n for _, n in x) for x in by_sequence.values()]
     assert all(n == packing.WINDOW or n & (n - 1) == 0 for n in sizes)
     assert all(sorted(x)[0][0] == 0 for x in by_sequence.values())
+
+
+def test_new_words_are_tokenised_in_the_pass_that_asks_for_them():
+    """No second pass over a text's words when one of them is new; the ids are the tokenizer's own."""
+    import numpy as np
+    import public_tokenizers
+
+    from settlekit.llm import bestfit
+
+    words = bestfit.ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    cut, asked = words.cut, []
+    words.cut = lambda text: (asked.append(x) or x for x in cut(text))  # can be read once
+    text = "Zwolf quirlige Thlyouble, zwolf quirlige  Thlyouble\n42 über naïve – end"
+    for _ in range(2):
+        got = np.frombuffer(words.encode(text), dtype="<u4").tolist()
+        assert got == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(asked) == 2 * len(cut(text))
