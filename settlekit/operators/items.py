@@ -190,14 +190,17 @@ def chosen_orders(tables: Tables, params: Params) -> DataFrame | None:
 
 
 def items(
-    tables: Tables, params: Params | None = None, context: DataFrame | None = None, weighted: bool = False
+    tables: Tables, params: Params | None = None, context: DataFrame | None = None, weighted: bool = False,
+    orders: DataFrame | None = None,
 ) -> DataFrame:
     """U01 and level 1: tickets and extras of paid orders with every item-level value.
 
     An item that the source repeats (J21, J33) is a row per copy, or with ``weighted`` one row
-    whose further column ``copies`` says how many it stands for."""
+    whose further column ``copies`` says how many it stands for. ``orders``: what
+    :func:`chosen_orders` gives, if the caller has it as a table."""
     params = params or Params()
-    orders = chosen_orders(tables, params)
+    if orders is None:
+        orders = chosen_orders(tables, params)
     if context is None:
         context = order_context(tables, params, orders)
     hot = None

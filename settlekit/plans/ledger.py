@@ -26,9 +26,11 @@ from ..operators.items import items
 from ..sources import Tables
 
 
-def item_rows(tables: Tables, params: Params | None = None, weighted: bool = False) -> DataFrame:
+def item_rows(
+    tables: Tables, params: Params | None = None, weighted: bool = False, orders: DataFrame | None = None
+) -> DataFrame:
     """Level 1: sold items of both branches."""
-    return items(tables, params or Params(), weighted=weighted)
+    return items(tables, params or Params(), weighted=weighted, orders=orders)
 
 
 def instalment_rows(tables: Tables, params: Params | None = None, weighted: bool = False) -> DataFrame:
@@ -37,11 +39,13 @@ def instalment_rows(tables: Tables, params: Params | None = None, weighted: bool
     return add_splits(explode_instalments(item_rows(tables, params, weighted), params))
 
 
-def ledger_rows(tables: Tables, params: Params | None = None, weighted: bool = False) -> DataFrame:
+def ledger_rows(
+    tables: Tables, params: Params | None = None, weighted: bool = False, orders: DataFrame | None = None
+) -> DataFrame:
     """Every computed column (the 47 output columns and the intermediate ones). Building the
-    plan starts no Spark job."""
+    plan starts no Spark job. ``orders`` as for :func:`.items.items`."""
     params = params or Params()
-    charged = attach_charge_rate(item_rows(tables, params, weighted), tables)
+    charged = attach_charge_rate(item_rows(tables, params, weighted, orders), tables)
     rows = with_gateway_cost(add_splits(explode_instalments(charged, params)))
     rows = attach_week(rows, tables)
     rows = rows.select(
@@ -62,12 +66,14 @@ def chosen_rows(rows: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def ledger(tables: Tables, params: Params | None = None, weighted: bool = False) -> DataFrame:
+def ledger(
+    tables: Tables, params: Params | None = None, weighted: bool = False, orders: DataFrame | None = None
+) -> DataFrame:
     """The 47-column ledger (PR01). Unused columns are pruned by Catalyst downstream.
 
     With ``weighted`` a row that stands for several equal ones comes once, with their number in a
     48th column ``copies``: the form that :mod:`.reports` adds up without expanding it."""
-    return ledger_rows(tables, params, weighted).select(*LEDGER_COLUMNS, *(["copies"] if weighted else []))
+    return ledger_rows(tables, params, weighted, orders).select(*LEDGER_COLUMNS, *(["copies"] if weighted else []))
 
 
 def ordered(ledger_df: DataFrame) -> DataFrame:

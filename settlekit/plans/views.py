@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import dims
 from ..operators.context import card_per_id, order_context, paid_sessions
 from ..operators.filters import Params
-from ..operators.items import ITEM_COLUMNS, extras, payable_extras, payable_tickets, tickets
+from ..operators.items import ITEM_COLUMNS, chosen_orders, extras, payable_extras, payable_tickets, tickets
 from ..operators.trades import attach_links, trade_links
 from ..session import checkpoint_dir
 from ..sources import SCHEMAS, Tables, read_bucketed, write_bucketed
@@ -48,6 +48,30 @@ def _tables(spark: SparkSession, sf_dir: str) -> Tables:
     return adapter.build(spark, sf_dir)
 
 
+def _shared(spark, name: str) -> str:
+    """A new folder for files that a view writes and reads again."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables for a view that needs most of them, over lines that are numbered once and written.
+
+    The driver plans a query anew after each of its stages and keeps the metrics of every such plan:
+    its memory goes by the number of steps, and half of a ledger's would be numbering the same lines."""
+    return adapter.build(spark, sf_dir, adapter.write_lines(spark, sf_dir, _shared(spark, "lines")))
+
+
+def _chosen(spark: SparkSession, t: Tables, params: Params) -> DataFrame | None:
+    """:func:`chosen_orders` as a table: six tables of session facts are semi-joined with it, and
+    with editions or events each would hold the catalogue's joins."""
+    orders = chosen_orders(t, params)
+    if orders is None or params.editions is None and params.event_ids is None:
+        return orders
+    path = _shared(spark, "orders")
+    orders.write.parquet(path)
+    return spark.read.schema(orders.schema).parquet(path)
+
+
 def source_counts(spark, sf_dir):
     t = _tables(spark, sf_dir)
     parts = [t[name].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
@@ -131,7 +155,7 @@ TOTAL_COLUMNS = ["order_total", "tickets_value", "net_tickets", "products_value"
 
 
 def _branch(spark, sf_dir, which: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
+    t = _written(spark, sf_dir)
     return tickets(t, BASE) if which == "tickets" else extras(t, BASE)
 
 
@@ -152,7 +176,7 @@ def order_totals_extras(spark, sf_dir):
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    return item_rows(_tables(spark, sf_dir), BASE)
+    return item_rows(_written(spark, sf_dir), BASE)
 
 
 def item_shares(spark, sf_dir):
@@ -181,7 +205,7 @@ def extras_answer_fanout(spark, sf_dir):
 
 
 def _inst(spark, sf_dir) -> DataFrame:
-    return instalment_rows(_tables(spark, sf_dir), BASE)
+    return instalment_rows(_written(spark, sf_dir), BASE)
 
 
 def instalment_rows_view(spark, sf_dir):
@@ -210,7 +234,7 @@ def producer_total_view(spark, sf_dir):
 
 
 def _rows(spark, sf_dir, params: Params = BASE) -> DataFrame:
-    return ledger_rows(_tables(spark, sf_dir), params)
+    return ledger_rows(_written(spark, sf_dir), params)
 
 
 def gateway_cost_view(spark, sf_dir):
@@ -235,11 +259,12 @@ def presented_amounts(spark, sf_dir):
 
 
 def _ledger(spark, sf_dir, weighted=False, **kw) -> DataFrame:
-    return ledger(_tables(spark, sf_dir), Params(as_of=AS_OF, **kw), weighted)
+    t, params = _written(spark, sf_dir), Params(as_of=AS_OF, **kw)
+    return ledger(t, params, weighted, _chosen(spark, t, params))
 
 
 def _folded(spark, sf_dir, keys=()) -> DataFrame:
-    return folded_ledger(_tables(spark, sf_dir), Params(as_of=AS_OF), keys)
+    return folded_ledger(_written(spark, sf_dir), Params(as_of=AS_OF), keys)
 
 
 def filter_editions(spark, sf_dir):
@@ -269,7 +294,7 @@ def filter_branches(spark, sf_dir):
         "extras": {"extra_ids": EXTRA_IDS},
         "both": {"participant_ids": PARTICIPANT_IDS, "extra_ids": EXTRA_IDS},
     }
-    t = _tables(spark, sf_dir)
+    t = _written(spark, sf_dir)
     count = lambda branch: F.coalesce(F.sum((F.col("branch") == branch).cast("long")), F.lit(0)).alias(f"{branch}_rows")
     out = None
     for name, kw in settings.items():
@@ -299,11 +324,6 @@ def ledger_ordered(spark, sf_dir):
     return ordered(_ledger(spark, sf_dir))
 
 
-def _shared(spark, name: str) -> str:
-    """A new folder for files that a view writes and reads again."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def ledger_positions(spark, sf_dir):
     """The rows of the ledger with their places in O01, from ordered files."""
     path, least = _shared(spark, "ordered"), 2 * spark.sparkContext.defaultParallelism
@@ -341,7 +361,7 @@ def weekly(spark, sf_dir):
 
 
 def reconcile(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+    t = _written(spark, sf_dir)
     return reports.reconcile(ledger(t, BASE, weighted=True), t)
 
 

@@ -40,6 +40,8 @@ CHARGE_EXTRA_ROWS = [
     ("pagarme", 1, "CREDITCARD", "VISA", 3, "percent", 0.05),
     ("PAGARME", 0, "Antifraude", "all", 0, "FIXED", 0.1),
 ]
+#: What the checkout tables need of a numbered line.
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "price", "item_id", "kind"]
 # --------------------------------------------------------------------------------------------
 
 
@@ -147,11 +149,22 @@ def _repeat(df: DataFrame, which: Column) -> DataFrame:
     return df.withColumn("_copy", F.explode(F.when(which, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_copy")
 
 
-def build(spark: SparkSession, sf_dir: str) -> Tables:
-    """The 28 checkout tables derived from the driver tables under ``sf_dir``."""
+def write_lines(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The numbered lines of :func:`item_view`, less the columns that no table needs, written to ``path``."""
+    d = read_driver(spark, sf_dir)
+    lines = item_view(d["lineitem"], d["part"]).select(*LINE_COLUMNS)
+    lines.write.parquet(path)
+    return spark.read.schema(lines.schema).parquet(path)
+
+
+def build(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> Tables:
+    """The 28 checkout tables derived from the driver tables under ``sf_dir``.
+
+    Nine of them come from the numbered lines. Each holds the joins and the window that number them,
+    unless the caller has them as a table (``lines``, of :func:`write_lines`)."""
     d = read_driver(spark, sf_dir)
     part, orders, customer, nation, region = d["part"], d["orders"], d["customer"], d["nation"], d["region"]
-    item = item_view(d["lineitem"], part)
+    item = item_view(d["lineitem"], part) if lines is None else lines
     ord_ = order_view(orders, item)
     summ = summary_view(ord_)
     key = F.col("o_orderkey")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from settlekit import Params, ledger, read_tables, reports
 from settlekit.functions.present import FUTURE
+from settlekit.plans import views
 from settlekit.plans.folded import folded_ledger
 from settlekit.sources import adapter, write_tables
 
@@ -284,3 +285,40 @@ def test_equal_lines_are_numbered_once_each(spark, tmp_path):
     want = item.groupBy("l_orderkey").agg(F.round(F.sum("price"), 2).alias("all"))
     got = sums.join(want, F.col("o_orderkey") == F.col("l_orderkey"))
     assert got.where("abs(tv + pv - all) > 0.011").isEmpty() and got.count() > 0
+
+
+@pytest.mark.parametrize("name", ["ledger_ordered", "filter_events", "filter_editions", "filter_orders", "filter_status", "gateway_cost", "presented_amounts"])
+def test_plans_of_whole_ledgers_do_not_number_the_lines(spark, name):
+    """The driver keeps every step that it plans: lines are numbered once, before, and orders chosen once."""
+    plan = plan_of(views.VIEWS[name](spark, SF001))
+    assert "Window" not in plan and not scans(plan, "lineitem.parquet")
+    assert joins(plan) <= 42
+
+
+@pytest.mark.parametrize("name, chosen", [("filter_events", {"event_ids": views.EVENT_IDS}), ("filter_editions", {"editions": views.EDITIONS}), ("ledger", {})])
+def test_written_lines_and_orders_give_the_same_ledger(spark, small_tables, name, chosen):
+    whole = ledger(small_tables, Params(as_of=views.AS_OF, **chosen))
+    got = views.VIEWS[name](spark, SF001)
+    assert got.schema == whole.schema and got.count() > 0
+    assert got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("path", ["empty", "nulls"])
+def test_written_lines_are_those_of_the_item_view(spark, tmp_path, path):
+    """No line at all, and lines without an order or that repeat."""
+    for name in ("lineitem", "orders", "part", "customer", "nation", "region"):
+        df = spark.read.parquet(f"{SF001}/{name}.parquet")
+        key = df.columns[0]
+        odd = df.limit(0) if path == "empty" else df.unionByName(df.limit(9)).unionByName(
+            df.limit(3).withColumn(key, F.lit(None).cast(df.schema[key].dataType))
+        )
+        odd.write.parquet(str(tmp_path / f"{name}.parquet"))
+    d = adapter.read_driver(spark, str(tmp_path))
+    lines = adapter.item_view(d["lineitem"], d["part"]).select(*adapter.LINE_COLUMNS)
+    got = adapter.write_lines(spark, str(tmp_path), str(tmp_path / "lines"))
+    assert got.dtypes == lines.dtypes and (got.count() > 0) == (path == "nulls")
+    assert got.exceptAll(lines).isEmpty() and lines.exceptAll(got).isEmpty()
+    tables = (adapter.build(spark, str(tmp_path), got), adapter.build(spark, str(tmp_path)))
+    for name in ("checkoutsummary", "checkoutparticipant", "tradecheckoutsession", "checkoutproductcomplementanswer"):
+        a, b = (t[name] for t in tables)
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name
