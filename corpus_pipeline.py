@@ -19,12 +19,14 @@ doc_id passes stages 1, 2 and 4; in stage 3 such documents are kept unless their
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from settlekit.llm import langid, mixing, neardup, packing, toxicity
-from settlekit.llm.common import crc_of_id
+from settlekit.llm.common import bounded_batches, crc_of_id
 from settlekit.llm.queries import table, word_tokenizer
 from settlekit.session import checkpoint_dir
 
@@ -32,17 +34,32 @@ from settlekit.session import checkpoint_dir
 LEAST_LANGUAGE = 0.2
 
 
+def in_bounded_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`stage` with batches of at most `common.BATCH_ROWS` texts, from then on in its session: its
+    result is read later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_bounded_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs, (crc_of_id("doc_id") % 4) != 2)
     found = langid.identify(docs, model, keep=docs.columns)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
 
 
+@in_bounded_batches
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), (crc_of_id("doc_id") % 5) != 0)
     return toxicity.assess(docs, model, keep=docs.columns).filter("predicted = 0").select(docs.columns)
 
 
+@in_bounded_batches
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.deduplicated(docs)
 
@@ -51,6 +68,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, whole=True)
 
 
+@in_bounded_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, word_tokenizer())
 

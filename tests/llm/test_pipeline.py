@@ -155,3 +155,20 @@ def test_toxic_documents_of_every_language_go(spark, tmp_path):
     for (lang, label), gone in by_language.items():
         assert sum(gone) >= 0.8 * len(gone) if label else sum(gone) <= 0.03 * len(gone), (lang, label, sum(gone), len(gone))
     assert {lang for lang, label in by_language if label} == {"en", "de", "fr", "es"}
+
+
+@pytest.mark.parametrize("stage", ["language", "toxic", "dedup", "pack"])
+@pytest.mark.parametrize("given, expected", [("10000", 1024), ("0", 1024), ("100", 100)])
+def test_stages_send_texts_in_small_batches(spark, tmp_path, stage, given, expected):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sizes = lambda batches: (b.from_arrays([[b.num_rows]], names=["n"]) for b in batches)
+    spark.conf.set(key, given)
+    try:
+        getattr(corpus_pipeline, stage)(spark, docs, str(tmp_path))
+        got = [r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert max(got) == expected and sum(got) == 3000
