@@ -29,9 +29,8 @@ from __future__ import annotations
 
 import re
 import struct
-import unicodedata
 import zlib
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from settlekit.llm.common import held, saved
-from settlekit.llm.packing import byte_symbols
+from settlekit.llm.packing import Kept, byte_symbols, known_characters
 
 WINDOW = 2048
 END = 0
@@ -50,26 +49,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 RUNS = "length long, first long, count long, per long, sequence long, at long"
 
 
-def _known() -> tuple[str, str, str]:
-    """Character classes of the characters that are split here: letters, numbers, and all.
-    Western text, with the spaces that every regular-expression engine takes for spaces."""
-    shown = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x2018, 0x201E), 0x2013, 0x2014, 0x2026)]
-    of = lambda kind: re.escape("".join(c for c in shown if unicodedata.category(c)[0] == kind))
-    return of("L"), of("N"), re.escape("".join(shown)) + "\t\n\r"
-
-
-class Kept(dict):
-    """Pre-tokens with their ids; one that is missing is tokenised when it is asked for."""
-
-    def __init__(self, ids: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.ids = ids
-
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.ids(word)
-        return found
-
-
 class ByteTokenizer:
     """A byte-level BPE file, applied pre-token by pre-token.
 
@@ -83,7 +62,7 @@ class ByteTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        letters, numbers, known = _known()
+        letters, numbers, known = known_characters()
         self.cut = re.compile(
             rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^ \t\n\r{letters}{numbers}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
         ).findall

@@ -165,6 +165,17 @@ def packed_rows(rows, tokenizer, texts):
     return by, docs
 
 
+def test_words_share_the_ids_of_their_parts():
+    """A word's capital, marks and digits cost no further call of the tokenizer, and its ids stay those of the whole one."""
+    words = packing.WordTokenizer(word_tokenizer())
+    texts = [f"Item{i}, ITEM-{i}! (item) {i}% «Ítem»: ítem's\titem…\n" for i in range(500)]
+    odd = ["", " \r\x0b x", "a\u0301 İ. ǅ ſ's ½ª", "X'LL don't 's ''s", "漢字, item 😀 12", "a<|endoftext|>b <|ENDOFTEXT|> c", "\u0301 \x85\xa0y"]
+    want = [np.asarray(words.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts + odd]
+    assert words.encode(texts) == want[:500]
+    assert len(words.cache) < 40  # "item", ten digits and marks; not 2,000 words
+    assert words.encode(odd) == want[500:]
+
+
 def test_packing_against_the_tokenizer(spark, docs, empty):
     from tokenizers import Tokenizer
 
