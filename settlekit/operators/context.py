@@ -173,7 +173,12 @@ def order_context(tables: Tables, params: Params | None = None, orders: DataFram
         .join(plans, c("pay_instalments") == c("plan_instalments"), "left")
         .withColumn("gateway_key", R.gateway_key(c("pay_option"), c("provider_name")))
         .join(fixed, F.lower("gateway_key") == c("fixed_gateway"), "left")
+        .drop(
+            "summary_session", "payment_session", "paypal_session", "buyer_session", "provider_id",
+            "plan_instalments", "gateway_key", "fixed_gateway",
+        )
     )
+    ctx = tables.part(ctx)
     option = c("pay_option")
     return ctx.select(
         "order_id",

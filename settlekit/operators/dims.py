@@ -89,7 +89,7 @@ def attach_tickets(df: DataFrame, tables: Tables) -> DataFrame:
         percent(c("ec_rebate_pct")).alias("rebate_rate"),
         percent(c("ec_tax_pct")).alias("tax_rate"),
     )
-    return _attach(df, found, "batch_price_ref")
+    return _attach(df, tables.part(found, "tickets"), "batch_price_ref")
 
 
 def _attach(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -142,7 +142,8 @@ def attach_sold_products(df: DataFrame, tables: Tables) -> DataFrame:
     # a product may be in either table alone; equal ids multiply, as in a join after the other
     both = _products(tables).join(product_manual(tables), c("product_id") == c("manual_product"), "full")
     both = both.withColumn("product_id", F.coalesce("product_id", "manual_product"))
-    return _attach(df, _sold(both, tables, "category", "pm_pct", "pm_fixed"), "product_id")
+    found = tables.part(_sold(both, tables, "category", "pm_pct", "pm_fixed"), "products")
+    return _attach(df, found, "product_id")
 
 
 def _products(tables: Tables) -> DataFrame:

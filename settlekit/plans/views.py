@@ -61,15 +61,30 @@ def _written(spark: SparkSession, sf_dir: str) -> Tables:
     return adapter.build(spark, sf_dir, adapter.write_lines(spark, sf_dir, _shared(spark, "lines")))
 
 
+def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again."""
+    path = _shared(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _parted(spark: SparkSession, sf_dir: str, params: Params = BASE) -> Tables:
+    """:func:`_written` for a ledger in parts: its order context and its catalogues are written before the
+    items meet them, so that no plan holds the joins of all 28 tables. The values of the orders' lines are
+    written too, unless few orders are chosen: their ids reach the scans."""
+    lines, valued = adapter.write_lines(spark, sf_dir, _shared(spark, "lines")), None
+    if params.order_ids is None:
+        valued = adapter.write_orders(spark, sf_dir, lines, _shared(spark, "valued"))
+    return adapter.build(spark, sf_dir, lines, valued).in_parts(lambda df: _kept(spark, df, "part"))
+
+
 def _chosen(spark: SparkSession, t: Tables, params: Params) -> DataFrame | None:
     """:func:`chosen_orders` as a table: six tables of session facts are semi-joined with it, and
     with editions or events each would hold the catalogue's joins."""
     orders = chosen_orders(t, params)
     if orders is None or params.editions is None and params.event_ids is None:
         return orders
-    path = _shared(spark, "orders")
-    orders.write.parquet(path)
-    return spark.read.schema(orders.schema).parquet(path)
+    return _kept(spark, orders, "orders")
 
 
 def source_counts(spark, sf_dir):
@@ -176,7 +191,7 @@ def order_totals_extras(spark, sf_dir):
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    return item_rows(_written(spark, sf_dir), BASE)
+    return item_rows(_parted(spark, sf_dir), BASE)
 
 
 def item_shares(spark, sf_dir):
@@ -205,7 +220,7 @@ def extras_answer_fanout(spark, sf_dir):
 
 
 def _inst(spark, sf_dir) -> DataFrame:
-    return instalment_rows(_written(spark, sf_dir), BASE)
+    return instalment_rows(_parted(spark, sf_dir), BASE)
 
 
 def instalment_rows_view(spark, sf_dir):
@@ -234,7 +249,7 @@ def producer_total_view(spark, sf_dir):
 
 
 def _rows(spark, sf_dir, params: Params = BASE) -> DataFrame:
-    return ledger_rows(_written(spark, sf_dir), params)
+    return ledger_rows(_parted(spark, sf_dir), params)
 
 
 def gateway_cost_view(spark, sf_dir):
@@ -259,12 +274,13 @@ def presented_amounts(spark, sf_dir):
 
 
 def _ledger(spark, sf_dir, weighted=False, **kw) -> DataFrame:
-    t, params = _written(spark, sf_dir), Params(as_of=AS_OF, **kw)
+    params = Params(as_of=AS_OF, **kw)
+    t = _parted(spark, sf_dir, params)
     return ledger(t, params, weighted, _chosen(spark, t, params))
 
 
 def _folded(spark, sf_dir, keys=()) -> DataFrame:
-    return folded_ledger(_written(spark, sf_dir), Params(as_of=AS_OF), keys)
+    return folded_ledger(_parted(spark, sf_dir), Params(as_of=AS_OF), keys)
 
 
 def filter_editions(spark, sf_dir):
@@ -294,7 +310,7 @@ def filter_branches(spark, sf_dir):
         "extras": {"extra_ids": EXTRA_IDS},
         "both": {"participant_ids": PARTICIPANT_IDS, "extra_ids": EXTRA_IDS},
     }
-    t = _written(spark, sf_dir)
+    t = _parted(spark, sf_dir)
     count = lambda branch: F.coalesce(F.sum((F.col("branch") == branch).cast("long")), F.lit(0)).alias(f"{branch}_rows")
     out = None
     for name, kw in settings.items():
@@ -361,7 +377,7 @@ def weekly(spark, sf_dir):
 
 
 def reconcile(spark, sf_dir):
-    t = _written(spark, sf_dir)
+    t = _parted(spark, sf_dir)
     return reports.reconcile(ledger(t, BASE, weighted=True), t)
 
 

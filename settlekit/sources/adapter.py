@@ -157,15 +157,23 @@ def write_lines(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     return spark.read.schema(lines.schema).parquet(path)
 
 
-def build(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> Tables:
+def write_orders(spark: SparkSession, sf_dir: str, lines: DataFrame, path: str) -> DataFrame:
+    """The orders of :func:`order_view` with the values of their ``lines``, written to ``path``."""
+    valued = order_view(read_driver(spark, sf_dir)["orders"], lines)
+    valued.write.parquet(path)
+    return spark.read.schema(valued.schema).parquet(path)
+
+
+def build(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, valued: DataFrame | None = None) -> Tables:
     """The 28 checkout tables derived from the driver tables under ``sf_dir``.
 
     Nine of them come from the numbered lines. Each holds the joins and the window that number them,
-    unless the caller has them as a table (``lines``, of :func:`write_lines`)."""
+    unless the caller has them as a table (``lines``, of :func:`write_lines`). Five come from the orders
+    and the values of their lines (``valued``, of :func:`write_orders`)."""
     d = read_driver(spark, sf_dir)
     part, orders, customer, nation, region = d["part"], d["orders"], d["customer"], d["nation"], d["region"]
     item = item_view(d["lineitem"], part) if lines is None else lines
-    ord_ = order_view(orders, item)
+    ord_ = order_view(orders, item) if valued is None else valued
     summ = summary_view(ord_)
     key = F.col("o_orderkey")
     t: dict[str, DataFrame] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +21,8 @@ class Tables(Mapping):
 
     #: Whether the session facts are bucketed by session id (:func:`read_bucketed`).
     bucketed = False
+    #: Writes a part of a plan and reads it again as a table (:meth:`in_parts`).
+    keep: Callable[[DataFrame], DataFrame] | None = None
 
     def __init__(self, frames: Mapping[str, DataFrame]):
         missing = [name for name in TABLE_NAMES if name not in frames]
@@ -30,10 +32,31 @@ class Tables(Mapping):
             name: frames[name].select(*[f.name for f in SCHEMAS[name].fields])
             for name in TABLE_NAMES
         }
+        self._parts: dict[str, DataFrame] = {}
 
     def with_frames(self, **frames: DataFrame) -> Tables:
         """A table set with some tables replaced."""
-        return Tables({**self._frames, **frames})
+        found = Tables({**self._frames, **frames})
+        found.keep = self.keep
+        return found
+
+    def in_parts(self, keep: Callable[[DataFrame], DataFrame]) -> Tables:
+        """This table set for a plan in parts: what joins many tables, the order context and each catalogue, is
+        handed to ``keep``, which writes it and returns it as a table."""
+        found = self.with_frames()
+        found.keep = keep
+        return found
+
+    def part(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """``df`` as a table if this set is :meth:`in_parts`. What depends on these tables alone has a
+        ``name`` and is written once."""
+        if self.keep is None:
+            return df
+        if name is None:
+            return self.keep(df)
+        if name not in self._parts:
+            self._parts[name] = self.keep(df)
+        return self._parts[name]
 
     def _as_bucketed(self, frames: Mapping[str, DataFrame]) -> Tables:
         found = self.with_frames(**frames)
