@@ -178,7 +178,9 @@ def order_context(tables: Tables, params: Params | None = None, orders: DataFram
             "plan_instalments", "gateway_key", "fixed_gateway",
         )
     )
-    ctx = tables.part(ctx)
+    if tables.keep is not None:
+        # paid sessions have a status, but files mark every column nullable
+        ctx = tables.part(ctx).withColumn("order_status", F.coalesce("order_status", F.lit(PAID)))
     option = c("pay_option")
     return ctx.select(
         "order_id",
