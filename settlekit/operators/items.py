@@ -74,7 +74,7 @@ def payable_tickets(tables: Tables, params: Params) -> DataFrame:
 
 def ticket_lines(tables: Tables, params: Params) -> DataFrame:
     """Ticket stream before the order join: trade links (J17/J18) and catalogue."""
-    p = attach_links(payable_tickets(tables, params), tables.tradecheckoutsession)
+    p = tables.lines_part(attach_links(payable_tickets(tables, params), tables.tradecheckoutsession))
     p = dims.attach_tickets(p, tables)
     p = apply(p, isin(F.col("edition"), params.editions), isin(F.col("event_id"), params.event_ids))
     return p.select(
@@ -143,6 +143,10 @@ def extra_lines(
         e = join_spread(e, many, "order_id", hot, c("item_id"), "left")
         e = e.withColumns({"copies": c("copies") * F.coalesce(c("_many"), one), "bought": c("_many").isNotNull()}).drop("_many")
         e = fanout.chunked(e, "copies")
+    if tables.keep_lines is not None:
+        # never null, but files mark every column nullable
+        e = tables.lines_part(e)
+        e = e.withColumns({"copies": F.coalesce(c("copies"), one), "bought": F.coalesce(c("bought"), F.lit(False))})
     e = dims.attach_sizes(e, tables)
     e = dims.attach_sold_products(e, tables).join(dims.product_models(tables), c("model_id") == c("model_key"), "left")
     e = apply(e, isin(c("edition"), params.editions), isin(c("event_id"), params.event_ids))

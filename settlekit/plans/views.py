@@ -68,14 +68,14 @@ def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _parted(spark: SparkSession, sf_dir: str, params: Params = BASE) -> Tables:
-    """:func:`_written` for a ledger in parts: its order context and its catalogues are written before the
-    items meet them, so that no plan holds the joins of all 28 tables. The values of the orders' lines are
-    written too, unless few orders are chosen: their ids reach the scans."""
-    lines, valued = adapter.write_lines(spark, sf_dir, _shared(spark, "lines")), None
-    if params.order_ids is None:
-        valued = adapter.write_orders(spark, sf_dir, lines, _shared(spark, "valued"))
-    return adapter.build(spark, sf_dir, lines, valued).in_parts(lambda df: _kept(spark, df, "part"))
+def _parted(spark: SparkSession, sf_dir: str) -> Tables:
+    """:func:`_written` for a ledger in parts: its order context, its catalogues and the lines of each branch are
+    written before they meet, so that no plan holds the joins of all 28 tables. So are the values of the
+    orders' lines."""
+    lines = adapter.write_lines(spark, sf_dir, _shared(spark, "lines"))
+    valued = adapter.write_orders(spark, sf_dir, lines, _shared(spark, "valued"))
+    keep = lambda df: _kept(spark, df, "part")
+    return adapter.build(spark, sf_dir, lines, valued).in_parts(keep, keep)
 
 
 def _chosen(spark: SparkSession, t: Tables, params: Params) -> DataFrame | None:
@@ -275,7 +275,7 @@ def presented_amounts(spark, sf_dir):
 
 def _ledger(spark, sf_dir, weighted=False, **kw) -> DataFrame:
     params = Params(as_of=AS_OF, **kw)
-    t = _parted(spark, sf_dir, params)
+    t = _parted(spark, sf_dir)
     return ledger(t, params, weighted, _chosen(spark, t, params))
 
 

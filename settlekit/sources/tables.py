@@ -23,6 +23,8 @@ class Tables(Mapping):
     bucketed = False
     #: Writes a part of a plan and reads it again as a table (:meth:`in_parts`).
     keep: Callable[[DataFrame], DataFrame] | None = None
+    #: The same for the lines of each branch, while they are a few columns wide.
+    keep_lines: Callable[[DataFrame], DataFrame] | None = None
 
     def __init__(self, frames: Mapping[str, DataFrame]):
         missing = [name for name in TABLE_NAMES if name not in frames]
@@ -37,16 +39,23 @@ class Tables(Mapping):
     def with_frames(self, **frames: DataFrame) -> Tables:
         """A table set with some tables replaced."""
         found = Tables({**self._frames, **frames})
-        found.keep = self.keep
+        found.keep, found.keep_lines = self.keep, self.keep_lines
         return found
 
-    def in_parts(self, keep: Callable[[DataFrame], DataFrame]) -> Tables:
+    def in_parts(
+        self, keep: Callable[[DataFrame], DataFrame], keep_lines: Callable[[DataFrame], DataFrame] | None = None
+    ) -> Tables:
         """This table set for a plan in parts: what joins many tables, the order context and each catalogue, is
-        handed to ``keep``, which writes it and returns it as a table."""
+        handed to ``keep``, which writes it and returns it as a table; so are the lines of each branch to
+        ``keep_lines``, if given, before they meet their catalogue."""
         found = self.with_frames()
-        found.keep = keep
+        found.keep, found.keep_lines = keep, keep_lines
         return found
 
+    def lines_part(self, df: DataFrame) -> DataFrame:
+        """``df``, the lines of a branch, as a table if this set is :meth:`in_parts` with ``keep_lines``."""
+        return df if self.keep_lines is None else self.keep_lines(df)
+
     def part(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """``df`` as a table if this set is :meth:`in_parts`. What depends on these tables alone has a
         ``name`` and is written once."""

@@ -351,3 +351,31 @@ def test_written_lines_are_those_of_the_item_view(spark, tmp_path, path):
     for name in ("checkoutsummary", "checkoutparticipant", "tradecheckoutsession", "checkoutproductcomplementanswer"):
         a, b = (t[name] for t in tables)
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name
+
+
+@pytest.mark.parametrize("name", ["ledger_ordered", "filter_events", "filter_orders", "filter_status", "gateway_cost", "lots"])
+def test_lines_meet_the_catalogues_as_tables(spark, name):
+    """The last plan of a ledger holds no cancel, trade or answer, and the context's numbers no line."""
+    plan = plan_of(views.VIEWS[name](spark, SF001))
+    assert joins(plan) <= 9 and len(re.findall("FileScan", plan)) <= 10
+
+
+@pytest.mark.parametrize("chosen, weighted", [({"status": FUTURE}, False), ({}, True), ({"order_ids": views.ORDER_IDS}, False), ({"participant_ids": views.PARTICIPANT_IDS}, False)])
+def test_a_ledger_of_written_lines_equals_that_of_one_plan(spark, tmp_path, chosen, weighted):
+    """Keys that repeat or are null, in every table of the driver; a branch without a line."""
+    for name in ("lineitem", "orders", "part", "customer", "nation", "region"):
+        df = spark.read.parquet(f"{SF001}/{name}.parquet")
+        key = df.columns[0]
+        odd = df.unionByName(df.limit(9)).unionByName(df.limit(3).withColumn(key, F.lit(None).cast(df.schema[key].dataType)))
+        odd.write.parquet(str(tmp_path / f"{name}.parquet"))
+    params, lines = Params(as_of=dt.date(1998, 2, 1), **chosen), []
+    tables = adapter.build(spark, str(tmp_path))
+
+    def keep_lines(df):
+        lines.append(views._kept(spark, df, "lines"))
+        return lines[-1]
+
+    whole = ledger(tables, params, weighted)
+    got = ledger(tables.in_parts(lambda df: views._kept(spark, df, "part"), keep_lines), params, weighted)
+    assert len(lines) == 2 and got.schema == whole.schema and got.count() > 0
+    assert got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
