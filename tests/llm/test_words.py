@@ -6,10 +6,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from settlekit.llm import bestfit, phrases, variants
+from settlekit.llm import bestfit, common, phrases, variants
 from settlekit.llm.queries import QUERIES, byte_tokenizer
 from settlekit.llm.sql import SQL
 
@@ -29,6 +31,12 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def group_rows(file):
+    """Rows of each row group of a Parquet file."""
+    found = pq.ParquetFile(file.removeprefix("file://")).metadata
+    return [found.row_group(i).num_rows for i in range(found.num_row_groups)]
+
+
 # --- phrases ---------------------------------------------------------------------------------
 
 
@@ -136,6 +144,32 @@ def test_score_passes_64_bits(spark):
     assert row.score == 2_000_000 * huge // (2 * huge + 6)
 
 
+def test_shards_are_held_a_few_at_a_time(spark, monkeypatch):
+    """By the writer and readers of their table, and in the batches for Python workers: shards are megabytes."""
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 1 << 14)
+    monkeypatch.setattr(phrases, "GROUP_BYTES", 1 << 16, raising=False)
+    random = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 1 << 40, size=1200)) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in enumerate(texts)], DOCS).coalesce(1)
+    written = phrases._written(phrases.encode(docs))
+    rows = [x for f in written.inputFiles() for x in group_rows(f)]
+    assert sum(rows) == 150 and max(rows) <= 10
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 16)
+    with common.small_batches(spark):
+        assert max(r.n for r in written.mapInArrow(sizes, "n long").collect()) <= 10
+    limits, counted = [], phrases.counted
+    monkeypatch.setattr(phrases, "counted", lambda *a: [limits.append(spark.conf.get(key)), counted(*a)][1])
+    phrases.collocations(docs, least=2).collect()
+    assert limits == [str(1 << 16)] and spark.conf.get(key) == before
+
+
 # --- best fit --------------------------------------------------------------------------------
 
 
