@@ -45,7 +45,18 @@ def ledger_rows(
     """Every computed column (the 47 output columns and the intermediate ones). Building the
     plan starts no Spark job. ``orders`` as for :func:`.items.items`."""
     params = params or Params()
-    charged = attach_charge_rate(item_rows(tables, params, weighted, orders), tables)
+    return rows_of_items(charged_items(tables, params, weighted, orders), tables, params)
+
+
+def charged_items(
+    tables: Tables, params: Params, weighted: bool = False, orders: DataFrame | None = None
+) -> DataFrame:
+    """Level 1 with the gateway's charge rates: all that does not depend on the instalment."""
+    return attach_charge_rate(item_rows(tables, params, weighted, orders), tables)
+
+
+def rows_of_items(charged: DataFrame, tables: Tables, params: Params) -> DataFrame:
+    """:func:`ledger_rows` of its :func:`charged_items`, or of some of them; narrow but for the lookup of the week."""
     rows = with_gateway_cost(add_splits(explode_instalments(charged, params)))
     rows = attach_week(rows, tables)
     rows = rows.select(
@@ -79,7 +90,17 @@ def ledger(
 def ordered(ledger_df: DataFrame) -> DataFrame:
     """Newest orders first, at the very end of a job. Ties are broken by item and instalment,
     so the rows of one hot order span several range partitions."""
-    return ledger_df.orderBy(F.col("order_id").desc(), "item_id", "instalment_no", "settlement_date")
+    return ledger_df.orderBy(*_newest_first())
+
+
+def ordered_of_items(placed: DataFrame, tables: Tables, params: Params) -> DataFrame:
+    """:func:`ordered` of the ledger of items that lie in ranges already (:func:`.order.in_ranges`): the rows of an
+    item stay in its partition, which is sorted; nothing is shuffled."""
+    return rows_of_items(placed, tables, params).select(*LEDGER_COLUMNS).sortWithinPartitions(*_newest_first())
+
+
+def _newest_first() -> list:
+    return [F.col("order_id").desc(), "item_id", "instalment_no", "settlement_date"]
 
 
 def display_names(ledger_df: DataFrame, headings: Mapping[str, str]) -> DataFrame:

@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 from ..operators import dims
 from ..operators.context import card_per_id, order_context, paid_sessions
 from ..operators.filters import Params
-from ..operators.items import ITEM_COLUMNS, chosen_orders, extras, payable_extras, payable_tickets, tickets
+from ..operators.items import (
+    ITEM_COLUMNS, chosen_orders, extras, participants, payable_extras, payable_tickets, product_lines, tickets
+)
 from ..operators.trades import attach_links, trade_links
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, shuffles_freed
 from ..sources import SCHEMAS, Tables, read_bucketed, write_bucketed
 from ..sources import adapter
 from . import checks, order, reports
 from .folded import folded_ledger
-from .ledger import instalment_rows, item_rows, ledger, ledger_rows, ordered
+from .ledger import charged_items, instalment_rows, item_rows, ledger, ledger_rows, ordered_of_items
 
 AS_OF = dt.date(2001, 7, 1)
 BASE = Params(as_of=AS_OF)
@@ -53,27 +55,37 @@ def _shared(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    """Gives back a folder of :func:`_shared` that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _written(spark: SparkSession, sf_dir: str) -> Tables:
     """The tables for a view that needs most of them, over lines that are numbered once and written.
 
     The driver plans a query anew after each of its stages and keeps the metrics of every such plan:
     its memory goes by the number of steps, and half of a ledger's would be numbering the same lines."""
-    return adapter.build(spark, sf_dir, adapter.write_lines(spark, sf_dir, _shared(spark, "lines")))
+    with shuffles_freed(spark):
+        return adapter.build(spark, sf_dir, adapter.write_lines(spark, sf_dir, _shared(spark, "lines")))
 
 
 def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again."""
     path = _shared(spark, name)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _parted(spark: SparkSession, sf_dir: str) -> Tables:
+def _parted(spark: SparkSession, sf_dir: str, paths: tuple[str, str] | None = None) -> Tables:
     """:func:`_written` for a ledger in parts: its order context, its catalogues and the lines of each branch are
     written before they meet, so that no plan holds the joins of all 28 tables. So are the values of the
-    orders' lines."""
-    lines = adapter.write_lines(spark, sf_dir, _shared(spark, "lines"))
-    valued = adapter.write_orders(spark, sf_dir, lines, _shared(spark, "valued"))
+    orders' lines. ``paths``: folders for the numbered lines and for these values."""
+    lines_path, valued_path = paths or (_shared(spark, "lines"), _shared(spark, "valued"))
+    with shuffles_freed(spark):
+        lines = adapter.write_lines(spark, sf_dir, lines_path)
+        valued = adapter.write_orders(spark, sf_dir, lines, valued_path)
     keep = lambda df: _kept(spark, df, "part")
     return adapter.build(spark, sf_dir, lines, valued).in_parts(keep, keep)
 
@@ -337,7 +349,15 @@ def ledger_view(spark, sf_dir):
 
 
 def ledger_ordered(spark, sf_dir):
-    return ordered(_ledger(spark, sf_dir))
+    at_once, paths = max(2, spark.sparkContext.defaultParallelism), (_shared(spark, "lines"), _shared(spark, "valued"))
+    t = _parted(spark, sf_dir, paths)
+    keys = [f(t, BASE).select("order_id", "item_id") for f in (participants, product_lines)]
+    cuts = order.item_cuts(keys[0].unionAll(keys[1]), at_once)
+    items = charged_items(t, BASE)
+    for path in paths:  # the items' plan reads the parts that were made of them
+        _removed(spark, path)
+    placed = order.in_ranges(items, cuts, at_once, _shared(spark, "items"))
+    return ordered_of_items(placed, t, BASE)
 
 
 def ledger_positions(spark, sf_dir):

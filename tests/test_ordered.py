@@ -1,12 +1,13 @@
 """O01 as files: ranges by sampled bounds, read back without a sort."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from settlekit import Params, ledger, ordered
-from settlekit.plans import order
+from settlekit.plans import order, views
 
 PARAMS = Params(as_of=dt.date(2001, 7, 1))
 KEYS = ["order_id", "item_id", "instalment_no", "settlement_date"]
@@ -111,3 +112,51 @@ def test_ranges_grow_with_the_rows(spark, monkeypatch):
     assert order.ranges_for(rows, 3) == 3 and order.ranges_for(rows.limit(0)) == 1
     monkeypatch.setattr(order, "RANGE_ROWS", 100)
     assert order.ranges_for(rows, 3) == 40
+
+
+def test_a_ledger_in_ranges_equals_the_sorted_one(spark, tmp_path, monkeypatch):
+    """Several turns of a few ranges, partitions in order; keys of every table of the driver that repeat or are null."""
+    monkeypatch.setattr(order, "RANGE_ITEMS", 500, raising=False)
+    for name in ("lineitem", "orders", "part", "customer", "nation", "region"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        key = df.columns[0]
+        odd = df.unionByName(df.limit(9)).unionByName(df.limit(3).withColumn(key, F.lit(None).cast(df.schema[key].dataType)))
+        odd.write.parquet(str(tmp_path / f"{name}.parquet"))
+    whole, got = ordered(views._ledger(spark, str(tmp_path))), views.ledger_ordered(spark, str(tmp_path))
+    assert got.schema == whole.schema and got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
+    rows = got.select(F.spark_partition_id(), *KEYS).collect()
+    assert [tuple(r)[1:] for r in rows] == [tuple(r) for r in whole.select(KEYS).collect()]
+    assert len({r[0] for r in rows}) > 8
+    # the wide rows are not shuffled: only the week calendar is
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "gateway_cost" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_ranges_of_items_with_a_hot_order_and_a_hot_item(spark, tmp_path, monkeypatch):
+    for name, value in {"RANGE_ITEMS": 100, "FEW_ITEMS": 10}.items():
+        monkeypatch.setattr(order, name, value)
+    rows = [(o, i, f"{o}-{i}") for o in range(1, 40) for i in range(5)] + [(17, i, "hot order") for i in range(900)]
+    rows += [(23, 3, f"copy {i}") for i in range(400)] + [(5, None, "no id")] * 3
+    items = spark.createDataFrame(rows, "order_id long, item_id long, name string").repartition(5)
+    cuts = order.item_cuts(items.select("order_id", "item_id"), 4, 16)
+    assert cuts == sorted(set(cuts), key=lambda c: (-c[0], c[1])) and sum(c[0] == 17 for c in cuts) > 3
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    placed = order.in_ranges(items, cuts, 4, str(tmp_path / "items"))
+    assert placed.rdd.getNumPartitions() >= len(cuts) + 1
+    found = placed.sortWithinPartitions(F.desc("order_id"), "item_id", "name").select("order_id", "item_id", "name").collect()
+    assert [tuple(r) for r in found] == sorted(rows, key=lambda r: (-r[0], r[1] is not None, r[1] or 0, r[2]))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    assert order.in_ranges(items.limit(0), [], 4, str(tmp_path / "none")).collect() == []
+    assert order.item_cuts(items.limit(0).select("order_id", "item_id"), 4) == []
+
+
+def test_parts_of_a_ledger_leave_no_shuffle_files(spark):
+    """They are written before the last plan, whose own come on top of whatever is left."""
+    def files():
+        return {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [str(d) for d in store.localDirsString()]
+    before = files()
+    views._parted(spark, "/root/testdata/sf0.001")
+    assert not files() - before
